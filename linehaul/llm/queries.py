@@ -22,7 +22,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op5_warc": op5_warc}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linehaul.llm.embedding_dedup import embedding_links
+
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op3_mixing": op3_mixing, "op5_warc": op5_warc, "op10_embedding_dedup": op10_embedding_dedup}
 
 ORACLES = {
     "op5_warc": """
@@ -32,4 +38,13 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
 FROM f""",
+    "op10_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS r FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.r > 0 AND b.r > 0 AND list_dot_product(a.e, b.e) / (a.r * b.r) >= 0.95),
+reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS m FROM reach GROUP BY a), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(c.m, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(c.m, vec_id)) AS kept
+FROM v LEFT JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id""",
 }
