@@ -73,7 +73,11 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw, off - off[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True) -> Words:
+#: Bytes between words for classifiers: all of ASCII but letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True, gap: np.ndarray = _SPACE) -> Words:
     if lower:
         data = _LOWER[data]
     n = len(data)
@@ -81,7 +85,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bo
         z = np.zeros(0, np.int64)
         return Words(data, z, z, np.zeros(len(offsets), np.int64), np.zeros(0, U))
     solid = np.ones(n + 2, bool)
-    solid[1:-1] = ~_SPACE[data]
+    solid[1:-1] = ~gap[data]
     solid[0] = solid[-1] = False
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True  # a text ends here, whatever the bytes are
@@ -126,11 +130,11 @@ def pieces(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]
         i = j
 
 
-def each(col: pa.Array, lower: bool = False, hashes: bool = True, most: int = 1 << 21) -> Iterator[tuple[int, int, Words]]:
+def each(col: pa.Array, lower: bool = False, hashes: bool = True, most: int = 1 << 21, gap: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first text, past the last, their words) over a column, piece by piece."""
     data, offsets = text_bytes(col)
     for i, j in pieces(offsets, most):
-        yield i, j, words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower, hashes)
+        yield i, j, words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower, hashes, gap)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

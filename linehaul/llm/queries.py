@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linehaul.llm.frames import table
+from linehaul.llm.frames import id_text, table
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,13 +22,19 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linehaul.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda i: id_text(i) % 5 == 0)
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linehaul.llm.embedding_dedup import embedding_links
 
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op5_warc": op5_warc, "op10_embedding_dedup": op10_embedding_dedup}
+QUERIES = {"op3_mixing": op3_mixing, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity, "op10_embedding_dedup": op10_embedding_dedup}
 
 ORACLES = {
     "op5_warc": """
