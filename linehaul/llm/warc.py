@@ -198,8 +198,10 @@ def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 100, d
     folder = folder or f"{scratch.root}/archives"
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
     again = revisits(pages, min_bytes, scratch).withColumnRenamed("page_id", "_id").withColumnRenamed("digest", "_digest")
-    chosen = pages.where("html IS NOT NULL").select(F.xxhash64("page_id", "html").alias("h"), F.substring("html", 1, dict_row_bytes).alias("s")).orderBy("h").limit(dict_rows)
-    dictionary = train_dictionary([r["s"].encode() for r in chosen.collect() if r["s"]], dict_bytes)
+    some = pages.where("html IS NOT NULL").select(F.xxhash64("page_id", F.octet_length("html")).alias("h"), F.substring("html", 1, dict_row_bytes).alias("s"))
+    last = [r["h"] for r in some.select("h").orderBy("h").limit(dict_rows).collect()][-1:]
+    chosen = some.where(F.col("h") <= last[0]).orderBy("h").limit(dict_rows).collect() if last else []
+    dictionary = train_dictionary([r["s"].encode() for r in chosen if r["s"]], dict_bytes)
     digest = F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256))
     records = pages.withColumn("_d", digest).join(again, (F.col("page_id") == F.col("_id")) & (F.col("_d") == F.col("_digest")), "left")
     return scratch.table(write_archives(records, folder, dictionary, level), "manifest")
