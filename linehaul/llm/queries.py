@@ -15,6 +15,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linehaul.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda i: id_text(i) % 3 == 1)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linehaul.llm.warc import archive, read_archives
 
@@ -34,7 +40,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity, "op10_embedding_dedup": op10_embedding_dedup}
+QUERIES = {"op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity, "op10_embedding_dedup": op10_embedding_dedup}
 
 ORACLES = {
     "op5_warc": """
