@@ -64,7 +64,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(rows: list[tuple[str, int]], bits: int = 22, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.1, epochs: int = 4, seed: int = 7) -> SparseModel:
+def train(rows: list[tuple[str, int]], bits: int = 21, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.1, epochs: int = 4, seed: int = 7) -> SparseModel:
     """A model of (text, label) rows. Rows of label 1, if few, are shown up to six times an epoch, to be a third of the other's."""
     ftrl, examples, base = Ftrl(bits, alpha, beta, l1, l2), [], 1 << bits
     for k in range(0, len(rows), 256):
@@ -112,7 +112,7 @@ def scored(docs: DataFrame, model, id_col: str, text_col: str, score: Callable)
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], max_train_rows: int = 12_000, max_train_chars: int = 50_000, **training) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], max_train_rows: int = 8_000, max_train_chars: int = 20_000, **training) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` per row of ``docs``, from its text alone.
 
     Learns from at most ``max_train_rows`` labelled rows for which ``held_out`` is false; scores every whole text.
