@@ -28,6 +28,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linehaul.llm.substring_dedup import substring_digest
+
+    return substring_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linehaul.llm.toxicity import toxicity
 
@@ -40,9 +46,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_warc": op5_warc, "op7_toxicity": op7_toxicity, "op10_embedding_dedup": op10_embedding_dedup}
+QUERIES = {"op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op10_embedding_dedup": op10_embedding_dedup}
 
 ORACLES = {
+    "op6_substring_dedup": r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM p WHERE i + 49 <= len(w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM g) WHERE doc_id > m),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM r, (SELECT unnest(range(50)) AS k)),
+k AS (SELECT p.doc_id, count(*) FILTER (c.i IS NOT NULL) AS gone, string_agg(p.w[p.i], ' ' ORDER BY p.i) FILTER (c.i IS NULL) AS kept
+      FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM t LEFT JOIN k ON t.doc_id = k.doc_id""",
     "op5_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
