@@ -40,6 +40,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda i: id_text(i) % 5 == 0)
 
 
+def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linehaul.llm.ngram_lm import perplexity
+
+    return perplexity(table(spark, sf_dir, "documents"), lambda i: id_text(i) % 5 == 1)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linehaul.llm.near_dedup import near_classes
 
@@ -52,7 +58,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op9_near_dedup": op9_near_dedup, "op10_embedding_dedup": op10_embedding_dedup}
+QUERIES = {"op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_ngram_lm": op8_ngram_lm, "op9_near_dedup": op9_near_dedup, "op10_embedding_dedup": op10_embedding_dedup}
 
 ORACLES = {
     "op6_substring_dedup": r"""
