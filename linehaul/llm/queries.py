@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from linehaul.llm.frames import id_text, table
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linehaul.llm.decontaminate import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linehaul.llm.mixing import mix
 
@@ -58,7 +64,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_ngram_lm": op8_ngram_lm, "op9_near_dedup": op9_near_dedup, "op10_embedding_dedup": op10_embedding_dedup}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_ngram_lm": op8_ngram_lm, "op9_near_dedup": op9_near_dedup, "op10_embedding_dedup": op10_embedding_dedup}
 
 ORACLES = {
     "op6_substring_dedup": r"""
