@@ -7,7 +7,7 @@ text's features are the mean and the largest of the chunks' values, combined by
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -170,3 +170,15 @@ def quality(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Col
     rows = training_rows(docs, labels, "quality", max_train_rows, held_out, max_train_chars)
     out = scored(docs, train(rows, **training), "doc_id", "text", score_texts)
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], max_train_rows: int = 2400, max_train_chars: int = 6_000, **training) -> DataFrame:
+    """``docs`` with the columns it has, without the rows whose text scores below 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(training_rows(train_docs, labels, "quality", max_train_rows, held_out, max_train_chars), **training))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(score_texts(b.column(at), shared.value) >= 0.5))
+
+    at = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)

@@ -64,7 +64,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_ngram_lm": op8_ngram_lm, "op9_near_dedup": op9_near_dedup, "op10_embedding_dedup": op10_embedding_dedup}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_ngram_lm": op8_ngram_lm, "op9_near_dedup": op9_near_dedup, "op10_embedding_dedup": op10_embedding_dedup, "pipeline": pipeline}
 
 ORACLES = {
     "op6_substring_dedup": r"""
