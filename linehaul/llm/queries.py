@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from linehaul.llm.frames import id_text, table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linehaul.llm.license_scan import license_paragraphs
+
+    return license_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linehaul.llm.decontaminate import overlaps
 
@@ -70,7 +76,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_ngram_lm": op8_ngram_lm, "op9_near_dedup": op9_near_dedup, "op10_embedding_dedup": op10_embedding_dedup, "pipeline": pipeline}
+QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
+    "op5_warc": op5_warc,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op8_ngram_lm": op8_ngram_lm,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
+    "pipeline": pipeline,
+}
 
 ORACLES = {
     "op6_substring_dedup": r"""
