@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple = ()
+from linehaul.plans import network
+
+_MODULES = (network,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
