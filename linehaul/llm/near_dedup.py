@@ -25,6 +25,8 @@ from linehaul.scratch import Scratch
 U = np.uint64
 #: Survivors of a text's k-mers that a hash function keeps on average before the smallest are chosen; fewer fall back to all.
 _FEW = 24
+#: Length of a text's bitmap of words, in longs.
+_LONGS = 16
 
 
 def labelled(w: K.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +91,20 @@ def _sketch_rows(k: int, bands: int, few: int):
     return run
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text a bitmap in which every word, labelled by occurrence, flips one bit.
+
+    Two texts' bitmaps differ in at most as many bits as they have words that the other lacks.
+    """
+    for b in batches:
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        for i, j, w in K.each(b.column(1)):
+            text, h = labelled(w, 1)
+            flips = np.bincount(text * (64 * _LONGS) + (K.mix(h) % U(64 * _LONGS)).astype(np.int64), minlength=(j - i) * 64 * _LONGS) & 1
+            longs = np.packbits(flips.astype(np.uint8).reshape(j - i, -1), axis=1).view(np.int64).reshape(j - i, _LONGS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), *(pa.array(longs[:, k]) for k in range(_LONGS))], ["doc", *(f"p{k}" for k in range(_LONGS))])
+
+
 def lcs_banded(a: list[int], b: list[int], band: int) -> int:
     """Longest common subsequence of a and b over cells at most ``band`` off the diagonal, a bit for each word of a."""
     if not a or not b:
@@ -203,8 +219,9 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: in
 
     Copies of one word sequence are one document in the search. In each bucket of a sketch (and of a class of lengths)
     all members are first compared with one of them; after that only pairs of the bucket that are in different
-    classes by then, none of them in the bucket's first class twice over, and none compared before. So no candidate
-    pair is dropped, and a group of near copies costs its size, not its square.
+    classes by then, none of them in the bucket's first class twice over, and none compared before. Pairs that cannot
+    be similar, by their lengths or by a bound on their common words, are left out before their texts are fetched. So
+    no similar candidate pair is lost, and a group of near copies costs its size, not its square.
 
     Null and empty texts are their own class, and so are null ids. Rows repeated with the same id have the same class.
     An empty table gives an empty result.
@@ -233,9 +250,13 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: in
     at = sketch.join(shared, "key").join(component.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
     at = scratch.table(at, "members")
     major = at.groupBy("key").agg(F.min_by("c", "doc").alias("major"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "major")
-    open_ = scratch.table(at.join(scratch.table(major, "major"), "key").select("key", "doc", "n", "c", (F.col("c") != F.col("major")).alias("other")), "open")
-    x, y = open_.where("other").select("key", *(F.col(c).alias(f"x_{c}") for c in ("doc", "n", "c"))), open_.select("key", *(F.col(c).alias(f"y_{c}") for c in ("doc", "n", "c", "other")))
+    parity = scratch.table(alone.mapInArrow(_parities, "doc long, " + ", ".join(f"p{k} long" for k in range(_LONGS))), "parity")
+    open_ = scratch.table(at.join(scratch.table(major, "major"), "key").select("key", "doc", "n", "c", (F.col("c") != F.col("major")).alias("other")).join(parity, "doc"), "open")
+    parts = [f"p{k}" for k in range(_LONGS)]
+    x, y = open_.where("other").select("key", *(F.col(c).alias(f"x_{c}") for c in ("doc", "n", "c", *parts))), open_.select("key", *(F.col(c).alias(f"y_{c}") for c in ("doc", "n", "c", "other", *parts)))
     near = (F.col("x_c") != F.col("y_c")) & (~F.col("y_other") | (F.col("x_doc") < F.col("y_doc"))) & (F.least("x_n", "y_n") * factor >= F.greatest("x_n", "y_n") - 1e-9)
+    differ = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in parts), F.lit(0))
+    near = near & (differ <= (1 - similarity) * (F.col("x_n") + F.col("y_n")) + 1e-9)
     rest = x.join(y, (x["key"] == y["key"]) & near).select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
     rest = scratch.table(rest.join(star, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(_links(alone, rest, similarity, scratch))
