@@ -217,8 +217,8 @@ def _links(docs: DataFrame, pairs: DataFrame, least: float, scratch: Scratch) ->
 def near_classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: int = 24, few: int = 3) -> DataFrame:
     """``(doc_id, class_id, kept)`` per row of ``docs`` (doc_id, text): class_id is the smallest id of its class, the linked and their linked.
 
-    Copies of one word sequence are one document in the search. In each bucket of a sketch (and of a class of lengths)
-    all members are first compared with one of them; after that only pairs of the bucket that are in different
+    Copies of one word sequence are one document in the search. In each bucket of a sketch all members
+    are first compared with one of them, that which meets most others; after that only pairs of the bucket that are in different
     classes by then, none of them in the bucket's first class twice over, and none compared before. Pairs that cannot
     be similar, by their lengths or by a bound on their common words, are left out before their texts are fetched. So
     no similar candidate pair is lost, and a group of near copies costs its size, not its square.
@@ -236,28 +236,39 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: in
     alone = docs.where("doc_id IS NOT NULL").join(bounded(copies.select("doc_id"), _IDS), "doc_id", "left_anti")
 
     sketch = scratch.table(alone.mapInArrow(_sketch_rows(k, bands, few), "key long, doc long, n int"), "sketch")
+    parity = scratch.table(alone.mapInArrow(_parities, "doc long, " + ", ".join(f"p{k} long" for k in range(_LONGS))), "parity")
+    shared = scratch.table(sketch.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key", "size"), "shared")
+    members = scratch.table(sketch.join(shared, "key"), "members")
+    # the document that meets most others stands in the middle of its group: what the rest of its buckets start from
+    weight = scratch.table(members.groupBy("doc").agg(F.sum("size").alias("weight")), "weight")
+    members = scratch.table(members.join(weight, "doc").join(parity, "doc"), "members")
+    parts = [f"p{k}" for k in range(_LONGS)]
     # lengths of similar texts differ by at most this factor
     factor = (2 - similarity) / similarity
-    step = F.floor(F.log(F.col("n").cast("double")) / math.log(factor)).cast("int")
-    sketch = sketch.withColumn("step", step)
-    centre = scratch.table(sketch.groupBy("key", "step").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).where("a < last").select("key", "step", "a"), "centre")
-    star = scratch.table(sketch.join(centre, ["key", "step"]).where("doc > a").select("a", F.col("doc").alias("b")).distinct(), "star")
+
+    def side(df: DataFrame, name: str, *more: str) -> DataFrame:
+        return df.select("key", *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "n", *parts, *more)))
+
+    differ = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in parts), F.lit(0))
+    near = (F.least("x_n", "y_n") * factor >= F.greatest("x_n", "y_n") - 1e-9) & (differ <= (1 - similarity) * (F.col("x_n") + F.col("y_n")) + 1e-9)
+
+    def pairs_of(joined: DataFrame) -> DataFrame:
+        return joined.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
+
+    centre = members.groupBy("key").agg(F.max_by(F.struct("doc", "n", *parts), F.struct("weight", -F.col("doc"))).alias("c")).select("key", "c.*")
+    centre = scratch.table(side(centre, "y"), "centre")
+    star = scratch.table(pairs_of(side(members, "x").join(centre, "key").where(near & (F.col("x_doc") != F.col("y_doc")))), "star")
     links = _links(alone, star, similarity, scratch)
     component = connected_components(spark, links, "a", "b", scratch)
 
     # what shares a sketch but not a class yet
-    shared = scratch.table(sketch.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"), "shared")
-    at = sketch.join(shared, "key").join(component.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    at = scratch.table(at, "members")
-    major = at.groupBy("key").agg(F.min_by("c", "doc").alias("major"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "major")
-    parity = scratch.table(alone.mapInArrow(_parities, "doc long, " + ", ".join(f"p{k} long" for k in range(_LONGS))), "parity")
-    open_ = scratch.table(at.join(scratch.table(major, "major"), "key").select("key", "doc", "n", "c", (F.col("c") != F.col("major")).alias("other")).join(parity, "doc"), "open")
-    parts = [f"p{k}" for k in range(_LONGS)]
-    x, y = open_.where("other").select("key", *(F.col(c).alias(f"x_{c}") for c in ("doc", "n", "c", *parts))), open_.select("key", *(F.col(c).alias(f"y_{c}") for c in ("doc", "n", "c", "other", *parts)))
-    near = (F.col("x_c") != F.col("y_c")) & (~F.col("y_other") | (F.col("x_doc") < F.col("y_doc"))) & (F.least("x_n", "y_n") * factor >= F.greatest("x_n", "y_n") - 1e-9)
-    differ = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in parts), F.lit(0))
-    near = near & (differ <= (1 - similarity) * (F.col("x_n") + F.col("y_n")) + 1e-9)
-    rest = x.join(y, (x["key"] == y["key"]) & near).select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
+    at = members.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
+    at = scratch.table(at.select("key", "doc", "n", "weight", "c", *parts), "at")
+    major = at.groupBy("key").agg(F.max_by("c", F.struct("weight", -F.col("doc"))).alias("major"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "major")
+    open_ = scratch.table(at.join(scratch.table(major, "major"), "key").withColumn("other", F.col("c") != F.col("major")), "open")
+    apart = (F.col("x_c") != F.col("y_c")) & (~F.col("y_other") | (F.col("x_doc") < F.col("y_doc")))
+    x, y = side(open_.where("other"), "x", "c").withColumnRenamed("key", "x_key"), side(open_, "y", "c", "other")
+    rest = pairs_of(x.join(y, (F.col("x_key") == F.col("key")) & apart & near))
     rest = scratch.table(rest.join(star, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(_links(alone, rest, similarity, scratch))
     # a copy links to the document that stands for it
