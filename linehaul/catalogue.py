@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linehaul.plans import network
+from linehaul.plans import network, routing
 
-_MODULES = (network,)
+_MODULES = (network, routing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

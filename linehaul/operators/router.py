@@ -49,15 +49,15 @@ def one_to_all(calls: DataFrame, transfers: DataFrame, queries: DataFrame, rides
     spark: SparkSession = calls.sparkSession
     scratch = scratch or Scratch(spark, "routes")
     queries = scratch.table(queries, "queries")
-    walks = walk_closure(transfers, cap, scratch).withColumn("closed", F.lit(-1))
+    walks = walk_closure(transfers, cap, scratch).withColumn("without", F.lit(-1))
     for row in queries.where("closed IS NOT NULL").select("closed").distinct().collect():  # closed stations of a batch are few
         open_ = transfers.where((F.col("from_station") != row["closed"]) & (F.col("to_station") != row["closed"]))
-        walks = walks.unionByName(walk_closure(open_, cap, scratch).withColumn("closed", F.lit(row["closed"])))
+        walks = walks.unionByName(walk_closure(open_, cap, scratch).withColumn("without", F.lit(row["closed"])))
     walks = scratch.table(walks, "all-walks")
     how = queries.select("query_id", F.col("departure").alias("start"), F.coalesce("disabled", F.array().cast("array<string>")).alias("disabled"), F.coalesce("closed", F.lit(-1)).alias("closed"), "scaled", "multiplier")
 
     def walked(reach: DataFrame) -> DataFrame:
-        step = reach.join(how.select("query_id", "start", "closed"), "query_id").join(walks, (F.col("station") == walks["a"]) & (how["closed"] == walks["closed"]))
+        step = reach.join(how.select("query_id", "start", "closed"), "query_id").join(walks, (F.col("station") == F.col("a")) & (F.col("closed") == F.col("without")))
         step = step.select("query_id", F.col("b").alias("station"), (F.col("arrival") + F.col("seconds")).alias("arrival"), "start").where(F.col("arrival") <= F.col("start") + cap).drop("start")
         return reach.unionByName(step).groupBy("query_id", "station").agg(F.min("arrival").alias("arrival"))
 
@@ -66,7 +66,7 @@ def one_to_all(calls: DataFrame, transfers: DataFrame, queries: DataFrame, rides
     found = reach.withColumn("rides", F.lit(0))
     scaled = "trip_rank" in calls.columns
     for k in range(1, rides + 1):
-        boards = reach.join(how, "query_id").join(calls.where("pickup <> 1"), "station").where((F.col("departure") >= reach["arrival"]) & ~F.array_contains("disabled", F.col("line")) & (F.col("closed") != F.col("station")))
+        boards = reach.withColumnRenamed("arrival", "since").join(how, "query_id").join(calls.where("pickup <> 1"), "station").where((F.col("departure") >= F.col("since")) & ~F.array_contains("disabled", F.col("line")) & (F.col("closed") != F.col("station")))
         if scaled:
             keeps = retained(F.col("trip_rank"), F.col("pattern_trips"), F.col("multiplier"))
             boards = boards.where(F.col("scaled").isNull() | (F.col("scaled") != F.col("line")) | F.coalesce(keeps, F.lit(True)))
