@@ -151,7 +151,8 @@ def train(copies: int = 12, l1: float = 3e-4, steps: int = 250, rate: float = 2.
     seen: dict[str, int] = {}
     for words, _ in examples:
         for g in grams(words):
-            if "zq" not in g:
+            # what is made of common words and single digits alone tells nothing, and half of all paragraphs have it
+            if "zq" not in g and any(len(v) > 1 and v not in COMMON for v in g.split(" ")):
                 seen[g] = seen.get(g, 0) + 1
     index = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n >= 3))}
     x, y = _matrix(examples, index)
@@ -192,7 +193,7 @@ def _anchors(bias: tuple[float, ...], weights: dict[str, tuple[float, ...]]) ->
         for g, v in left.items():
             for word in g.split(" "):
                 by_word[word] = by_word.get(word, 0) + v[k]
-        anchors.add(max(sorted(by_word), key=by_word.get))
+        anchors.add(max(sorted(by_word), key=lambda v: (v not in COMMON and len(v) > 1, by_word[v])))
 
 
 def paragraph_words(text: Column) -> Column:
