@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linehaul.plans import network, routing
+from linehaul.plans import catalog, feed, network, routing, vectors
 
-_MODULES = (network, routing)
+_MODULES = (network, routing, feed, vectors, catalog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

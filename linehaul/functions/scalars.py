@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -240,8 +242,6 @@ def split_mix(seed: int, n: int) -> int:
 
 def split_mix_unit(seed: Column, n: Column) -> Column:
     """Draws as doubles in [0, 1), vectorised over rows."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("double")
     def draw(s: pd.Series, k: pd.Series) -> pd.Series:

@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating min-label propagation and pointer jumping."""
+"""Connected components of an edge table by min-label hooking and contraction."""
 
 from __future__ import annotations
 
@@ -11,27 +11,31 @@ from linehaul.scratch import Scratch
 def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component is the smallest node reachable.
 
-    Each round hooks every node's current label onto the smallest label among its neighbours' and then
-    follows labels twice, so the number of rounds is logarithmic in the component's length. A hub with a
-    large share of the edges is aggregated map-side (min), never gathered. Self loops keep a node; null
-    ends are dropped.
+    In each round every node hooks onto its smallest neighbour, hooks are followed to their ends by doubling, and
+    edges are rewritten to those ends; those inside a component go. At least half of the nodes that still have edges
+    go with them, so rounds are logarithmic and each is smaller. A hub's neighbours meet in a map-side minimum, never
+    in one group. Self loops keep a node; null ends are dropped.
     """
     scratch = scratch or Scratch(spark, "components")
-    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = scratch.table(ends.union(ends.select("b", "a")).distinct(), "edges")
-    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        own = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
-        # the smallest label seen by any member moves the whole label group
-        hook = own.groupBy(F.col("old").alias("label")).agg(F.min("new").alias("to"))
-        hooked = scratch.table(own.join(hook, own["old"] == hook["label"]).select("node", "old", F.least("new", "to").alias("component")), "hooked")
-        up = hooked.select(F.col("node").alias("up"), F.col("component").alias("up_component"))
-        jumped = hooked.join(up, hooked["component"] == up["up"], "left").select("node", "old", F.least("component", F.coalesce("up_component", "component")).alias("component"))
-        new = scratch.table(jumped, "labels")
-        changed = new.where("component <> old").limit(1).count()
-        scratch.drop(labels, hooked)
-        labels = new
-        if not changed:
-            scratch.drop(both)
-            return new.select("node", "component")
+    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    labels = scratch.table(ends.select(F.col("u").alias("node")).union(ends.select("v")).distinct().select("node", F.col("node").alias("component")), "labels")
+    left = scratch.table(ends.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "left")
+    while left.limit(1).count():
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hooks = scratch.table(both.groupBy("u").agg(F.min("v").alias("_low")).select(F.col("u").alias("node"), F.least("u", "_low").alias("root")), "hooks")
+        while True:
+            further = hooks.select(F.col("node").alias("_at"), F.col("root").alias("_next"))
+            new = scratch.table(hooks.join(further, F.col("root") == F.col("_at")).select("node", F.col("_next").alias("root"), (F.col("root") != F.col("_next")).alias("moved")), "hooks")
+            scratch.drop(hooks)
+            hooks = new
+            if not new.where("moved").limit(1).count():
+                break
+        hooks = hooks.select("node", "root")
+        of_u, of_v = hooks.select(F.col("node").alias("u"), F.col("root").alias("ru")), hooks.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+        fewer = left.join(of_u, "u").join(of_v, "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
+        fewer = scratch.table(fewer, "left")
+        moved = labels.join(hooks.withColumnRenamed("node", "_label"), F.col("component") == F.col("_label"), "left")
+        labels, old = scratch.table(moved.select("node", F.coalesce("root", "component").alias("component")), "labels"), labels
+        scratch.drop(old, left)
+        left = fewer
+    return labels
