@@ -270,10 +270,17 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: in
     x, y = side(open_.where("other"), "x", "c").withColumnRenamed("key", "x_key"), side(open_, "y", "c", "other")
     rest = pairs_of(x.join(y, (F.col("x_key") == F.col("key")) & apart & near))
     rest = scratch.table(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(_links(alone, rest, similarity, scratch))
-    # a copy links to the document that stands for it
-    every = links.unionByName(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
-    classes = connected_components(spark, every, "a", "b", scratch).select(F.col("node").alias("_node"), "component")
+    # later links join the classes found so far; a copy is of the class of the document that stands for it
+    found = _links(alone, rest, similarity, scratch)
+    of = component.select(F.col("node"), "component")
+    more = found.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    merged = connected_components(spark, more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b", scratch).select(F.col("node").alias("_c"), F.col("component").alias("_low"))
+    linked = scratch.table(component.unionByName(found.select(F.col("a").alias("node"), F.col("a").alias("component"))).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component")), "linked")
+    classes = scratch.table(linked.join(merged, F.col("component") == F.col("_c"), "left").select("node", F.coalesce("_low", "component").alias("component")), "classes")
+    stand = classes.select(F.col("node").alias("first"), F.col("component").alias("_class"))
+    of_copies = copies.join(stand, "first", "left").select(F.col("doc_id").alias("node"), F.coalesce("_class", "first").alias("component"))
+    # the smallest id of a class is among those that stand for copies, as these are the smallest of their copies
+    classes = classes.unionByName(of_copies).select(F.col("node").alias("_node"), "component")
     out = docs.select("doc_id").join(classes, F.col("doc_id") == F.col("_node"), "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
