@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from linehaul.operators.components import connected_components
 from linehaul.scratch import Scratch
 
-_TILE = "block int, ids binary, counts binary, q binary, s binary, e binary, full binary"
+_TILE = "dim int, block int, ids binary, counts binary, q binary, s binary, e binary, full binary"
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +75,7 @@ def _pack(table: pa.Table) -> pa.Table:
     unit = full / np.abs(full).max(1, keepdims=True)
     unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
     q, s, e = quantise(unit)
-    return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in (("ids", ids), ("counts", counts), ("q", q), ("s", s), ("e", e), ("full", full))}})
+    return pa.table({**{c: pa.array([table[c][0].as_py()], pa.int32()) for c in ("dim", "block")}, **{k: pa.array([x.tobytes()], pa.binary()) for k, x in (("ids", ids), ("counts", counts), ("q", q), ("s", s), ("e", e), ("full", full))}})
 
 
 def _unpack(row: dict) -> dict:
@@ -89,23 +89,18 @@ def _compare(threshold: float):
         """Of one tile: for each linked vector how many vectors it gained, and the smallest id it reaches inside the tile."""
         rows = sorted(table.select(["block", "ids", "counts", "q", "s", "e", "full"]).to_pylist(), key=lambda r: r["block"])
         a, b = _unpack(rows[0]), _unpack(rows[-1])
-        ids, gained, reach = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if a["full"].shape[1] == b["full"].shape[1]:
-            same = len(rows) == 1
-            i, j = tile_links(a, b, threshold, same)
-            shift = 0 if same else len(a["ids"])
-            all_ids = a["ids"] if same else np.concatenate([a["ids"], b["ids"]])
-            counts = a["counts"] if same else np.concatenate([a["counts"], b["counts"]])
-            j = j + shift
-            n = len(all_ids)
-            gain = np.bincount(i, counts[j], n) + np.bincount(j, counts[i], n)
-            order = np.argsort(all_ids, kind="stable")
-            place = np.empty(n, np.int64)
-            place[order] = np.arange(n)
-            low = all_ids[order][_smallest(n, place[i], place[j])][place]
-            hit = np.flatnonzero(gain)
-            ids, gained, reach = all_ids[hit], gain[hit].astype(np.int64), low[hit]
-        return pa.table({"rep": ids, "gained": gained, "reach": reach})
+        same = len(rows) == 1
+        i, j = tile_links(a, b, threshold, same)
+        ids = a["ids"] if same else np.concatenate([a["ids"], b["ids"]])
+        counts = a["counts"] if same else np.concatenate([a["counts"], b["counts"]])
+        j, n = j + (0 if same else len(a["ids"])), len(ids)
+        gain = np.bincount(i, counts[j], n) + np.bincount(j, counts[i], n)
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        low = ids[order][_smallest(n, place[i], place[j])][place]
+        hit = np.flatnonzero(gain)
+        return pa.table({"rep": ids[hit], "gained": gain[hit].astype(np.int64), "reach": low[hit]})
 
     return run
 
@@ -114,7 +109,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, tile: int = 409
     """``(vec_id, n_links, component_id, kept)`` of every row of ``vectors``, all compared with all.
 
     Equal vectors are one in the comparison and count as often as they occur, so a group of copies costs nothing.
-    Distinct vectors go to blocks of about ``tile``; each pair of blocks is one task, which returns sums per vector,
+    Distinct vectors of one length go to blocks of about ``tile``; each pair of blocks is one task, which returns sums per vector,
     never pairs. Vectors that are null, empty, zero, or hold null or non-finite components, link with nothing, and so
     do vectors of different lengths. Rows repeated with the same id count as separate vectors and share one result row
     each; a null id is its own component with no links. An empty table gives an empty result.
@@ -132,11 +127,11 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, tile: int = 409
     distinct = keyed.join(reps, (keyed["key"] == reps["key"]) & (keyed["id"] == reps["rep"])).select("rep", "copies", "vector").dropDuplicates(["rep"])
     blocks = max(1, -(-reps.count() // tile))
     block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
-    packed = scratch.table(distinct.withColumn("block", block).groupBy("block").applyInArrow(_pack, _TILE), "blocks")
+    packed = scratch.table(distinct.withColumn("dim", F.size("vector")).withColumn("block", block).groupBy("dim", "block").applyInArrow(_pack, _TILE), "blocks")
     # block i meets every other: the tile's key is the pair of blocks, the smaller first
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     tiles = packed.withColumn("_o", other).withColumn("_lo", F.least("block", "_o").cast("int")).withColumn("_hi", F.greatest("block", "_o").cast("int")).drop("_o")
-    found = scratch.table(tiles.groupBy("_lo", "_hi").applyInArrow(_compare(threshold), "rep long, gained long, reach long"), "found")
+    found = scratch.table(tiles.groupBy("dim", "_lo", "_hi").applyInArrow(_compare(threshold), "rep long, gained long, reach long"), "found")
     sums = found.groupBy("rep").agg(F.sum("gained").alias("gained"))
     component = connected_components(spark, found.select("rep", "reach"), "rep", "reach", scratch)
     of_rep = reps.join(sums, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
