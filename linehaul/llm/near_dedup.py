@@ -266,9 +266,12 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: in
     at = scratch.table(at.select("key", "doc", "n", "weight", "c", *parts), "at")
     major = at.groupBy("key").agg(F.max_by("c", F.struct("weight", -F.col("doc"))).alias("major"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "major")
     open_ = scratch.table(at.join(scratch.table(major, "major"), "key").withColumn("other", F.col("c") != F.col("major")), "open")
+    # a document's open buckets, at most one per band: a pair is taken up in the first that both are in
+    open_ = scratch.table(open_.join(open_.groupBy("doc").agg(F.collect_list("key").alias("keys")), "doc"), "open")
     apart = (F.col("x_c") != F.col("y_c")) & (~F.col("y_other") | (F.col("x_doc") < F.col("y_doc")))
-    x, y = side(open_.where("other"), "x", "c").withColumnRenamed("key", "x_key"), side(open_, "y", "c", "other")
-    rest = pairs_of(x.join(y, (F.col("x_key") == F.col("key")) & apart & near))
+    x, y = side(open_.where("other"), "x", "c", "keys").withColumnRenamed("key", "x_key"), side(open_, "y", "c", "other", "keys")
+    once = F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("key")
+    rest = pairs_of(x.join(y, (F.col("x_key") == F.col("key")) & apart & near & once))
     rest = scratch.table(rest.join(star, ["a", "b"], "left_anti"), "rest")
     # later links join the classes found so far; a copy is of the class of the document that stands for it
     found = _links(alone, rest, similarity, scratch)
