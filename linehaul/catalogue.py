@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linehaul.plans import catalog, feed, network, routing, vectors
+from linehaul.plans import catalog, features, feed, network, routing, vectors
 
-_MODULES = (network, routing, feed, vectors, catalog)
+_MODULES = (network, routing, feed, vectors, catalog, features)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

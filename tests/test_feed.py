@@ -111,3 +111,19 @@ def test_routes_of_the_fixture(spark, feed):
     assert blue == {0: (27000, 0), 1: (27360, 0), 2: (27660, 0), 3: (27780, 0), 4: (28320, 1)}
     assert routes(spark, calls, disabled=["feed:agency:Red:3"]) == {0: (27000, 0), 1: (27300, 0), 2: (27600, 0), 3: (27720, 0)}
     assert routes(spark, calls, closed=0) == {}
+
+
+def test_compile_and_label(spark, feed):
+    from linehaul import commands as M
+
+    net = M.compile_network(feed, datetime.date(2026, 9, 7), "feed")
+    counts = {k: net[k].count() for k in ("stations", "lines", "edges", "interchanges", "transfers")}
+    assert counts == {"stations": 5, "lines": 3, "edges": 6, "interchanges": 6, "transfers": 0}
+    graph = M.build_graph(net)
+    assert {len(r["features"]) for r in graph["line_features"].collect()} == {18} and {len(r["features"]) for r in graph["station_features"].collect()} == {16}
+    labels = {r["removed"]: r for r in M.line_removal_labels(net, [0], [27000], 3).collect()}
+    assert labels["feed:agency:Red:3"]["unreachable_share"] == 0.4 and labels["feed:agency:Blue:1"]["mean_delay"] > 0
+    assert labels["feed:agency:Red:3"]["service_loss_share"] == 0.4
+    assert [r["line"] for r in M.find_lines(net["lines"], "red").collect()] == ["feed:agency:Red:3"]
+    with pytest.raises(ValueError):
+        M.compile_network(feed, datetime.date(2026, 9, 6), "feed")
