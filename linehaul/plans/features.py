@@ -70,7 +70,7 @@ def line_temporal(spark, sf_dir):
 WITH {_RANKED}, p AS (SELECT count(*) AS n, avg(CASE WHEN (a.target >= b.target) = (a.prediction >= b.prediction) THEN 1.0 ELSE 0.0 END::DOUBLE) AS v FROM x a JOIN x b ON a.snapshot = b.snapshot AND a.line < b.line),
 r AS (SELECT snapshot, rank() OVER (PARTITION BY snapshot ORDER BY prediction) + (count(*) OVER (PARTITION BY snapshot, prediction) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY snapshot ORDER BY target) + (count(*) OVER (PARTITION BY snapshot, target) - 1) / 2.0::DOUBLE AS b,
 row_number() OVER (PARTITION BY snapshot ORDER BY prediction DESC, line) AS i, row_number() OVER (PARTITION BY snapshot ORDER BY target DESC, line) AS j FROM x),
-s AS (SELECT snapshot, corr(a, b) AS c, count(*) FILTER (i <= 10 AND j <= 10) / CAST(least(10, count(*)) AS DOUBLE) AS o FROM r GROUP BY snapshot)
+s AS (SELECT snapshot, CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) END AS c, count(*) FILTER (i <= 10 AND j <= 10) / CAST(least(10, count(*)) AS DOUBLE) AS o FROM r GROUP BY snapshot)
 SELECT 'prediction' AS baseline, CAST((SELECT count(*) FROM x) AS BIGINT) AS examples, count(*) AS snapshots, round(avg(c), 6) AS spearman, round((SELECT v FROM p), 6) AS pairwise_accuracy, round(avg(o), 6) AS top_k_overlap FROM s""")
 def evaluation_metrics(spark, sf_dir):
     out = B.evaluate(ranked(spark, sf_dir), ["prediction"], "target", 10)
