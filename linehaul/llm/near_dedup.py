@@ -235,6 +235,9 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: in
     copies = scratch.table(worded.join(first, "sha").where("doc_id > first").groupBy("doc_id").agg(F.min("first").alias("first")), "copies")
     alone = docs.where("doc_id IS NOT NULL").join(bounded(copies.select("doc_id"), _IDS), "doc_id", "left_anti")
 
+    if worded.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        alone = alone.dropDuplicates(["doc_id"])  # rows repeated with one id are one document
+
     sketch = scratch.table(alone.mapInArrow(_sketch_rows(k, bands, few), "key long, doc long, n int"), "sketch")
     parity = scratch.table(alone.mapInArrow(_parities, "doc long, " + ", ".join(f"p{k} long" for k in range(_LONGS))), "parity")
     shared = scratch.table(sketch.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key", "size"), "shared")
