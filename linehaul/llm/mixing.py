@@ -17,7 +17,11 @@ from linehaul.scratch import Scratch
 
 #: Multipliers of the block permutation: primes above any shard's number of blocks.
 _PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563)
-_ALL = Window.partitionBy(F.lit(1))
+
+
+def _all():
+    """All rows as one window; made when used, as columns need a session."""
+    return Window.partitionBy(F.lit(1))
 
 
 def sainte_lague(members: DataFrame, group: Sequence[str], key: Sequence[str], weight: str, seats: str, quota: str = "quota") -> DataFrame:
@@ -27,7 +31,7 @@ def sainte_lague(members: DataFrame, group: Sequence[str], key: Sequence[str], w
     candidates than four times the members remain to be ranked. Ties go to the smaller ``key``. Weights of zero
     or null get none.
     """
-    w = Window.partitionBy(*group) if group else _ALL
+    w = Window.partitionBy(*group) if group else _all()
     m, total, n = F.count(F.lit(1)).over(w), F.sum("_w").over(w), F.col(seats).cast("double")
     base = (
         members.withColumn("_w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
@@ -54,15 +58,15 @@ def targets(sources: DataFrame, size: str, name: str, weights: Sequence[float],
     Weights repeat along the sources in code point order, null last.
     """
     n = len(weights)
-    rank = (F.row_number().over(_ALL.orderBy(F.col(name).asc_nulls_last())) - 1) % n
+    rank = (F.row_number().over(_all().orderBy(F.col(name).asc_nulls_last())) - 1) % n
     out = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (rank + 1).cast("int")))
     cap = F.col(size) * F.lit(float(limit))
-    before = _ALL.orderBy(cap / F.col("weight"), F.col(name).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    before = _all().orderBy(cap / F.col("weight"), F.col(name).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0.0)
-    left = F.sum(size).over(_ALL) - F.coalesce(F.sum(cap).over(before), zero)
-    rest = F.sum("weight").over(_ALL) - F.coalesce(F.sum("weight").over(before), zero)
+    left = F.sum(size).over(_all()) - F.coalesce(F.sum(cap).over(before), zero)
+    rest = F.sum("weight").over(_all()) - F.coalesce(F.sum("weight").over(before), zero)
     out = out.withColumn("_capped", cap / F.col("weight") < left / rest)
-    free = (F.sum(size).over(_ALL) - F.sum(F.when(F.col("_capped"), cap).otherwise(zero)).over(_ALL)) / F.sum(F.when(F.col("_capped"), zero).otherwise(F.col("weight"))).over(_ALL)
+    free = (F.sum(size).over(_all()) - F.sum(F.when(F.col("_capped"), cap).otherwise(zero)).over(_all())) / F.sum(F.when(F.col("_capped"), zero).otherwise(F.col("weight"))).over(_all())
     return out.withColumn("target", F.when(F.col("_capped"), cap).otherwise(F.col("weight") * free)).drop("_capped")
 
 
@@ -101,7 +105,7 @@ def mix(
 
     per_source = sizes.groupBy("_source").agg(F.first("_name").alias("_name"), F.sum("_size").alias("source_size"))
     named = targets(per_source, "source_size", "_name", weights, max_repeats)
-    total = F.sum("source_size").over(_ALL)
+    total = F.sum("source_size").over(_all())
     named = named.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.floor(total / 10_000)))).withColumn("blocks", F.floor(total / F.col("block")))
     named = scratch.table(sainte_lague(named, [], ["_source"], "target", "blocks", "source_blocks").withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens))), "sources")
     sources = bounded(named.select("_source", "source_size", "target", "block", "source_blocks", "shards"), broadcast_rows)
