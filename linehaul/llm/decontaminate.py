@@ -7,6 +7,8 @@ window are equal, whichever were substituted.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,44 +31,76 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _seeds(word_list: Column, pos: Column, masks: Sequence[str], lengths: Column | None = None) -> Column:
+def _unseen(placed: Sequence[frozenset[int]], most: int, hit: frozenset[int] = frozenset()) -> frozenset[int] | None:
+    """At most ``most`` substituted places of a window that leave no seed whole, or None if there are none."""
+    whole = next((p for p in placed if not p & hit), None)
+    if whole is None:
+        return hit
+    if len(hit) == most:
+        return None
+    return next((u for x in sorted(whole) if (u := _unseen(placed, most, hit | {x})) is not None), None)
+
+
+def complete_masks(masks: Sequence[str], lengths: Sequence[int], least: float) -> dict[str, list[int]]:
+    """Masks to add, each with the window lengths it is for, so that no window with ``least`` equal words is without a seed.
+
+    Of a length at which some choice of substituted words leaves no mask whole, the equal words of that choice give a
+    mask of four of them, as close together as can be; a mask added for another length is taken first.
+    """
+    more: dict[str, list[int]] = {}
+    for n in sorted(lengths):
+        spare = n - math.ceil(n * least - 1e-9)
+        at = lambda mask, n=n: [frozenset(o + i for i, c in enumerate(mask) if c == "1") for o in range(n - len(mask) + 1)]
+        placed = [p for mask in masks for p in at(mask)]
+        while (gone := _unseen(placed, spare)) is not None:
+            fit = next((mask for mask in more if any(not p & gone for p in at(mask))), None)
+            if fit is None:
+                equal = [i for i in range(n) if i not in gone]
+                seed = min((equal[i : i + 4] for i in range(max(1, len(equal) - 3))), key=lambda x: x[-1] - x[0])
+                fit = "".join("1" if i in seed else "0" for i in range(seed[0], seed[-1] + 1))
+            more.setdefault(fit, []).append(n)
+            placed += at(fit)
+    return more
+
+
+def _seeds(word_list: Column, pos: Column, masks: Sequence[str], window: Column | None = None, only: dict[str, list[int]] | None = None) -> Column:
     """Hashes of the masks at a position as an array of structs; null where the mask leaves the list.
 
-    With ``lengths`` (of benchmark items) a mask without holes and shorter than the shortest of the others is meant
-    for items of exactly its length.
+    With ``window`` (of benchmark items) a mask in ``only`` is for items of those window lengths.
     """
-    shortest = min((len(m) for m in masks if "0" in m), default=0)
     out = []
     for k, mask in enumerate(masks):
         at = [F.get(word_list, pos + i) for i, c in enumerate(mask) if c == "1"]
         fits = pos + len(mask) <= F.size(word_list)
-        if lengths is not None:
-            fits = fits & ((lengths == len(mask)) if "0" not in mask and len(mask) < shortest else (lengths >= len(mask)))
+        if window is not None and mask in only:
+            fits = fits & window.isin(only[mask])
         out.append(F.struct(F.when(fits, F.xxhash64(F.lit(mask), *at)).alias("h"), F.lit(k).alias("mask")))
     return F.array(*out)
 
 
-def benchmark_seeds(items: DataFrame, masks: Sequence[str], window: int, stride: int, id_col: str = "item_id", text_col: str = "text", min_words: int = 5) -> tuple[DataFrame, list[str]]:
-    """Seeds of the benchmark with the words around them; masks for short items are added as such items occur."""
+def benchmark_seeds(items: DataFrame, masks: Sequence[str], window: int, least: float, id_col: str = "item_id", text_col: str = "text", min_words: int = 5) -> tuple[DataFrame, list[str]]:
+    """Seeds at every position of the benchmark with the words around them; masks are added where the items' lengths need them."""
     base = items.select(F.col(id_col).alias("item_id"), F.filter(words(F.col(text_col)), lambda x: x != "").alias("iw")).where(F.size("iw") >= min_words)
-    shortest = max(len(m) for m in masks)
-    short = base.select(F.size("iw").alias("n")).where(F.col("n") < shortest).distinct().collect()  # at most as many as the longest mask
-    masks = [*masks, *("1" * r["n"] for r in short)]
-    placed = base.select("item_id", "iw", F.posexplode("iw").alias("ipos", "_w")).where(F.col("ipos") % stride == 0)
+    size = F.least(F.lit(window), F.size("iw"))
+    lengths = [r["n"] for r in base.select(size.alias("n")).distinct().collect()]  # at most ``window``
+    only = complete_masks(masks, lengths, least)
+    masks = [*masks, *only]
+    longest = max(len(m) for m in masks)
+    placed = base.select("item_id", "iw", F.posexplode("iw").alias("ipos", "_w"))
     begin = F.greatest(F.lit(0), F.col("ipos") - (window - 1))
-    seeds = placed.select("item_id", "ipos", F.size("iw").alias("item_words"), begin.alias("ib"), F.slice("iw", begin + 1, 2 * window + shortest).alias("near"), F.inline(_seeds(F.col("iw"), F.col("ipos"), masks, F.size("iw"))))
+    seeds = placed.select("item_id", "ipos", F.size("iw").alias("item_words"), begin.alias("ib"), F.slice("iw", begin + 1, 2 * window + longest).alias("near"), F.inline(_seeds(F.col("iw"), F.col("ipos"), masks, size, only)))
     return seeds.where("h IS NOT NULL").drop("mask"), masks
 
 
-def overlaps(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS, window: int = 20, least: float = 0.8, stride: int = 2, broadcast_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, masks: Sequence[str] = MASKS, window: int = 20, least: float = 0.8, broadcast_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, seeds, matched, window)``: items of which a document has a window with at least ``least`` equal words.
 
     A window is ``window`` words, or the whole item if that is shorter; ``matched`` is the best window's number of
-    equal words, ``seeds`` the hits that led to such a window. Every position of every whole text is looked up. The
-    benchmark's seeds are broadcast up to ``broadcast_rows`` rows, and joined by a shuffle beyond. Items of fewer than
+    equal words, ``seeds`` the hits that led to such a window. Every position of every whole text is looked up against
+    every position of the items, with masks that leave no choice of substituted words without a hit. The benchmark's seeds are broadcast up to ``broadcast_rows`` rows, and joined by a shuffle beyond. Items of fewer than
     five words are not looked for. Null and empty texts have no overlaps; rows with the same id give one row per item.
     """
-    seeds, masks = benchmark_seeds(items, masks, window, stride)
+    seeds, masks = benchmark_seeds(items, masks, window, least)
     seeds = bounded(seeds, broadcast_rows)
     at = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).select("doc_id", "w", F.posexplode_outer("w").alias("pos", "_w"))
     # (an outer explode, as for an inner one the optimizer adds a filter that splits every text once more)

@@ -105,6 +105,28 @@ def test_decontaminate_equals_brute_force(spark):
     assert overlaps(docs(spark, []), bench).count() == 0 and overlaps(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontaminate_misses_no_substitution(spark):
+    from itertools import combinations
+
+    from linehaul.llm.decontaminate import MASKS, complete_masks, overlaps
+
+    only = complete_masks(MASKS, range(5, 21), 0.8)
+    for n in range(5, 21):
+        seeds = [{o + i for i, c in enumerate(m) if c == "1"} for m in [*MASKS, *(m for m, of in only.items() if n in of)] for o in range(n - len(m) + 1)]
+        assert all(any(s.isdisjoint(gone) for s in seeds) for gone in combinations(range(n), n - -(-n * 8 // 10)))
+    rng = random.Random(13)
+    items, rows = [], []
+    for j, n in enumerate((5, 6, 7, 10, 15, 20, 21)):
+        v = [f"i{j}x{k}" for k in range(n)]
+        items.append((j, " ".join(v)))
+        m = min(n, 20)
+        every = list(combinations(range(n - m, n), m - -(-m * 8 // 10)))
+        for gone in every if len(every) < 50 else rng.sample(every, 300):
+            rows.append((len(rows), " ".join(["p"] * (len(rows) % 3) + ["q" if k in gone or k < n - m else w for k, w in enumerate(v)])))
+    got = {r["doc_id"] for r in overlaps(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {k for k, _ in rows}
+
+
 # --- mixing
 
 
