@@ -150,8 +150,41 @@ def _chain(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def aligned(a: np.ndarray, b: np.ndarray, band: int, k: int = 5, most: int = 4096) -> int:
-    """Words of a and b aligned in order. Texts beyond ``most`` words are aligned between k-mers that both have once."""
+def lcs_window(a: list[int], b: list[int], band: int, block: int = 4096) -> int:
+    """As ``lcs_banded``, with only the bits of the band in memory: those of a before it are final, those after it untouched."""
+    masks: dict[int, dict[int, bytes]] = {}
+    none = bytes(block // 8)
+
+    def of_block(k: int) -> dict[int, bytes]:
+        found: dict[int, bytearray] = {}
+        for i, x in enumerate(a[k * block : (k + 1) * block]):
+            found.setdefault(x, bytearray(block // 8))[i >> 3] |= 1 << (i & 7)
+        return {x: bytes(m) for x, m in found.items()}
+
+    lo = hi = done = v = 0  # v has the bits of a[lo:hi]
+    for j, y in enumerate(b):
+        start, stop = min(max(0, j - band), len(a)), min(len(a), j + band + 1)
+        if start >= len(a):
+            break
+        done += start - lo - (v & ((1 << (start - lo)) - 1)).bit_count()
+        v >>= start - lo
+        v |= ((1 << (stop - hi)) - 1) << (hi - start)
+        lo, hi = start, stop
+        first, last = lo // block, (hi - 1) // block
+        for k in [k for k in masks if k < first]:
+            del masks[k]
+        for k in range(first, last + 1):
+            if k not in masks:
+                masks[k] = of_block(k)
+        m = int.from_bytes(b"".join(masks[k].get(y, none) for k in range(first, last + 1)), "little") >> (lo - first * block)
+        u = v & m
+        if u:
+            v = ((v + u) | (v - u)) & ((1 << (hi - lo)) - 1)
+    return done + hi - lo - v.bit_count()
+
+
+def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Words that a and b have in common at both ends, and what lies between."""
     n = min(len(a), len(b))
     same = a[:n] != b[:n]
     head = int(same.argmax()) if same.any() else n
@@ -159,19 +192,27 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int, k: int = 5, most: int = 409
     n = min(len(a), len(b))
     same = a[len(a) - n :][::-1] != b[len(b) - n :][::-1]
     tail = int(same.argmax()) if n and same.any() else n
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    done = head + tail
+    return head + tail, a[: len(a) - tail], b[: len(b) - tail]
+
+
+def aligned(a: np.ndarray, b: np.ndarray, band: int, most: int = 4096) -> int:
+    """Words of a and b aligned in order, at most ``band`` off the diagonal. Beyond ``most`` words memory is that of the band."""
+    done, a, b = _trimmed(a, b)
     if not len(a) or not len(b):
         return done
-    if max(len(a), len(b)) <= most:
-        return done + lcs_banded(a.tolist(), b.tolist(), band)
+    lcs = lcs_banded if max(len(a), len(b)) <= most else lcs_window
+    return done + lcs(a.tolist(), b.tolist(), band)
+
+
+def aligned_between(a: np.ndarray, b: np.ndarray, band: int, k: int = 5, most: int = 4096) -> int:
+    """A number of words that can be aligned at least, found fast: between k-mers that both have once, of up to ``most`` words."""
+    done, a, b = _trimmed(a, b)
     i = j = 0
     for p, q in [*_chain(a, b, k), (len(a), len(b))]:
         if p < i or q < j:  # inside what is aligned already
             continue
         if max(p - i, q - j) <= most:
             done += lcs_banded(a[i:p].tolist(), b[j:q].tolist(), band)
-        # in longer stretches without a common k-mer nothing is aligned
         i, j = p, q
         if p < len(a):
             done, i, j = done + 1, i + 1, j + 1
@@ -193,7 +234,10 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     if int(np.minimum(ca[p], cb[q]).sum()) < need:
         return False
     # words left over on either side bound how far an alignment of that many can leave the diagonal
-    return aligned(a, b, max(len(a), len(b)) - need) >= need
+    band = max(len(a), len(b)) - need
+    if max(len(a), len(b)) > 4096 and aligned_between(a, b, band) >= need:
+        return True
+    return aligned(a, b, band) >= need
 
 
 def _verify(least: float):

@@ -382,6 +382,28 @@ def test_alignment():
     assert aligned(long, other, 200) == len(other)
 
 
+def test_alignment_of_long_repetitive_texts():
+    from linehaul.llm.near_dedup import aligned, lcs_banded, lcs_window, similar
+
+    rng = random.Random(14)
+    for _ in range(200):
+        a = [rng.randrange(6) for _ in range(rng.randrange(0, 90))]
+        b = [w for w in a if rng.random() > 0.2] if rng.random() < 0.5 else [rng.randrange(6) for _ in range(rng.randrange(0, 90))]
+        for band in (0, 1, 7, 30, 200):
+            assert lcs_window(a, b, band, 16) == lcs_banded(a, b, band)
+    passage = [rng.randrange(10**6) for _ in range(1200)]
+    text = np.array(passage * 5, np.uint64)
+    other = np.insert(text, [3, 5990], [10**7, 10**7 + 1])
+    assert aligned(text, other, 1200) == len(text) and similar(text, other, 0.8)
+    # below the threshold by one word: no more is aligned than there is
+    a = np.array(passage * 4, np.uint64)
+    for k, want in ((960, True), (961, False)):
+        b = a.copy()
+        b[::5] = np.arange(10**8, 10**8 + len(b[::5]))
+        b[1 : 1 + k - 960] = 1
+        assert similar(a, b, 0.8) == want
+
+
 def test_near_dedup(spark):
     from linehaul.llm.near_dedup import near_classes, near_dedup
 
