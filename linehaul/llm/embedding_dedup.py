@@ -88,8 +88,10 @@ def _compare(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         """Of one tile: for each linked vector how many vectors it gained, and the smallest id it reaches inside the tile."""
         rows = sorted(table.select(["block", "ids", "counts", "q", "s", "e", "full"]).to_pylist(), key=lambda r: r["block"])
+        same = table["_lo"][0].as_py() == table["_hi"][0].as_py()
+        if not same and len(rows) == 1:  # no vector of this length is in the other block
+            return pa.table({k: pa.array([], pa.int64()) for k in ("rep", "gained", "reach")})
         a, b = _unpack(rows[0]), _unpack(rows[-1])
-        same = len(rows) == 1
         i, j = tile_links(a, b, threshold, same)
         ids = a["ids"] if same else np.concatenate([a["ids"], b["ids"]])
         counts = a["counts"] if same else np.concatenate([a["counts"], b["counts"]])

@@ -462,3 +462,13 @@ def test_embedding_links_equal_brute_force(spark):
     q, s, e = quantise(u)
     bound = e[:, None] + np.linalg.norm(q * s[:, None], axis=1)[:, None] * e[None, :]
     assert (np.abs(u @ u.T - (q * s[:, None]) @ (q * s[:, None]).T) <= bound).all()
+
+
+def test_embedding_links_of_a_rare_length(spark):
+    from linehaul.llm.embedding_dedup import embedding_links
+
+    rng = np.random.default_rng(15)
+    rows = [(i, list(map(float, rng.normal(size=16)))) for i in range(280)]
+    rows += [(1000 + k, [1.0, 2.0, 3.0, 4.0 + k / 1000]) for k in range(30)]  # fewer than the 39 blocks: some have none of them
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=8).collect()}
+    assert {got[1000 + k] for k in range(30)} == {(29, 1000)}
