@@ -32,14 +32,22 @@ class ByteCnn:
     overlap: int = 32
 
 
-def chunks(offsets: np.ndarray, chunk: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, end) of the overlapping chunks that cover every text; an empty text has none."""
+def bordered(data: np.ndarray, offsets: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with ``gap`` zero bytes after each, and where they begin: no response reads the next text."""
     n = np.diff(offsets)
+    begin = offsets[:-1] + np.arange(len(n)) * gap
+    out = np.zeros(len(data) + len(n) * gap, np.uint8)
+    out[K.ranges(begin, n)] = data
+    return out, begin
+
+
+def chunks(begin: np.ndarray, n: np.ndarray, chunk: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the overlapping chunks that cover every text of n bytes; an empty text has none."""
     step = chunk - overlap
     count = np.where(n > 0, 1 + np.maximum(0, -(-(n - chunk) // step)), 0)
     text = np.repeat(np.arange(len(n)), count)
-    start = offsets[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * step
-    return text, start, np.minimum(start + chunk, offsets[1:][text])
+    start = begin[text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * step
+    return text, start, np.minimum(start + chunk, (begin + n)[text])
 
 
 def pair_tables(table: np.ndarray) -> np.ndarray:
@@ -49,12 +57,12 @@ def pair_tables(table: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(pairs.reshape(width // 2, 65536, filters).transpose(2, 0, 1))
 
 
-def responses(data: np.ndarray, offsets: np.ndarray, m: ByteCnn, tables: np.ndarray, totals: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per chunk its text, start, end and its largest response of each filter (before the bias).
+def responses(data: np.ndarray, begin: np.ndarray, size: np.ndarray, m: ByteCnn, tables: np.ndarray, totals: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per chunk its text, start, end and its largest response of each filter (before the bias); data is bordered.
 
     ``totals``, if given, gets every filter's response at every byte.
     """
-    text, start, end = chunks(offsets, m.chunk, m.overlap)
+    text, start, end = chunks(begin, size, m.chunk, m.overlap)
     filters, half, _ = tables.shape
     n = len(data)
     padded = np.zeros(n + 2 * half + 1, np.int64)
@@ -89,10 +97,11 @@ def _pool(text: np.ndarray, best: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 def predict(data: np.ndarray, offsets: np.ndarray, m: ByteCnn, tables: np.ndarray) -> np.ndarray:
     """Probability of each text; an empty text has the output's bias alone."""
-    text, _, _, best = responses(data, offsets, m, tables)
+    data, begin = bordered(data, offsets, len(m.table) - 1)
+    text, _, _, best = responses(data, begin, np.diff(offsets), m, tables)
     best = np.maximum(best + m.bias, 0)
     _, feats, _ = _pool(text, best, len(offsets) - 1)
-    return 1 / (1 + np.exp(-np.clip(feats @ m.out + m.out_bias, -35, 35).astype(np.float64)))
+    return 1 / (1 + np.exp(-np.clip((feats * m.out).sum(1) + m.out_bias, -35, 35).astype(np.float64)))
 
 
 def score_texts(col: pa.Array, m: ByteCnn) -> np.ndarray:
@@ -121,7 +130,8 @@ def train(rows: list[tuple[str, int]], filters: int = 12, width: int = 6, epochs
             size = offsets[ids + 1] - offsets[ids]
             part, at = data[K.ranges(offsets[ids], size)], np.concatenate([[0], np.cumsum(size)])
             totals: list[np.ndarray] = []
-            text, start, end, raw = responses(part, at, m, pair_tables(m.table), totals)
+            part, at = bordered(part, at, width - 1)
+            text, start, end, raw = responses(part, at, size, m, pair_tables(m.table), totals)
             best = np.maximum(raw + m.bias, 0)
             have, feats, begin = _pool(text, best, len(ids))
             p = 1 / (1 + np.exp(-np.clip(feats @ m.out + params[3][0], -35, 35)))

@@ -214,6 +214,16 @@ def test_quality_chunks_cover_the_text():
     assert (p[:-1] > 0.99).all() and p[-1] == 0.5
 
 
+def test_quality_scores_do_not_depend_on_neighbours():
+    from linehaul.llm import quality as Q
+
+    rng = np.random.default_rng(16)
+    m = Q.ByteCnn(rng.normal(0, 1, (6, 256, 4)).astype(np.float32), np.zeros(4, np.float32), rng.normal(0, 1, 8).astype(np.float32), 0.0)
+    for text in ("a", "abcde", "some words here", "x y z " * 100):
+        alone = Q.score_texts(pa.array([text]), m)[0]
+        assert all(Q.score_texts(pa.array(["before", text, *after]), m)[1] == alone for after in (["#####"], ["zzz", "q"], ["", "\xe9\xe9\xe9"], [None, "0"], []))
+
+
 def test_toxicity(spark):
     from linehaul.llm.toxicity import toxicity
 
