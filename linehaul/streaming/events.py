@@ -45,9 +45,26 @@ def run_states(events: DataFrame) -> DataFrame:
 
 
 def import_log(events: DataFrame, target: str, checkpoint: str):
-    """Import into a table exactly once per (run, seq): a redelivered event is dropped. Returns the started query."""
-    once = events.withWatermark("ts", "1 hour").dropDuplicates(["run", "seq"])
-    return once.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Import into a table exactly once per (run, seq), however late: a redelivered event is dropped. Returns the started query.
+
+    Each batch is held against the keys that the table has, so a batch repeated after a failure adds nothing twice.
+    One import writes to a table at a time. A table that Spark's file sink wrote (with a ``_spark_metadata`` folder)
+    is refused, as what is added to it could not be read.
+    """
+
+    def add(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_spark_metadata")):
+            raise ValueError(f"{target} was written by the file sink")
+        new = batch.dropDuplicates(["run", "seq"])
+        if fs.exists(folder):
+            done = spark.read.schema(EVENT).parquet(target).select(F.col("run").alias("_run"), F.col("seq").alias("_seq"))
+            new = new.join(done, F.col("run").eqNullSafe(F.col("_run")) & F.col("seq").eqNullSafe(F.col("_seq")), "left_anti")
+        new.write.mode("append").parquet(target)
+
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def conflicts(events: DataFrame) -> DataFrame:

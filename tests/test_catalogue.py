@@ -49,3 +49,14 @@ def test_streams(spark, tmp_path):
     assert {(r["run"], r["status"], r["checkpoints"]) for r in spark.table("states").collect()} == {("a", "run.finished", 1), ("b", "run.finished", 1)}
     assert E.conflicts(table).count() == 0
     assert [r["seq"] for r in E.replay(table, "a", 1).collect()] == [2]
+
+
+def test_import_keeps_late_runs(spark, tmp_path):
+    os.makedirs(tmp_path / "log")
+    stream = E.read_events(spark, str(tmp_path / "log"))
+    event = lambda run, seq, day: {"run": run, "seq": seq, "ts": f"2024-01-{day:02d}T00:00:00Z", "type": "step", "payload": "{}"}
+    for batch in ([event("new", 1, 9)], [event("new", 2, 9)], [event("old", 1, 1), event("new", 1, 9)], [event("old", 1, 1), event("old", 2, 2)]):
+        E.append_events(str(tmp_path / "log"), batch)
+        E.import_log(stream, str(tmp_path / "table"), str(tmp_path / "cursor")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "table")).select("run", "seq").collect()
+    assert sorted((r["run"], r["seq"]) for r in rows) == [("new", 1), ("new", 2), ("old", 1), ("old", 2)]
