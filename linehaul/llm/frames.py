@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 #: A word: bytes other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,3 +27,11 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
 
 def id_text(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string"))
+
+
+def long_id(df: DataFrame, column: str) -> Column:
+    """An integer id as long; an id of any other type is an error, as ids are compared by size."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"{column} must be an integer, not {kind.simpleString()}")
+    return F.col(column).cast("long")

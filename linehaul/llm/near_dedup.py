@@ -13,18 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from linehaul.llm import kernels as K
 from linehaul.llm.frames import bounded
-from linehaul.llm.substring_dedup import _IDS, _measure, _text_of
+from linehaul.llm.substring_dedup import _IDS, _ROW, _measure, _text_of, keyed
 from linehaul.operators.components import connected_components
+from linehaul.operators.numbering import numbered
 from linehaul.scratch import Scratch
 
 U = np.uint64
 #: Survivors of a text's k-mers that a hash function keeps on average before the smallest are chosen; fewer fall back to all.
-_FEW = 24
+_FEW = 12
 #: Length of a text's bitmap of words, in longs.
 _LONGS = 16
 
@@ -69,11 +71,16 @@ def sketches(text: np.ndarray, h: np.ndarray, bands: int, few: int) -> Iterator[
         lack = found < want
         if lack.any():
             at = np.flatnonzero((x <= bound) | lack[row])
-        order = np.lexsort((x[at], row[at]))
-        at = at[order]
-        begin = np.concatenate([[0], np.cumsum(np.bincount(row[at], minlength=len(have)))])[:-1]
-        at = np.sort(at[np.arange(len(at)) - begin[row[at]] < few])  # the smallest, in text order
-        begin = np.concatenate([[0], np.cumsum(want)])[:-1]
+        own, left = row[at], x[at]
+        begin = np.searchsorted(own, np.arange(len(have)))
+        chosen = np.zeros(len(at), bool)
+        for t in range(few):  # the smallest of what is left
+            low = np.minimum.reduceat(left, begin)
+            eq = np.flatnonzero((left == low[own]) & (want[own] > t))
+            eq = eq[np.concatenate([[True], own[eq[1:]] != own[eq[:-1]]])]
+            chosen[eq], left[eq] = True, ~U(0)
+        at = at[chosen]  # in text order
+        begin = np.cumsum(want) - want
         rank = np.arange(len(at)) - np.repeat(begin, want)
         mixed = K.mix(h[at] + (rank.astype(U) + U(1)) * U(0x9FB21C651E98DF25))
         yield have, K.mix(np.add.reduceat(mixed, begin) + U((band + 1) * K._BYTE_R & (2**64 - 1)))
@@ -258,67 +265,78 @@ def _links(docs: DataFrame, pairs: DataFrame, least: float, scratch: Scratch) ->
     return scratch.table(pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(least), "a long, b long"), "links")
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: int = 24, few: int = 3) -> DataFrame:
-    """``(doc_id, class_id, kept)`` per row of ``docs`` (doc_id, text): class_id is the smallest id of its class, the linked and their linked.
-
-    Copies of one word sequence are one document in the search. In each bucket of a sketch all members
-    are first compared with one of them, that which meets most others; after that only pairs of the bucket that are in different
-    classes by then, none of them in the bucket's first class twice over, and none compared before. Pairs that cannot
-    be similar, by their lengths or by a bound on their common words, are left out before their texts are fetched. So
-    no similar candidate pair is lost, and a group of near copies costs its size, not its square.
-
-    Null and empty texts are their own class, and so are null ids. Rows repeated with the same id have the same class.
-    An empty table gives an empty result.
-    """
+def _classes(docs: DataFrame, similarity: float, k: int, bands: int, few: int) -> DataFrame:
+    """(doc_id, row, class_id, kept) per row of ``docs``; see ``near_classes``."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "near")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measure = scratch.table(docs.mapInArrow(_measure, "doc_id long, n_words long, sha binary"), "measure")
+    docs = keyed(docs)
+    measure = scratch.table(docs.mapInArrow(_measure, "doc_id long, row long, n_words long, sha binary"), "measure")
+    # texts of one id are documents of their own: all but one get an id above all others in the search
+    several = scratch.table(measure.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "several")
+    repeated, extra = several.limit(1).count() > 0, None
+    if repeated and several.where("lo < hi").limit(1).count():
+        top = measure.agg(F.max("doc_id").alias("top")).collect()[0]["top"]
+        extra = measure.join(several.where("lo < hi"), "doc_id").where("row > lo").select(*_ROW).distinct()
+        extra = scratch.table(numbered(extra, _ROW, "node", scratch).withColumn("node", F.col("node") + F.lit(top + 1)), "extra")
+
+    def with_node(df: DataFrame) -> DataFrame:
+        if extra is None:
+            return df.withColumn("node", F.col("doc_id"))
+        return df.join(bounded(extra, _IDS), _ROW, "left").withColumn("node", F.coalesce("node", "doc_id"))
+
+    texts = with_node(docs).select(F.col("node").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    measure = with_node(measure)
     worded = measure.where("n_words > 0 AND doc_id IS NOT NULL")
-    first = scratch.table(worded.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first"), "first")
-    copies = scratch.table(worded.join(first, "sha").where("doc_id > first").groupBy("doc_id").agg(F.min("first").alias("first")), "copies")
-    alone = docs.where("doc_id IS NOT NULL").join(bounded(copies.select("doc_id"), _IDS), "doc_id", "left_anti")
-
-    if worded.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        alone = alone.dropDuplicates(["doc_id"])  # rows repeated with one id are one document
+    first = scratch.table(worded.groupBy("sha").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("sha", "first"), "first")
+    copies = scratch.table(worded.join(first, "sha").where("node > first").groupBy(F.col("node").alias("doc_id")).agg(F.min("first").alias("first")), "copies")
+    alone = texts.join(bounded(copies.select("doc_id"), _IDS), "doc_id", "left_anti")
+    if repeated:
+        alone = alone.dropDuplicates(["doc_id"])  # rows of one id and text are one document
 
     sketch = scratch.table(alone.mapInArrow(_sketch_rows(k, bands, few), "key long, doc long, n int"), "sketch")
-    parity = scratch.table(alone.mapInArrow(_parities, "doc long, " + ", ".join(f"p{k} long" for k in range(_LONGS))), "parity")
+    parts = [f"p{k}" for k in range(_LONGS)]
+    parity = scratch.table(alone.mapInArrow(_parities, "doc long, " + ", ".join(f"{p} long" for p in parts)), "parity")
     shared = scratch.table(sketch.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key", "size"), "shared")
     members = scratch.table(sketch.join(shared, "key"), "members")
+    scratch.drop(sketch)
     # the document that meets most others stands in the middle of its group: what the rest of its buckets start from
     weight = scratch.table(members.groupBy("doc").agg(F.sum("size").alias("weight")), "weight")
-    members = scratch.table(members.join(weight, "doc").join(parity, "doc"), "members")
-    parts = [f"p{k}" for k in range(_LONGS)]
+    members = scratch.table(members.join(weight, "doc").select("key", "doc", "n", "weight"), "members")
     # lengths of similar texts differ by at most this factor
     factor = (2 - similarity) / similarity
 
     def side(df: DataFrame, name: str, *more: str) -> DataFrame:
-        return df.select("key", *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "n", *parts, *more)))
+        return df.select("key", *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "n", *more)))
 
+    sized = F.least("x_n", "y_n") * factor >= F.greatest("x_n", "y_n") - 1e-9
     differ = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in parts), F.lit(0))
-    near = (F.least("x_n", "y_n") * factor >= F.greatest("x_n", "y_n") - 1e-9) & (differ <= (1 - similarity) * (F.col("x_n") + F.col("y_n")) + 1e-9)
+    common = differ <= (1 - similarity) * (F.col("x_n") + F.col("y_n")) + 1e-9
 
-    def pairs_of(joined: DataFrame) -> DataFrame:
-        return joined.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
-
-    centre = members.groupBy("key").agg(F.max_by(F.struct("doc", "n", *parts), F.struct("weight", -F.col("doc"))).alias("c")).select("key", "c.*")
+    # in every bucket all with its centre; the bound on common words is for each pair once
+    centre = members.groupBy("key").agg(F.max_by(F.struct("doc", "n"), F.struct("weight", -F.col("doc"))).alias("c")).select("key", "c.*")
     centre = scratch.table(side(centre, "y"), "centre")
-    star = scratch.table(pairs_of(side(members, "x").join(centre, "key").where(near & (F.col("x_doc") != F.col("y_doc")))), "star")
+    met = side(members, "x").join(centre, "key").where(sized & (F.col("x_doc") != F.col("y_doc")))
+    ends = [(F.when(F.col("x_doc") < F.col("y_doc"), F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}"))).alias(f"{p}_{c}") for p, q in (("x", "y"), ("y", "x")) for c in ("doc", "n")]
+    met = scratch.table(met.select(*ends).distinct(), "met")
+    bits = lambda name: parity.select(F.col("doc").alias(f"{name}_doc"), *(F.col(p).alias(f"{name}_{p}") for p in parts))
+    star = met.join(bits("x"), "x_doc").join(bits("y"), "y_doc").where(common)
+    star = scratch.table(star.select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")), "star")
     links = _links(alone, star, similarity, scratch)
     component = connected_components(spark, links, "a", "b", scratch)
 
     # what shares a sketch but not a class yet
     at = members.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
-    at = scratch.table(at.select("key", "doc", "n", "weight", "c", *parts), "at")
+    at = scratch.table(at.select("key", "doc", "n", "weight", "c"), "at")
     major = at.groupBy("key").agg(F.max_by("c", F.struct("weight", -F.col("doc"))).alias("major"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "major")
     open_ = scratch.table(at.join(scratch.table(major, "major"), "key").withColumn("other", F.col("c") != F.col("major")), "open")
     # a document's open buckets, at most one per band: a pair is taken up in the first that both are in
-    open_ = scratch.table(open_.join(open_.groupBy("doc").agg(F.collect_list("key").alias("keys")), "doc"), "open")
+    open_ = open_.join(open_.groupBy("doc").agg(F.collect_list("key").alias("keys")), "doc").join(parity, "doc")
+    open_ = scratch.table(open_, "open")
     apart = (F.col("x_c") != F.col("y_c")) & (~F.col("y_other") | (F.col("x_doc") < F.col("y_doc")))
-    x, y = side(open_.where("other"), "x", "c", "keys").withColumnRenamed("key", "x_key"), side(open_, "y", "c", "other", "keys")
+    x, y = side(open_.where("other"), "x", "c", "keys", *parts).withColumnRenamed("key", "x_key"), side(open_, "y", "c", "other", "keys", *parts)
     once = F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("key")
-    rest = pairs_of(x.join(y, (F.col("x_key") == F.col("key")) & apart & near & once))
+    rest = x.join(y, (F.col("x_key") == F.col("key")) & apart & sized & common & once)
+    rest = rest.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
     rest = scratch.table(rest.join(star, ["a", "b"], "left_anti"), "rest")
     # later links join the classes found so far; a copy is of the class of the document that stands for it
     found = _links(alone, rest, similarity, scratch)
@@ -330,21 +348,52 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: in
     stand = classes.select(F.col("node").alias("first"), F.col("component").alias("_class"))
     of_copies = copies.join(stand, "first", "left").select(F.col("doc_id").alias("node"), F.coalesce("_class", "first").alias("component"))
     # the smallest id of a class is among those that stand for copies, as these are the smallest of their copies
-    classes = classes.unionByName(of_copies).select(F.col("node").alias("_node"), "component")
-    out = docs.select("doc_id").join(classes, F.col("doc_id") == F.col("_node"), "left")
-    return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    classes = classes.unionByName(of_copies)
+    out = measure.select(*_ROW, "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if extra is None:
+        return out.select(*_ROW, F.col("component").alias("class_id"), F.coalesce(F.col("component") == F.col("node"), F.lit(True)).alias("kept"))
+    # a class is called by the smallest of the ids that its documents came with
+    out = scratch.table(out, "out")
+    named = out.where("node IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "node")).alias("least"))
+    out = out.join(named, "component", "left")
+    return out.select(*_ROW, "class_id", F.coalesce(F.col("least.node") == F.col("node"), F.lit(True)).alias("kept"))
+
+
+def near_classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: int = 64, few: int = 2) -> DataFrame:
+    """``(doc_id, class_id, kept)`` per row of ``docs`` (doc_id, text): class_id is the smallest id of its class, the linked and their linked.
+
+    Copies of one word sequence are one document in the search. In each bucket of a sketch all members
+    are first compared with one of them, that which meets most others; after that only pairs of the bucket that are in different
+    classes by then, none of them in the bucket's first class twice over, and none compared before. Pairs that cannot
+    be similar, by their lengths or by a bound on their common words, are left out before their texts are fetched. So
+    no similar candidate pair is lost, and a group of near copies costs its size, not its square.
+
+    Null and empty texts are their own class, and so are null ids. Ids are integers. Rows of one id and text have the
+    same class; rows of one id with other texts are documents of their own, and of those of the smallest id in a class
+    one text is kept. Very long texts are aligned over their whole band. Ties go to the smaller id. An empty table
+    gives an empty result.
+    """
+    return _classes(docs, similarity, k, bands, few).select("doc_id", "class_id", "kept")
+
 
+def near_dedup(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: int = 64, few: int = 2) -> DataFrame:
+    """``docs`` with the columns it has: the document of smallest id of each class; of rows with one id and text, one stays.
 
-def near_dedup(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the columns it has: the document of smallest id of each class; of rows with one id, one stays."""
+    Nulls, empty and long texts, ties and repeated rows are treated as in ``near_classes``; rows with a null id all stay.
+    """
     scratch = Scratch(docs.sparkSession, "near")
-    classes = scratch.table(near_classes(docs, **how), "classes")
-    gone = classes.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(bounded(gone, _IDS), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    twice = classes.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice")
-    twice = scratch.table(twice, "twice")
+    classes = scratch.table(_classes(docs, similarity, k, bands, few), "classes").where("doc_id IS NOT NULL")
+    # the columns of docs are c0, c1, ... in here, so that no name of theirs meets one of these
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    out = docs.toDF(*own.values()).withColumns({"_id": F.col(own["doc_id"]).cast("long"), "_row": F.xxhash64(own["text"])})
+    names = {"doc_id": "_id", "row": "_row"}
+    gone = classes.where("NOT kept").select(*_ROW).distinct().withColumnsRenamed(names)
+    out = out.join(bounded(gone, _IDS), ["_id", "_row"], "left_anti")
+    twice = scratch.table(classes.groupBy(*_ROW).count().where("count > 1").select(*_ROW).withColumnsRenamed(names), "twice")
     if twice.limit(1).count():
         twice = bounded(twice, _IDS)
-        once = out.join(twice, out["doc_id"].cast("long") == F.col("_twice"), "left_anti")
-        out = once.unionByName(out.join(twice, out["doc_id"].cast("long") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))
-    return out
+        hashed = [f.name for f in out.schema if not isinstance(f.dataType, MapType | VariantType)]
+        first = Window.partitionBy("_id", "_row").orderBy(F.xxhash64(*hashed))
+        once = out.join(twice, ["_id", "_row"], "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        out = out.join(twice, ["_id", "_row"], "left_anti").unionByName(once)
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linehaul.llm.frames import id_text, table
+from linehaul.llm.frames import id_text, table, word_count
+from linehaul.scratch import Scratch
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +24,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linehaul.llm.mixing import mix
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    # texts are read once; the mix needs their sizes and, to order rows of one id, digests
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("digest"))
+    docs = Scratch(spark, "words").table(docs, "documents")
+    return mix(docs, text_col="digest", size_col="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linehaul.llm.substring_dedup import substring_digest
 
-    return substring_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substring_digest(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

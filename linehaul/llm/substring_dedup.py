@@ -2,7 +2,8 @@
 
 Windows of half the wanted length are compared first, and of those only the ones with the smallest hash inside some
 window of the wanted length: a stretch of that length chooses alike wherever it stands. Windows of the wanted length
-whose chosen half repeats across documents are the candidates of the next level; they are compared whole.
+whose chosen half repeats across documents are the candidates of the next level. From there on windows that repeat at
+one length are extended to twice that length where the window that follows repeats too, until no candidates survive.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linehaul.llm import kernels as K
-from linehaul.llm.frames import bounded
+from linehaul.llm.frames import bounded, long_id
 from linehaul.scratch import Scratch
 
 _SECOND = 0xAF251AF3B0F025B5 | 1
@@ -56,36 +57,55 @@ def joined(w: K.Words, keep: np.ndarray) -> list[bytes]:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, sha = [], []
-        for _, _, w in K.each(b.column(1), hashes=False):
+        for _, _, w in K.each(b.column(2), hashes=False):
             n.append(np.diff(w.doc))
             sha += [hashlib.sha256(x).digest() for x in joined(w, np.ones(len(w.start), bool))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n or [np.zeros(0, np.int64)]), pa.int64()), pa.array(sha, pa.binary())], ["doc_id", "n_words", "sha"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(n or [np.zeros(0, np.int64)]), pa.int64()), pa.array(sha, pa.binary())], ["doc_id", "row", "n_words", "sha"])
+
+
+def _keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
 
 
 def _halves(base: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for i, j, w in K.each(b.column(1)):
+            ids, rows = _keys(b)
+            for i, j, w in K.each(b.column(2)):
                 at, low = chosen(w, base, length)
                 if not len(at):
                     continue
                 text = _text_of(w)[at]
                 new = np.concatenate([[True], (low[1:] != low[:-1]) | (text[1:] != text[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(low[new])), pa.array(ids[i:j][text[new]])], ["h", "doc"])
+                text = text[new]
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(low[new])), pa.array(ids[i:j][text]), pa.array(rows[i:j][text])], ["h", "doc", "row"])
 
     return run
 
 
+_HIGH = np.uint64(0xFFFFFFFF00000000)
+
+
+def _sliced(first: np.ndarray, second: np.ndarray, at: np.ndarray, doc: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of a level: two hashes of each window, the second's upper half packed with the place."""
+    packed = (second & _HIGH) | at.astype(np.uint64)
+    for k in range(0, len(at), 1 << 16):
+        s = slice(k, k + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(K.signed(first[s])), pa.array(K.signed(packed[s])), pa.array(doc[s]), pa.array(row[s])], ["a", "c", "doc", "row"])
+
+
+_LEVEL = "a long, c long, doc long, row long"
+
+
 def _wholes(base: int, length: int):
-    """Rows of the next level: two hashes of each candidate window, the second's upper half packed with the position."""
+    """Rows of the level of the wanted length: windows whose chosen half repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, repeated = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
+            (ids, rows), repeated = _keys(b), b.column(3)
             values, edge = repeated.flatten().to_numpy(zero_copy_only=False).view(np.uint64), repeated.offsets.to_numpy().astype(np.int64)
             edge = edge - edge[0]
-            for i, j, w in K.each(b.column(1)):
+            for i, j, w in K.each(b.column(2)):
                 at, low = chosen(w, base, length)
                 if not len(at):
                     continue
@@ -96,10 +116,29 @@ def _wholes(base: int, length: int):
                 hit = np.isin(K.mix(low) + text.astype(np.uint64) * np.uint64(K._BYTE_R), pairs)
                 at, text = at[hit], text[hit]
                 first, second = K.window_hash(w.hash, length)[at], K.window_hash(w.hash, length, _SECOND)[at]
-                packed = (second & np.uint64(0xFFFFFFFF00000000)) | (at - w.doc[:-1][text]).astype(np.uint64)
-                for k in range(0, len(at), 1 << 16):
-                    s = slice(k, k + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(first[s])), pa.array(K.signed(packed[s])), pa.array(ids[i:j][text[s]])], ["a", "c", "doc"])
+                yield from _sliced(first, second, at - w.doc[:-1][text], ids[i:j][text], rows[i:j][text])
+
+    return run
+
+
+def _doubled(length: int):
+    """Rows of the next level: a window and the one that follows it, where both repeat, as one of twice the length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, rows = _keys(b)
+            edge = b.column(2).offsets.to_numpy().astype(np.int64)
+            a, c = (b.column(2).flatten().field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("a", "c"))
+            edge = edge - edge[0]
+            for k in range(len(ids)):
+                x, y = a[edge[k] : edge[k + 1]], c[edge[k] : edge[k + 1]]
+                place, one = np.unique(y & ~_HIGH, return_index=True)
+                x, y = x[one], y[one] & _HIGH
+                then = np.searchsorted(place, place + np.uint64(length))
+                go = np.flatnonzero(place[np.minimum(then, len(place) - 1)] == place + np.uint64(length))
+                then = then[go]
+                first, second = (K.mix(h[go] * np.uint64(r) + K.mix(h[then])) for h, r in ((x, K._WORD_R), (y, _SECOND)))
+                yield from _sliced(first, second, place[go], np.full(len(go), ids[k]), np.full(len(go), rows[k]))
 
     return run
 
@@ -109,14 +148,12 @@ def _cut(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            edge = b.column(2).offsets.to_numpy().astype(np.int64)
-            starts = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            edge = b.column(3).offsets.to_numpy().astype(np.int64)
+            starts = b.column(3).flatten().to_numpy(zero_copy_only=False)
             edge, sha, text, removed = edge - edge[0], [], [], []
-            for i, j, w in K.each(b.column(1), hashes=False):
+            for i, j, w in K.each(b.column(2), hashes=False):
                 mark = np.zeros(len(w.start) + 1, np.int64)
                 p = starts[edge[i] : edge[j]] + np.repeat(w.doc[:-1], np.diff(edge[i : j + 1]))
-                # positions lie inside their text unless rows share an id but not a text
-                p = p[p + length <= np.repeat(w.doc[1:], np.diff(edge[i : j + 1]))]
                 np.add.at(mark, p, 1)
                 np.add.at(mark, p + length, -1)
                 gone = np.cumsum(mark[:-1]) > 0
@@ -124,76 +161,102 @@ def _cut(length: int):
                 kept = joined(w, ~gone)
                 sha += [hashlib.sha256(x).hexdigest() for x in kept]
                 text += kept
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(sha), pa.array(text, pa.binary()).cast(pa.string())], ["doc_id", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(sha), pa.array(text, pa.binary()).cast(pa.string())], ["doc_id", "row", "n_removed", "kept_sha256", "kept"])
 
     return run
 
 
+_ROW = ["doc_id", "row"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text): row tells the texts of one id apart; rows of one id and text are alike in all that follows."""
+    return docs.select(long_id(docs, "doc_id").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+
+
 class Repeats:
-    """What ``find`` leaves in the shared folder: ``measure`` (doc_id, n_words, sha) and ``removed`` (doc_id, starts).
+    """What ``find`` leaves in the shared folder, by (doc_id, row).
 
-    ``whole`` has the ids whose whole text repeats one of a smaller id.
+    ``measure``: n_words and sha of every row. ``whole``: the rows whose whole text repeats one of a smaller id.
+    ``removed``: of the others the starts of repeated windows, and ``longest``, the most words that some window which
+    repeats one of a smaller id was doubled to.
     """
 
-    def __init__(self, measure: DataFrame, whole: DataFrame, removed: DataFrame):
-        self.measure, self.whole, self.removed = measure, whole, removed
+    def __init__(self, measure: DataFrame, whole: DataFrame, removed: DataFrame, longest: DataFrame):
+        self.measure, self.whole, self.removed, self.longest = measure, whole, removed, longest
 
 
 def find(docs: DataFrame, length: int = 50, scratch: Scratch | None = None) -> Repeats:
     """Windows of ``length`` words of ``docs`` (doc_id, text) that also start in a document with a smaller doc_id.
 
     A hot passage costs one row for each place it stands at, which are summed map-side and joined with skew splitting.
-    Text is moved for documents with candidates only.
+    Text is moved for documents with candidates only; from the wanted length upwards hashes of windows are enough.
     """
     spark: SparkSession = docs.sparkSession
     scratch = scratch or Scratch(spark, "substring")
     base = length // 2
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measure = scratch.table(docs.mapInArrow(_measure, "doc_id long, n_words long, sha binary"), "measure")
+    docs = keyed(docs)
+    measure = scratch.table(docs.mapInArrow(_measure, "doc_id long, row long, n_words long, sha binary"), "measure")
     # level of whole texts: copies of one text need no windows
     long = measure.where(f"n_words >= {length} AND doc_id IS NOT NULL")
     first = scratch.table(long.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first"), "first")
-    whole = scratch.table(long.join(first, "sha").where("doc_id > first").select("doc_id").distinct(), "whole")
-    alone = docs.where("doc_id IS NOT NULL").join(bounded(whole, _IDS), "doc_id", "left_anti")
+    whole = scratch.table(long.join(first, "sha").where("doc_id > first").select(*_ROW).distinct(), "whole")
+    alone = docs.where("doc_id IS NOT NULL").join(bounded(whole, _IDS), _ROW, "left_anti").select(*_ROW, "text")
     # level of chosen halves
-    halves = scratch.table(alone.mapInArrow(_halves(base, length), "h long, doc long"), "halves")
+    halves = scratch.table(alone.mapInArrow(_halves(base, length), "h long, doc long, row long"), "halves")
     again = scratch.table(halves.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h"), "again")
-    lists = scratch.table(halves.join(again, "h").groupBy("doc").agg(F.collect_set("h").alias("repeated")), "lists")
+    lists = scratch.table(halves.join(again, "h").groupBy(F.col("doc").alias("doc_id"), "row").agg(F.collect_set("h").alias("repeated")), "lists")
     scratch.drop(halves)
-    # level of whole windows
-    some = alone.join(bounded(lists.select(F.col("doc").alias("doc_id")), _IDS), "doc_id", "left_semi")
-    texts = some.join(lists, some["doc_id"] == lists["doc"]).select("doc_id", "text", "repeated")
-    windows = scratch.table(texts.mapInArrow(_wholes(base, length), "a long, c long, doc long"), "windows")
-    windows = windows.select("a", F.shiftright("c", 32).alias("b"), F.col("c").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "doc")
-    least = windows.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("a", "b", "lo")
-    least = scratch.table(least, "least")
-    removed = windows.join(least, ["a", "b"]).where("doc > lo").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("at").alias("starts"))
-    return Repeats(measure, whole, scratch.table(removed, "removed"))
+    # level of the wanted length
+    some = alone.join(bounded(lists.select(*_ROW), _IDS), _ROW, "left_semi")
+    windows = scratch.table(some.join(lists, _ROW).select(*_ROW, "text", "repeated").mapInArrow(_wholes(base, length), _LEVEL), "windows")
+    removed, tops, size = None, [], length
+    while True:
+        pair = windows.select("a", F.shiftright("c", 32).alias("b"), "c", "doc", "row")
+        least = scratch.table(pair.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("a", "b", "lo"), "least")
+        places = pair.join(least, ["a", "b"]).groupBy(F.col("doc").alias("doc_id"), "row").agg(F.collect_list(F.struct("a", "c", (F.col("doc") > F.col("lo")).alias("later"))).alias("places"))
+        places = scratch.table(places, "places")
+        scratch.drop(windows, least)
+        starts = F.transform(F.filter("places", lambda x: x["later"]), lambda x: x["c"].bitwiseAND(F.lit(0xFFFFFFFF)))
+        if removed is None:
+            removed = places.select(*_ROW, F.array_distinct(starts).alias("starts")).where(F.size("starts") > 0)
+        tops.append(places.where(F.exists("places", lambda x: x["later"])).select(*_ROW, F.lit(size).cast("long").alias("words")))
+        # the next level: windows that repeat, extended to twice the length
+        windows = scratch.table(places.select(*_ROW, "places").mapInArrow(_doubled(size), _LEVEL), "windows")
+        size *= 2
+        if not windows.limit(1).count():
+            break
+    longest = tops[0]
+    for t in tops[1:]:
+        longest = longest.unionByName(t)
+    return Repeats(measure, whole, scratch.table(removed, "removed"), longest.groupBy(*_ROW).agg(F.max("words").alias("longest")))
 
 
 def cut(docs: DataFrame, repeats: Repeats, length: int = 50) -> DataFrame:
-    """``(doc_id, n_removed, kept_sha256, kept)`` of the documents with some but not all words removed by windows."""
+    """``(doc_id, row, n_removed, kept_sha256, kept)`` of the rows with some but not all words removed by windows."""
     removed = repeats.removed
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(bounded(removed.select("doc_id"), _IDS), "doc_id", "left_semi")
-    texts = some.join(removed.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "starts")
-    return texts.mapInArrow(_cut(length), "doc_id long, n_removed long, kept_sha256 string, kept string")
+    some = keyed(docs).join(bounded(removed.select(*_ROW), _IDS), _ROW, "left_semi")
+    return some.join(removed, _ROW).select(*_ROW, "text", "starts").mapInArrow(_cut(length), "doc_id long, row long, n_removed long, kept_sha256 string, kept string")
 
 
 def substring_digest(docs: DataFrame, length: int = 50) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256)`` per row of ``docs``.
+    """``(doc_id, n_words, n_removed, kept_sha256, longest)`` per row of ``docs``.
 
-    Null and empty texts have no words and keep the empty text. A null doc_id is compared with nothing. Rows repeated
-    with the same id are one document that repeats nothing of itself. An empty table gives an empty result.
+    ``longest``: of ``length``, twice, four times it and so on, the most words of one window that a smaller id has
+    too; 0 if there is none. Null and empty texts have no words and keep the empty text; very long ones are treated as
+    all are. Ids are integers; a null one is compared with nothing. Rows of one id repeat nothing of each other; each
+    has the result of its own text. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "substring")
     r = find(docs, length, scratch)
-    part = scratch.table(cut(docs, r, length).drop("kept").dropDuplicates(["doc_id"]), "part")
-    gone, some = r.whole.select(F.col("doc_id").alias("_gone")), part.withColumnRenamed("doc_id", "_some")
-    empty = hashlib.sha256(b"").hexdigest()
-    m = r.measure.join(gone, F.col("doc_id") == F.col("_gone"), "left").join(some, F.col("doc_id") == F.col("_some"), "left")
-    n = F.when(F.col("_gone").isNotNull() & (F.col("n_words") >= length), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
-    sha = F.when(F.col("_gone").isNotNull() & (F.col("n_words") >= length), F.lit(empty)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha"))))
-    return m.select("doc_id", "n_words", n.cast("long").alias("n_removed"), sha.alias("kept_sha256"))
+    part = scratch.table(cut(docs, r, length).drop("kept").dropDuplicates(_ROW), "part")
+    m = r.measure.join(r.whole.withColumn("_gone", F.lit(True)), _ROW, "left").join(part, _ROW, "left").join(r.longest, _ROW, "left")
+    gone, n = F.coalesce("_gone", F.lit(False)), F.col("n_words")
+    removed = F.when(gone, n).otherwise(F.coalesce("n_removed", F.lit(0)))
+    sha = F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha"))))
+    doublings = F.floor(F.log2(n / length) + 1e-9)
+    longest = F.when(gone, F.pow(F.lit(2.0), doublings) * length).otherwise(F.coalesce("longest", F.lit(0)))
+    return m.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), sha.alias("kept_sha256"), longest.cast("long").alias("longest"))
 
 
 def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -203,7 +266,10 @@ def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "substring")
     r = find(docs, length, scratch)
-    part = scratch.table(cut(docs, r, length).select(F.col("doc_id").alias("_cut"), "kept").dropDuplicates(["_cut"]), "part")
-    changed = part.select("_cut", F.col("kept").alias("_kept")).unionByName(r.whole.select(F.col("doc_id").alias("_cut"), F.lit("").alias("_kept")))
-    out = docs.join(changed, docs["doc_id"].cast("long") == F.col("_cut"), "left")
-    return out.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    part = scratch.table(cut(docs, r, length).select(*_ROW, "kept").dropDuplicates(_ROW), "part")
+    changed = part.unionByName(r.whole.select(*_ROW, F.lit("").alias("kept"))).toDF("_cut_id", "_cut_row", "_cut_text")
+    # the columns of docs are c0, c1, ... in here, so that no name of theirs meets one of these
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    out = docs.toDF(*own.values())
+    out = out.join(changed, (F.col(own["doc_id"]).cast("long") == F.col("_cut_id")) & (F.xxhash64(own["text"]) == F.col("_cut_row")), "left")
+    return out.select(*[(F.coalesce("_cut_text", own[c]) if c == "text" else F.col(own[c])).alias(c) for c in docs.columns])
