@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linehaul.llm import kernels as K
-from linehaul.llm.labelled import training_rows
+from linehaul.llm.labelled import drawn, training_rows
 from linehaul.llm.toxicity import scored
 
 
@@ -119,7 +119,7 @@ def train(rows: list[tuple[str, int]], filters: int = 12, width: int = 6, epochs
     y = np.array([label for _, label in rows], np.float64)
     if len(set(y)) < 2:
         m.out[:] = 0
-        m.out_bias = 4.0 if len(y) and y[0] else 0.0
+        m.out_bias = (4.0 if y[0] else -4.0) if len(y) else 0.0
         return m
     data, offsets = K.text_bytes(pa.array([t for t, _ in rows], pa.string()))
     weight = np.where(y == 1, good_share / y.sum(), (1 - good_share) / (1 - y).sum()) * len(y)
@@ -170,21 +170,28 @@ def train(rows: list[tuple[str, int]], filters: int = 12, width: int = 6, epochs
     return m
 
 
+def _fit(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], rows: int, chars: int, training: dict) -> ByteCnn:
+    # at most ``rows`` texts of about ``chars`` characters reach the driver
+    sample = training_rows(docs, labels, "quality", rows, held_out).select("id", drawn(F.col("text"), chars).alias("text"), "y").collect()
+    return train([(r["text"], int(r["y"])) for r in sorted(sample, key=lambda r: r["id"])], **training)
+
+
 def quality(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], max_train_rows: int = 2400, max_train_chars: int = 6_000, **training) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` per row of ``docs``, from its text alone; label 1 is good.
 
-    Learns from at most ``max_train_rows`` labelled rows for which ``held_out`` is false; scores every whole text.
-    Null and empty texts score the output's bias; without labels of both kinds that is all there is, above 0.5 if the
-    only label is 1 and 0.5 without any. Repeated rows score alike.
+    Learns from at most ``max_train_rows`` labelled rows for which ``held_out`` is false, of texts over
+    ``max_train_chars`` characters from pieces spaced over all of them; scores every whole text, however long.
+    Null and empty texts score the output's bias; without labels of both kinds that is all there is: above 0.5 if the
+    only label is 1, below it if that is 0, and 0.5 without any. Repeated rows score alike; rows of one id are scored
+    by the text of each. An empty table gives an empty result.
     """
-    rows = training_rows(docs, labels, "quality", max_train_rows, held_out, max_train_chars)
-    out = scored(docs, train(rows, **training), "doc_id", "text", score_texts)
+    out = scored(docs, _fit(docs, labels, held_out, max_train_rows, max_train_chars, training), "doc_id", "text", score_texts)
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], max_train_rows: int = 2400, max_train_chars: int = 6_000, **training) -> DataFrame:
-    """``docs`` with the columns it has, without the rows whose text scores below 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(training_rows(train_docs, labels, "quality", max_train_rows, held_out, max_train_chars), **training))
+    """``docs`` with the columns it has, without the rows whose text scores below 0.5; nulls, empty and long texts, ties and labels as in ``quality``."""
+    shared = docs.sparkSession.sparkContext.broadcast(_fit(train_docs, labels, held_out, max_train_rows, max_train_chars, training))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -64,15 +64,26 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(rows: list[tuple[str, int]], bits: int = 21, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.1, epochs: int = 4, seed: int = 7) -> SparseModel:
-    """A model of (text, label) rows. Rows of label 1, if few, are shown up to six times an epoch, to be a third of the other's."""
-    ftrl, examples, base = Ftrl(bits, alpha, beta, l1, l2), [], 1 << bits
-    for k in range(0, len(rows), 256):
-        part = rows[k : k + 256]
-        for i, j, w in K.each(pa.array([t for t, _ in part], pa.string()), lower=True, gap=K.NOT_ALNUM):
-            doc, at = features(w, bits)
-            for d in range(j - i):
-                examples.append((np.append(np.unique(at[doc == d]), base).astype(np.int32), part[i + d][1]))
+def examples(rows: DataFrame, bits: int) -> list[tuple[np.ndarray, int]]:
+    """(distinct features of the whole text, label) of each row (id, y, text), by id. Features are made in tasks; no text reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, w in K.each(b.column(2), lower=True, gap=K.NOT_ALNUM):
+                doc, at = features(w, bits)
+                pair = np.unique(doc << bits | at)
+                edge = np.searchsorted(pair >> bits, np.arange(j - i + 1))
+                at = (pair & ((1 << bits) - 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([at[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["id", "y", "at"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    found = rows.select("id", F.col("y").cast("int").alias("y"), "text").mapInArrow(run, f"id {kind}, y int, at binary").toArrow().sort_by("id")
+    return [(np.append(np.frombuffer(at, np.int32), np.int32(1 << bits)), y) for at, y in zip(found["at"].to_pylist(), found["y"].to_pylist(), strict=True)]
+
+
+def train(examples: list[tuple[np.ndarray, int]], bits: int = 22, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.1, epochs: int = 4, seed: int = 7) -> SparseModel:
+    """A model of (features and bias, label). Rows of label 1, if few, are shown up to six times an epoch, to be a third of the other's."""
+    ftrl = Ftrl(bits, alpha, beta, l1, l2)
     ones = [k for k, x in enumerate(examples) if x[1]]
     shows = min(6, max(1, round((len(examples) - len(ones)) / max(1, len(ones)) / 3)))
     deck = np.array([*range(len(examples)), *ones * (shows - 1)], np.int64)
@@ -80,7 +91,7 @@ def train(rows: list[tuple[str, int]], bits: int = 21, alpha: float = 1.0, beta:
     for _ in range(epochs):
         for k in order.permutation(deck):
             ftrl.learn(*examples[k])
-    w = ftrl.weights(np.arange(base + 1))
+    w = ftrl.weights(np.arange((1 << bits) + 1))
     index = np.flatnonzero(w[:-1])
     return SparseModel(bits, float(w[-1]), index, w[index].astype(np.float32))
 
@@ -112,12 +123,14 @@ def scored(docs: DataFrame, model, id_col: str, text_col: str, score: Callable)
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], max_train_rows: int = 8_000, max_train_chars: int = 20_000, **training) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], max_train_rows: int = 12_000, bits: int = 22, **training) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` per row of ``docs``, from its text alone.
 
-    Learns from at most ``max_train_rows`` labelled rows for which ``held_out`` is false; scores every whole text.
-    Null and empty texts score the bias. Repeated rows score alike. Without labels every score is the bias's.
+    Learns from the whole texts of at most ``max_train_rows`` labelled rows for which ``held_out`` is false; the driver
+    holds their distinct features, at most 2**``bits`` each. Scores every whole text, however long. Null and empty
+    texts score the bias. Repeated rows score alike; rows of one id are scored by the text of each. Without labels
+    every score is the bias's, 0.5. An empty table gives an empty result.
     """
-    rows = training_rows(docs, labels, "toxic", max_train_rows, held_out, max_train_chars)
-    out = scored(docs, train(rows, **training), "doc_id", "text", score_texts)
+    rows = training_rows(docs, labels, "toxic", max_train_rows, held_out)
+    out = scored(docs, train(examples(rows, bits), bits, **training), "doc_id", "text", score_texts)
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
