@@ -186,23 +186,30 @@ def revisits(pages: DataFrame, min_bytes: int = 100, scratch: Scratch | None = N
     return scratch.table(digests.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct(), "revisits")
 
 
-def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 100, dict_bytes: int = 64 << 10, dict_rows: int = 1000, dict_row_bytes: int = 16 << 10, level: int = 3) -> DataFrame:
+def sample_records(pages: DataFrame, rows: int, row_bytes: int) -> list[bytes]:
+    """At most ``rows`` records, chosen by hash among those with a payload of at most ``row_bytes``, encoded whole."""
+    small = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) <= row_bytes).withColumn("h", F.xxhash64("page_id", F.octet_length("html")))
+    # hashes alone first, so that few texts are moved
+    last = [r["h"] for r in small.select("h").orderBy("h").limit(rows).collect()][-1:]
+    chosen = small.where(F.col("h") <= last[0]).orderBy("h", "url").limit(rows).collect() if last else []
+    payloads = [(r, (r["html"] or "").encode()) for r in chosen]
+    return [encode_record(r["page_id"], r["url"], p, hashlib.sha256(p).hexdigest(), None) for r, p in payloads]
+
+
+def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 100, dict_bytes: int = 64 << 10, dict_rows: int = 1000, dict_row_bytes: int = 128 << 10, level: int = 3) -> DataFrame:
     """Archive ``pages`` (page_id, url, html) to ``folder``, by default one below the shared folder; the manifest ``(path, records)``.
 
-    The dictionary is built from at most ``dict_rows`` records, chosen by hash, of at most ``dict_row_bytes`` each;
-    it changes sizes only. Null html is an empty payload, a null page_id is always a response, rows repeated with
-    the same page_id and payload are all of the kind that page_id is. An empty table gives an empty manifest.
+    The dictionary is built from at most ``dict_rows`` whole records, chosen by hash among those with a payload of at
+    most ``dict_row_bytes``; it changes sizes only. Null html is an empty payload, a null page_id is always a response,
+    rows repeated with the same page_id and payload are all of the kind that page_id is; other columns are left out.
+    A record is whole in a task's memory, however long. An empty table gives an empty manifest.
     """
     spark: SparkSession = pages.sparkSession
     scratch = Scratch(spark, "warc")
     folder = folder or f"{scratch.root}/archives"
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
     again = revisits(pages, min_bytes, scratch).withColumnRenamed("page_id", "_id").withColumnRenamed("digest", "_digest")
-    some = pages.where("html IS NOT NULL").select(F.xxhash64("page_id", F.octet_length("html")).alias("h"), F.substring("html", 1, dict_row_bytes).alias("s"))
-    last = [r["h"] for r in some.select("h").orderBy("h").limit(dict_rows).collect()][-1:]
-    chosen = some.where(F.col("h") <= last[0]).orderBy("h").limit(dict_rows).collect() if last else []
-    dictionary = train_dictionary([r["s"].encode() for r in chosen if r["s"]], dict_bytes)
+    dictionary = train_dictionary(sample_records(pages, dict_rows, dict_row_bytes), dict_bytes)
     digest = F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256))
     records = pages.withColumn("_d", digest).join(again, (F.col("page_id") == F.col("_id")) & (F.col("_d") == F.col("_digest")), "left")
     return scratch.table(write_archives(records, folder, dictionary, level), "manifest")
-
