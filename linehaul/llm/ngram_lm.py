@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and looked up in memory-mapped sorted hash arrays.
 
 Counting: each task counts the bigrams of a few million tokens, sorts them into buckets and hands on one block per
-bucket. A bucket (by context, a frequent context being spread over eight) is merged by one task, which writes the
+bucket. A bucket (by context and bits of the next word, so that a frequent context is spread over all) is merged by one task, which writes the
 bucket's sorted array to the shared folder and hands on what it knows of each word; a second round merges that.
 Scoring: workers map the arrays they need.
 """
@@ -35,8 +35,9 @@ def bigram_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def bucket_of(u: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
-    """A context's bucket depends on three bits of the next word too, so that no context is all in one."""
-    return ((K.mix(u + (w >> U(61)) * U(K._WORD_Q)) >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+    """A context's bucket depends on bits of the next word too, as many as spread a context over all buckets."""
+    bits = max(3, int(buckets - 1).bit_length())
+    return ((K.mix(u + (w >> U(64 - bits)) * U(K._WORD_Q)) >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
