@@ -106,7 +106,8 @@ def _overlaps(docs: DataFrame, items: DataFrame, masks: Sequence[str], window: i
     at = texts.select("doc_id", "row", "w", F.posexplode_outer("w").alias("pos", "_w"))
     # (an outer explode, as for an inner one the optimizer adds a filter that splits every text once more)
     # a text of fewer words than are looked for in windows, whose first and last word may be empty, is a seed as a whole
-    solid = F.filter("w", lambda x: x != "")
+    # (no lambda here: one would end the generated code, and its rows would be copied with all words for each place)
+    solid = F.array_remove("w", "")
     few = (F.size("w") <= min_words + 1) & (F.col("pos") == F.when(F.get("w", F.lit(0)) == "", 1).otherwise(0))
     own = F.when(few, F.when(F.size(solid).between(1, min_words - 1), _whole(solid)))
     keys = F.concat(_seeds(F.col("w"), F.col("pos"), masks), F.array(F.struct(own.alias("h"), F.lit(-1).alias("mask"))))

@@ -359,7 +359,7 @@ def _classes(docs: DataFrame, similarity: float, k: int, bands: int, few: int) -
     return out.select(*_ROW, "class_id", F.coalesce(F.col("least.node") == F.col("node"), F.lit(True)).alias("kept"))
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: int = 64, few: int = 2) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: int = 96, few: int = 2) -> DataFrame:
     """``(doc_id, class_id, kept)`` per row of ``docs`` (doc_id, text): class_id is the smallest id of its class, the linked and their linked.
 
     Copies of one word sequence are one document in the search. In each bucket of a sketch all members
@@ -376,7 +376,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: in
     return _classes(docs, similarity, k, bands, few).select("doc_id", "class_id", "kept")
 
 
-def near_dedup(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: int = 64, few: int = 2) -> DataFrame:
+def near_dedup(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: int = 96, few: int = 2) -> DataFrame:
     """``docs`` with the columns it has: the document of smallest id of each class; of rows with one id and text, one stays.
 
     Nulls, empty and long texts, ties and repeated rows are treated as in ``near_classes``; rows with a null id all stay.
