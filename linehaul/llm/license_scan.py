@@ -251,14 +251,14 @@ def pairs_of(word_list: Column) -> Column:
     return F.when(F.size(word_list) > 1, pair).otherwise(F.array().cast("array<string>"))
 
 
-def license_paragraphs(docs: DataFrame, least: float = 0.2, confirm: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_paragraphs(docs: DataFrame, least: float = 0.2, confirm: float = 0.6, report: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, paragraph, family, predicted, probability, template_similarity, confirmed)``: paragraphs that name or quote a licence.
 
     ``paragraph`` counts a text's paragraphs from 0; lines wrapped in the middle of a sentence are one. A paragraph is
     ``predicted`` to be of the family with the largest probability if that is at least ``least`` and above unknown's;
     ``template_similarity`` is the largest mean, over the family's notices, of the shares of a notice's words and of its
     neighbouring pairs that the paragraph has, and ``family`` is the prediction if that reaches ``confirm``, else
-    unknown. All paragraphs of all whole texts, however long, are classified. Null and empty texts have none; between
+    unknown; what is not confirmed is reported where the probability reaches ``report``. All paragraphs of all whole texts, however long, are classified. Null and empty texts have none; between
     equal probabilities the family first in the list is taken; identical rows give one result, rows of one id the
     results of all their texts; an empty table none.
     """
@@ -286,4 +286,4 @@ def license_paragraphs(docs: DataFrame, least: float = 0.2, confirm: float = 0.6
     compared = found.withColumn("v", pairs_of(F.col("w"))).join(F.broadcast(notices), "class").groupBy("doc_id", "paragraph", "w", "class", "probability").agg(F.max(alike).alias("template_similarity"))
     predicted = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("class") + 1)
     sure = F.col("template_similarity") >= confirm
-    return compared.select("doc_id", "paragraph", F.when(sure, predicted).otherwise(UNKNOWN).alias("family"), predicted.alias("predicted"), F.round("probability", 6).alias("probability"), F.round("template_similarity", 6).alias("template_similarity"), sure.alias("confirmed"))
+    return compared.where(sure | (F.col("probability") >= report)).select("doc_id", "paragraph", F.when(sure, predicted).otherwise(UNKNOWN).alias("family"), predicted.alias("predicted"), F.round("probability", 6).alias("probability"), F.round("template_similarity", 6).alias("template_similarity"), sure.alias("confirmed"))
