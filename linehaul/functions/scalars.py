@@ -185,11 +185,15 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(a) != F.size(b)) | (n == 0), 0.0).otherwise(dot(a, b) / n)
 
 
+def bounded_picks(v: Column, most: int = 256) -> Column:
+    """The bounded values of a vector at a stride that leaves at least ``most`` of a longer one."""
+    stride = F.greatest(F.floor(F.size(v) / most), F.lit(1)).cast("int")
+    return F.transform(F.filter(v, lambda _, i: i % stride == 0), lambda x: bounded(x.cast("double")))
+
+
 def vector_distance(a: Column, b: Column, most: int = 256) -> Column:
     """1 - cosine of the bounded values at a stride, in [0, 2]; 1 on a mismatch of lengths."""
-    stride = F.greatest(F.floor(F.size(a) / most), F.lit(1)).cast("int")
-    pick = lambda v: F.transform(F.filter(v, lambda _, i: i % stride == 0), lambda x: bounded(x.cast("double")))
-    return F.when(F.size(a) != F.size(b), 1.0).otherwise(F.least(F.greatest(1 - cosine_similarity(pick(a), pick(b)), F.lit(0.0)), F.lit(2.0)))
+    return F.when(F.size(a) != F.size(b), 1.0).otherwise(F.least(F.greatest(1 - cosine_similarity(bounded_picks(a, most), bounded_picks(b, most)), F.lit(0.0)), F.lit(2.0)))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -215,6 +219,10 @@ def huber_loss(error: Column) -> Column:
     return F.when(F.abs(error) <= 1, 0.5 * error * error).otherwise(F.abs(error) - 0.5)
 
 
+def huber_gradient(error: Column) -> Column:
+    return F.greatest(F.least(error, F.lit(1.0)), F.lit(-1.0))
+
+
 def summary(values: Column) -> Column:
     """[mean, max, min, population standard deviation] of an array; zeros for an empty one."""
     n = F.size(values)

@@ -62,3 +62,24 @@ def fold_events(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("events"), F.max("event_id").alias("last_event"), F.max_by("type", by).alias("status"),
         last(F.col("value"), F.col("type") == "view").alias("progress"), F.max("ts").alias("heartbeat"), F.count(F.when(F.col("type") == "purchase", 1)).alias("checkpoints"),
     )
+
+
+def first_match(runs: DataFrame, reports: DataFrame, on: list[str], order: list[Column]) -> DataFrame:
+    """Each run with the first report of its keys, or none."""
+    return runs.join(latest(reports, on, order), on, "left")
+
+
+def zipped(names: Column, values: Column) -> Column:
+    """Names and values, as many as both have, as a map; null names and repeats of a name are left out."""
+    pairs = F.zip_with(F.slice(names, 1, F.least(F.size(names), F.size(values))), F.slice(values, 1, F.least(F.size(names), F.size(values))), lambda n, v: F.struct(n.alias("key"), v.alias("value")))
+    seen = F.transform(F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: (F.array_position(F.transform(pairs, lambda p: p["key"]), F.get(pairs, i)["key"]) == i + 1)), lambda i: F.get(pairs, i))
+    return F.map_from_entries(seen)
+
+
+def training_examples(lines: DataFrame, labels: DataFrame, targets: list[str]) -> DataFrame:
+    """Lines with their labels of the same snapshot, finite targets alone; ``weight`` shares a snapshot's one among its rows."""
+    finite = F.lit(True)
+    for t in targets:
+        finite = finite & F.col(t).isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf"))
+    rows = lines.join(labels.where(finite), ["snapshot", "line"])
+    return rows.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("snapshot")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linehaul.functions import scalars as S
 from linehaul.operators import network as N
+from linehaul.operators.numbering import numbered
+from linehaul.scratch import Scratch
 
 #: Fixed orders of the features: a place in a row is part of the format.
 STATION_FEATURES = ("x", "y", "platform_count", "line_count", "pattern_count", "mode_0", "mode_1", "mode_2", "mode_3", "mode_4", "first_departure", "last_departure", "daily_departures", "daily_arrivals", "transfer_degree", "terminal")
@@ -50,7 +52,7 @@ def line_features(lines: DataFrame) -> DataFrame:
 
 def line_statistics(calls: DataFrame, stations: DataFrame, modes: DataFrame) -> DataFrame:
     """All per-line statistics that features need, one row per line."""
-    pats, segs = N.patterns(calls), N.segments(calls)
+    pats, segs = N.signatures(calls), N.segments(calls)
     metres = S.station_distance(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     ends = pats.select("line", F.split("stops", ",").alias("s")).select("line", F.element_at("s", 1).cast("int").alias("from_station"), F.element_at("s", -1).cast("int").alias("to_station")).distinct()
     a = stations.select(F.col("station").alias("from_station"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
@@ -87,7 +89,7 @@ def temporal(calls: DataFrame, key: str) -> DataFrame:
     return departures.join(arrivals, [key, "bin"], "full").na.fill(0)
 
 
-def offsets(counts: DataFrame, key: str, size: str) -> DataFrame:
-    """Start of each key's run in the order of keys. Keys are a network's patterns."""
-    upto = F.sum(size).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select(key, size, (upto - F.col(size)).alias("start"))
+def offsets(counts: DataFrame, key: str, size: str, scratch: Scratch | None = None) -> DataFrame:
+    """Start of each key's run in the order of keys."""
+    scratch = scratch or Scratch(counts.sparkSession, "offsets")
+    return numbered(counts.select(key, size), [key], "_place", scratch, {"start": size}).select(key, size, F.col("start").cast("long").alias("start"))

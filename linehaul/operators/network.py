@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linehaul.functions.scalars import BINS, in_peak, service_day_bin
+from linehaul.operators.numbering import numbered
+from linehaul.scratch import Scratch
+
+SIGNATURE = ["line", "stops", "pickups", "drop_offs"]
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
@@ -87,46 +91,63 @@ def dense(df: DataFrame, keys: list[str], bin_col: str, value: str, size: int =
     return pairs.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0))).alias(name))
 
 
-def patterns(calls: DataFrame) -> DataFrame:
-    """Per trip its pattern (trips of one line with the same stops and codes) and its rank in it, by first departure and id.
-
-    Patterns are numbered in the order of line, stops and codes. Only the distinct signatures are ordered as a whole.
-    """
+def signatures(calls: DataFrame) -> DataFrame:
+    """Per trip its signature (line, stops, pickups, drop_offs), first departure and number of calls."""
     by_pos = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])
     trips = calls.groupBy("trip_id", "line").agg(by_pos("station").alias("stops"), by_pos("pickup").alias("pickups"), by_pos("drop_off").alias("drop_offs"), F.min_by("departure", "pos").alias("first_departure"), F.count(F.lit(1)).alias("calls"))
     text = lambda c: F.array_join(c, ",")
-    trips = trips.withColumns({"stops": text("stops"), "pickups": text("pickups"), "drop_offs": text("drop_offs")})
-    signature = ["line", "stops", "pickups", "drop_offs"]
-    numbered = trips.select(*signature).distinct().withColumn("pattern", (F.row_number().over(Window.orderBy(*signature)) - 1).cast("int"))
-    ranked = trips.join(numbered, signature)
+    return trips.withColumns({"stops": text("stops"), "pickups": text("pickups"), "drop_offs": text("drop_offs")})
+
+
+def patterns(calls: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Per trip its pattern (trips of one line with the same stops and codes) and its rank in it, by first departure and id.
+
+    Patterns are numbered in the order of line, stops and codes. Where no number is asked for, ``signatures`` will do.
+    """
+    scratch = scratch or Scratch(calls.sparkSession, "patterns")
+    trips = scratch.table(signatures(calls), "trips")
+    each = numbered(trips.select(*SIGNATURE).distinct(), SIGNATURE, "pattern", scratch).withColumn("pattern", F.col("pattern").cast("int"))
+    ranked = trips.join(each, SIGNATURE)
     rank = F.row_number().over(Window.partitionBy("pattern").orderBy("first_departure", "trip_id")) - 1
     return ranked.withColumn("trip_rank", rank.cast("int"))
 
 
-def line_summary(calls: DataFrame, pats: DataFrame) -> DataFrame:
-    """Per line: patterns, trips, stations, first departure, last arrival and the span between."""
+def line_summary(calls: DataFrame, trips: DataFrame) -> DataFrame:
+    """Per line: patterns, trips, stations, first departure, last arrival and the span between. ``trips`` have signatures."""
     stats = calls.groupBy("line").agg(F.countDistinct("station").alias("stations"), F.min("departure").alias("first_departure"), F.max("arrival").alias("last_arrival"))
-    counts = pats.groupBy("line").agg(F.countDistinct("pattern").alias("patterns"), F.count(F.lit(1)).alias("trips"))
+    counts = trips.groupBy(*SIGNATURE).agg(F.count(F.lit(1)).alias("n")).groupBy("line").agg(F.count(F.lit(1)).alias("patterns"), F.sum("n").alias("trips"))
     return stats.join(counts, "line").withColumn("span", F.greatest(F.col("last_arrival") - F.col("first_departure"), F.lit(0)))
 
 
-def line_headways(pats: DataFrame) -> DataFrame:
-    """Per line the upper-median gap between first departures: all day, in the peak and off it; 0 with fewer than two."""
+def first_departures(calls: DataFrame) -> DataFrame:
+    return calls.where("pos = 0").select("trip_id", "line", F.col("departure").alias("first_departure"))
 
-    def gaps(rows: DataFrame, name: str) -> DataFrame:
-        before = F.lag("first_departure").over(Window.partitionBy("line").orderBy("first_departure"))
-        return upper_median(rows.withColumn("gap", F.col("first_departure") - before), ["line"], "gap", name)
 
-    peak = in_peak(F.col("first_departure"))
-    out = pats.select("line").distinct()
-    for rows, name in ((pats, "headway"), (pats.where(peak), "peak_headway"), (pats.where(~peak), "offpeak_headway")):
-        out = out.join(gaps(rows.select("line", "first_departure"), name), "line", "left")
-    return out.na.fill(0)
+def line_headways(trips: DataFrame) -> DataFrame:
+    """Per line the upper-median gap between first departures: all day, in the peak and off it; 0 with fewer than two.
 
+    Departures of one second are counted, not listed: their gaps are zeros, and only distinct seconds are put in order.
+    """
 
-def line_branching(pats: DataFrame) -> DataFrame:
-    """Per line the share of its patterns that end elsewhere than they start."""
-    one = pats.select("line", "pattern", "stops").distinct()
+    at = F.col("first_departure")
+    peak = in_peak(at)
+    kinds = F.array(F.lit("headway"), F.when(peak, "peak_headway").otherwise("offpeak_headway"))
+    seconds = trips.groupBy("line", "first_departure").agg(F.count(F.lit(1)).alias("n")).select("*", F.explode(kinds).alias("kind"))
+    before = F.lag("first_departure").over(Window.partitionBy("line", "kind").orderBy("first_departure"))
+    seconds = seconds.withColumn("ahead", at - before)
+    gaps = seconds.select("line", "kind", F.explode(F.array(F.struct(F.col("ahead").alias("gap"), F.lit(1).cast("long").alias("n")), F.struct(F.lit(0).alias("gap"), (F.col("n") - 1).alias("n")))).alias("g"))
+    counts = gaps.where("g.gap IS NOT NULL AND g.n > 0").groupBy("line", "kind", F.col("g.gap").alias("gap")).agg(F.sum("g.n").alias("n"))
+    w = Window.partitionBy("line", "kind")
+    upto = F.sum("n").over(w.orderBy("gap").rowsBetween(Window.unboundedPreceding, 0))
+    median = counts.select("line", "kind", "gap", upto.alias("upto"), F.sum("n").over(w).alias("all")).where(F.col("upto") > F.floor(F.col("all") / 2))
+    names = ("headway", "peak_headway", "offpeak_headway")
+    median = median.groupBy("line").agg(*[F.min(F.when(F.col("kind") == n, F.col("gap"))).alias(n) for n in names])
+    return seconds.select("line").distinct().join(median, "line", "left").na.fill(0)
+
+
+def line_branching(trips: DataFrame) -> DataFrame:
+    """Per line the share of its patterns that end elsewhere than they start. ``trips`` have signatures."""
+    one = trips.select(*SIGNATURE).distinct()
     ends = F.split("stops", ",")
     return one.groupBy("line").agg(F.avg(F.when(F.element_at(ends, 1) != F.element_at(ends, -1), 1.0).otherwise(0.0)).alias("branching"))
 

@@ -6,6 +6,8 @@ later stop, then walks. Everything is keyed by query, so queries spread over the
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +16,21 @@ from linehaul.scratch import Scratch
 QUERY = "query_id long, origin int, departure int, disabled array<string>, closed int, scaled string, multiplier double"
 
 
-def walk_closure(transfers: DataFrame, cap: int, scratch: Scratch | None = None) -> DataFrame:
+def walk_closure(transfers: DataFrame, cap: int, scratch: Scratch | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Shortest walks ``(a, b, seconds)`` of any number of transfers between different stations, up to ``cap`` seconds.
 
-    Each pass joins the walks so far with themselves, so their number of transfers doubles.
+    Each pass joins the walks so far with themselves, so their number of transfers doubles. Columns ``by`` part the
+    transfers into networks of their own, all closed at once.
     """
+    by = list(by)
     spark: SparkSession = transfers.sparkSession
     scratch = scratch or Scratch(spark, "walks")
-    walks = transfers.where((F.col("from_station") != F.col("to_station")) & (F.col("seconds") <= cap)).groupBy(F.col("from_station").alias("a"), F.col("to_station").alias("b")).agg(F.min("seconds").alias("seconds"))
+    walks = transfers.where((F.col("from_station") != F.col("to_station")) & (F.col("seconds") <= cap)).groupBy(*by, F.col("from_station").alias("a"), F.col("to_station").alias("b")).agg(F.min("seconds").alias("seconds"))
     walks = scratch.table(walks, "walks")
     while True:
-        x, y = walks.select("a", F.col("b").alias("m"), F.col("seconds").alias("s1")), walks.select(F.col("a").alias("m"), "b", F.col("seconds").alias("s2"))
-        longer = x.join(y, "m").where("a <> b").select("a", "b", (F.col("s1") + F.col("s2")).alias("seconds")).where(F.col("seconds") <= cap)
-        new = scratch.table(walks.unionByName(longer).groupBy("a", "b").agg(F.min("seconds").alias("seconds")), "walks")
+        x, y = walks.select(*by, "a", F.col("b").alias("m"), F.col("seconds").alias("s1")), walks.select(*by, F.col("a").alias("m"), "b", F.col("seconds").alias("s2"))
+        longer = x.join(y, [*by, "m"]).where("a <> b").select(*by, "a", "b", (F.col("s1") + F.col("s2")).alias("seconds")).where(F.col("seconds") <= cap)
+        new = scratch.table(walks.unionByName(longer).groupBy(*by, "a", "b").agg(F.min("seconds").alias("seconds")), "walks")
         if not new.exceptAll(walks).limit(1).count():
             return new
         scratch.drop(walks)
@@ -44,16 +48,18 @@ def one_to_all(calls: DataFrame, transfers: DataFrame, queries: DataFrame, rides
 
     ``calls``: trip_id, line, station, pos, arrival, departure, pickup, drop_off and, where a line is scaled,
     trip_rank and pattern_trips. ``queries``: see ``QUERY``; nulls mean no intervention. A closed station is neither
-    walked through nor boarded or left at. All trips still to come can be boarded, also those that overtake.
+    walked through nor boarded or left at. All trips still to come can be boarded, also those that overtake. A round
+    goes on from the stations alone that it reaches earlier than any round before: what follows from others takes more
+    rides and is not earlier.
     """
     spark: SparkSession = calls.sparkSession
     scratch = scratch or Scratch(spark, "routes")
     queries = scratch.table(queries, "queries")
-    walks = walk_closure(transfers, cap, scratch).withColumn("without", F.lit(-1))
-    for row in queries.where("closed IS NOT NULL").select("closed").distinct().collect():  # closed stations of a batch are few
-        open_ = transfers.where((F.col("from_station") != row["closed"]) & (F.col("to_station") != row["closed"]))
-        walks = walks.unionByName(walk_closure(open_, cap, scratch).withColumn("without", F.lit(row["closed"])))
-    walks = scratch.table(walks, "all-walks")
+    # the network as it is, and once more without each station that some query closes
+    closed = queries.select(F.coalesce("closed", F.lit(-1)).alias("without")).distinct()
+    edges = transfers.select("from_station", "to_station", "seconds")
+    edges = edges.join(closed, (F.col("without") != F.col("from_station")) & (F.col("without") != F.col("to_station")))
+    walks = walk_closure(edges, cap, scratch, ["without"])
     how = queries.select("query_id", F.col("departure").alias("start"), F.coalesce("disabled", F.array().cast("array<string>")).alias("disabled"), F.coalesce("closed", F.lit(-1)).alias("closed"), "scaled", "multiplier")
 
     def walked(reach: DataFrame) -> DataFrame:
@@ -63,10 +69,11 @@ def one_to_all(calls: DataFrame, transfers: DataFrame, queries: DataFrame, rides
 
     start = queries.where("closed IS NULL OR closed <> origin").select("query_id", F.col("origin").alias("station"), F.col("departure").alias("arrival"))
     reach = scratch.table(walked(start), "reach")
-    found = reach.withColumn("rides", F.lit(0))
+    best = scratch.table(reach.withColumn("rides", F.lit(0)), "best")
     scaled = "trip_rank" in calls.columns
     for k in range(1, rides + 1):
-        boards = reach.withColumnRenamed("arrival", "since").join(how, "query_id").join(calls.where("pickup <> 1"), "station").where((F.col("departure") >= F.col("since")) & ~F.array_contains("disabled", F.col("line")) & (F.col("closed") != F.col("station")))
+        boards = reach.withColumnRenamed("arrival", "since").join(how, "query_id").join(calls.where("pickup <> 1"), "station")
+        boards = boards.where((F.col("departure") >= F.col("since")) & (F.col("departure") <= F.col("start") + cap) & ~F.array_contains("disabled", F.col("line")) & (F.col("closed") != F.col("station")))
         if scaled:
             keeps = retained(F.col("trip_rank"), F.col("pattern_trips"), F.col("multiplier"))
             boards = boards.where(F.col("scaled").isNull() | (F.col("scaled") != F.col("line")) | F.coalesce(keeps, F.lit(True)))
@@ -74,12 +81,17 @@ def one_to_all(calls: DataFrame, transfers: DataFrame, queries: DataFrame, rides
         rest = calls.where("drop_off <> 1").select("trip_id", "station", "pos", "arrival")
         alights = boards.join(rest, "trip_id").where("pos > board").join(how.select("query_id", "start", "closed"), "query_id")
         alights = alights.where((F.col("station") != F.col("closed")) & F.col("arrival").between(F.col("start"), F.col("start") + cap))
-        reach = scratch.table(walked(alights.groupBy("query_id", "station").agg(F.min("arrival").alias("arrival"))), "reach")
+        arrived = walked(alights.groupBy("query_id", "station").agg(F.min("arrival").alias("arrival")))
+        before = best.select("query_id", "station", F.col("arrival").alias("before"))
+        reach = arrived.join(before, ["query_id", "station"], "left").where(F.col("before").isNull() | (F.col("arrival") < F.col("before"))).drop("before")
+        reach = scratch.table(reach, "reach")
         if not reach.limit(1).count():
             break
-        found = found.unionByName(reach.withColumn("rides", F.lit(k)))
-    best = found.groupBy("query_id", "station").agg(F.min(F.struct("arrival", "rides")).alias("best"))
-    return best.select("query_id", "station", F.col("best.arrival").alias("arrival"), F.greatest(F.col("best.rides") - 1, F.lit(0)).alias("transfers"))
+        new = best.unionByName(reach.withColumn("rides", F.lit(k))).groupBy("query_id", "station").agg(F.min(F.struct("arrival", "rides")).alias("b"))
+        new = scratch.table(new.select("query_id", "station", "b.arrival", "b.rides"), "best")
+        scratch.drop(best)
+        best = new
+    return best.select("query_id", "station", "arrival", F.greatest(F.col("rides") - 1, F.lit(0)).alias("transfers"))
 
 
 def line_removals(queries: DataFrame, lines: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +39,55 @@ def collect_vector(long: DataFrame, group: list[str], name: str = "vector") -> D
     return long.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias(name))
 
 
-def triplets(items: DataFrame, margin: float = 0.001) -> DataFrame:
+def _rows_of(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    out = np.zeros((len(column), width))
+    for k, v in enumerate(column.to_pylist()):
+        out[k, : len(v)] = v
+    return out
+
+
+def _best_of_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Of each item of the left block its nearest kin, or nearest other, and its farthest of the right block."""
+    names = ["anchor", "other", "near", "positive", "far", "negative"]
+    kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.int64()]
+    schema = pa.schema(list(zip(names, kinds, strict=True)))
+    if not len(left) or not len(right):
+        return schema.empty_table()
+    a, b = (t.sort_by("id") for t in (left, right))
+    ids, width = b["id"].to_numpy(), max(len(v) for t in (a, b) for v in t["unit"].to_pylist())
+    sizes = [np.array([len(v) for v in t["unit"].to_pylist()]) for t in (a, b)]
+    mine = {c: np.array(a[c].to_pylist(), object)[:, None] for c in ("system", "identity", "snapshot")}
+    theirs = {c: np.array(b[c].to_pylist(), object)[None, :] for c in mine}
+    # summed place by place, so that equal vectors are equally far, wherever they stand
+    gap = np.clip(1 - np.einsum("id,jd->ij", _rows_of(a["unit"], width), _rows_of(b["unit"], width)), 0, 2)
+    gap[sizes[0][:, None] != sizes[1][None, :]] = 1.0
+    kin = ((mine["system"] == theirs["system"]) & (mine["identity"] == theirs["identity"]) & (mine["snapshot"] != theirs["snapshot"])).astype(bool)
+    self_ = a["id"].to_numpy()[:, None] == ids[None, :]
+    some = np.flatnonzero((~self_).any(1))
+    gap, kin, self_ = gap[some], kin[some] & ~self_[some], self_[some]
+    has = kin.any(1)
+    near = np.where(self_ | (has[:, None] & ~kin), np.inf, gap)
+    far = np.where(self_, -np.inf, gap)
+    p, n, row = near.argmin(1), far.argmax(1), np.arange(len(some))  # of equals the smallest id
+    return pa.table([a["id"].to_numpy()[some], (~has).astype(np.int32), near[row, p], ids[p], far[row, n], ids[n]], schema=schema)
+
+
+def triplets(items: DataFrame, margin: float = 0.001, block: int = 500) -> DataFrame:
     """Per anchor the nearest of its identity elsewhere, else the nearest other, and the farthest that is at least ``margin`` farther.
 
-    ``items``: id, system, identity, snapshot, vector. All pairs are compared, as the metric asks; callers bound the items.
+    ``items``: id, system, identity, snapshot, vector. All are compared with all, as the metric asks, in blocks of about
+    ``block`` items; a pair of blocks is a task, which returns a row for each anchor.
     """
-    a = items.select(F.col("id").alias("anchor"), *(F.col(c).alias(f"a_{c}") for c in ("system", "identity", "snapshot", "vector")))
-    pairs = a.crossJoin(items).where("anchor <> id").withColumn("distance", S.vector_distance(F.col("a_vector"), F.col("vector")))
-    kin = (F.col("a_system") == F.col("system")) & (F.col("a_identity") == F.col("identity")) & (F.col("a_snapshot") != F.col("snapshot"))
-    near = F.struct(F.when(kin, 0).otherwise(1), F.col("distance"), F.col("id"))
-    best = pairs.groupBy("anchor").agg(F.min_by(F.struct("id", "distance"), near).alias("p"), F.max_by(F.struct("id", "distance"), F.struct("distance", -F.col("id"))).alias("n"))
-    return best.where(F.col("n.distance") >= F.col("p.distance") + margin).select("anchor", F.col("p.id").alias("positive"), F.col("n.id").alias("negative"), (F.col("n.distance") - F.col("p.distance")).alias("gap"))
+    blocks = max(1, -(-items.count() // block))
+    picked = S.bounded_picks(F.col("vector"))
+    items = items.withColumn("picked", picked).withColumn("norm", S.norm(F.col("picked"))).withColumn("unit", F.transform("picked", lambda x: F.when(F.col("norm") == 0, 0.0).otherwise(x / F.col("norm"))))
+    items = items.select(F.col("id").cast("long").alias("id"), "system", "identity", "snapshot", "unit", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")
+    a = items.select("*", every.alias("_with")).groupBy("_block", "_with")
+    b = items.withColumnRenamed("_block", "_with").select("*", every.alias("_block")).groupBy("_block", "_with")
+    found = a.cogroup(b).applyInArrow(_best_of_blocks, "anchor long, other int, near double, positive long, far double, negative long")
+    best = found.groupBy("anchor").agg(F.min_by(F.struct("positive", "near"), F.struct("other", "near", "positive")).alias("p"), F.max_by(F.struct("negative", "far"), F.struct("far", -F.col("negative"))).alias("n"))
+    return best.where(F.col("n.far") >= F.col("p.near") + margin).select("anchor", "p.positive", "n.negative", (F.col("n.far") - F.col("p.near")).alias("gap"))
 
 
 def message_mean(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,18 +99,12 @@ def weighted_mean(df: DataFrame, group: list[str], value: str, weight: str) -> D
     return df.groupBy(*group).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"))
 
 
-def farthest_points(points: list[tuple[int, float, float]], k: int) -> list[int]:
-    """Greedy farthest-point sample of (id, lat, lon) by squared equirectangular distance; starts at the smallest id."""
-    import numpy as np
-
-    if not points:
-        return []
-    points = sorted(points)
-    lat, lon = np.radians([p[1] for p in points]), np.radians([p[2] for p in points])
-    chosen, gap = [0], np.full(len(points), np.inf)
-    while len(chosen) < min(k, len(points)):
-        i = chosen[-1]
-        gap = np.minimum(gap, (lat - lat[i]) ** 2 + ((lon - lon[i]) * np.cos((lat + lat[i]) / 2)) ** 2)
-        gap[chosen] = -1
-        chosen.append(int(gap.argmax()))
-    return [points[i][0] for i in chosen]
+def pooled(df: DataFrame, group: list[str], vector: str) -> DataFrame:
+    """Per group and place of its vectors the mean and the largest value, 0 at least."""
+    return df.select(*group, F.posexplode(vector).alias("pos", "v")).groupBy(*group, "pos").agg(F.avg(F.col("v").cast("double")).alias("mean"), F.greatest(F.max(F.col("v").cast("double")), F.lit(0.0)).alias("most"))
+
+
+def sequence_bins(df: DataFrame, group: list[str], place: str, size: str, values: list[str], bins: int = 16) -> DataFrame:
+    """Per group and bin of its sequence (place * bins / size) the mean of each value."""
+    at = F.least(F.floor(F.col(place) * bins / F.greatest(F.col(size), F.lit(1))), F.lit(bins - 1)).cast("int").alias("bin")
+    return df.groupBy(*group, at).agg(*[F.avg(v).alias(v) for v in values])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linehaul.functions import scalars as S
 from linehaul.operators.components import connected_components
+from linehaul.operators.numbering import numbered
+from linehaul.scratch import Scratch
 
 NEAR_M, FUZZY_M, ALIKE = 150.0, 90.0, 0.92
 
@@ -37,7 +39,9 @@ def exact_name_pairs(stops: DataFrame, metres: float = NEAR_M) -> DataFrame:
 def fuzzy_name_pairs(stops: DataFrame, metres: float = FUZZY_M, alike: float = ALIKE) -> DataFrame:
     """Stops of similar normalised names within reach."""
     likeness = S.name_similarity(F.col("key_a"), F.col("key_b"))
-    found = _pairs(stops, False).where(F.col("metres") <= metres).withColumn("likeness", likeness).where(F.col("likeness") >= alike)
+    # names whose lengths are too far apart cannot be alike enough
+    sizes = F.length("key_a"), F.length("key_b")
+    found = _pairs(stops, False).where((F.least(*sizes) >= F.greatest(*sizes) * alike) & (F.col("metres") <= metres)).withColumn("likeness", likeness).where(F.col("likeness") >= alike)
     return found.select(F.col("stop_id_a").alias("a"), F.col("stop_id_b").alias("b"), F.lit("fuzzy_name").alias("kind"), (F.col("likeness") * 0.9).alias("confidence"))
 
 
@@ -69,16 +73,17 @@ def merge_stations(stops: DataFrame, evidence: DataFrame) -> tuple[DataFrame, Da
         F.coalesce(F.avg(F.when(is_placed, F.col("lat"))), F.lit(0.0)).alias("lat"), F.coalesce(F.avg(F.when(is_placed, F.col("lon"))), F.lit(0.0)).alias("lon"),
         F.min_by("name", preferred).alias("name"), F.min_by("stop_id", preferred).alias("canonical_id"), F.count(F.lit(1)).alias("members"), F.least(F.lit(1.0), F.coalesce(F.min("confidence"), F.lit(1.0))).alias("merge_confidence"),
     )
-    stations = groups.withColumn("station", (F.row_number().over(Window.orderBy("root")) - 1).cast("int"))
+    stations = numbered(groups, ["root"], "station", Scratch(spark, "stations")).withColumn("station", F.col("station").cast("int"))
     return stations, of.join(stations.select("root", "station"), "root").select("stop_id", "station")
 
 
 def parent_closure(stops: DataFrame, chosen: DataFrame) -> DataFrame:
     """Chosen stop ids with all their parents, in passes until none is new. Chains are as long as stations nest, one or two."""
-    have = chosen.select("stop_id").distinct()
+    scratch = Scratch(stops.sparkSession, "parents")
+    have = new = scratch.table(chosen.select("stop_id").distinct(), "have")
     while True:
-        parents = stops.join(have, "stop_id", "left_semi").where("parent_station IS NOT NULL").select(F.col("parent_station").alias("stop_id")).distinct().join(stops.select("stop_id"), "stop_id", "left_semi")
-        new = parents.join(have, "stop_id", "left_anti")
+        parents = stops.join(new, "stop_id", "left_semi").where("parent_station IS NOT NULL").select(F.col("parent_station").alias("stop_id")).distinct().join(stops.select("stop_id"), "stop_id", "left_semi")
+        new = scratch.table(parents.join(have, "stop_id", "left_anti"), "new")
         if not new.limit(1).count():
             return have
         have = have.unionByName(new)

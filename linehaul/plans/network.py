@@ -69,9 +69,10 @@ def consecutive_stop_merge(spark, sf_dir):
     return calls(spark, sf_dir)
 
 
-@query("stop_time_violations", with_sql("SELECT trip_id, seq, arrival, departure, before FROM (SELECT *, lag(departure) OVER (PARTITION BY trip_id ORDER BY seq) AS before FROM tt) WHERE departure < arrival OR arrival < before"))
+@query("stop_time_violations", with_sql("SELECT trip_id, seq, arrival, departure, before FROM (SELECT *, lag(departure) OVER (PARTITION BY trip_id ORDER BY seq) AS before FROM (SELECT trip_id, seq, CAST(arrival - CASE WHEN (trip_id + seq) % 17 = 0 THEN 400 ELSE 0 END AS INT) AS arrival, CAST(departure - CASE WHEN (trip_id + seq) % 13 = 0 THEN 450 ELSE 0 END AS INT) AS departure FROM tt)) WHERE departure < arrival OR arrival < before"))
 def stop_time_violations(spark, sf_dir):
-    return N.violations(T.stop_times(spark, sf_dir))
+    t, late = T.stop_times(spark, sf_dir), lambda n, s: F.when((F.col("trip_id") + F.col("seq")) % n == 0, s).otherwise(0)  # clocks put wrong here and there
+    return N.violations(t.withColumn("arrival", F.col("arrival") - late(17, 400)).withColumn("departure", F.col("departure") - late(13, 450)))
 
 
 @query("line_summary", with_sql("""
@@ -80,7 +81,7 @@ FROM (SELECT line, count(DISTINCT station) AS stations, min(departure) AS first_
 JOIN (SELECT line, count(DISTINCT pattern) AS patterns, count(*) AS trips FROM pat GROUP BY line) p ON c.line = p.line"""))
 def line_summary(spark, sf_dir):
     c = calls(spark, sf_dir)
-    return N.line_summary(c, N.patterns(c))
+    return N.line_summary(c, N.signatures(c))
 
 
 _GAPS = """(SELECT line, list_sort(list(gap))[count(*) // 2 + 1] AS h FROM (SELECT line, first_departure - lag(first_departure) OVER (PARTITION BY line ORDER BY first_departure) AS gap
@@ -93,13 +94,13 @@ SELECT l.line, CAST(coalesce(a.h, 0) AS INT) AS headway, CAST(coalesce(p.h, 0) A
 FROM (SELECT DISTINCT line FROM sig) l LEFT JOIN {_GAPS.format('true')} a ON l.line = a.line LEFT JOIN {_GAPS.format(_PEAK)} p ON l.line = p.line
 LEFT JOIN {_GAPS.format('NOT ' + _PEAK)} o ON l.line = o.line"""))
 def line_headways(spark, sf_dir):
-    return N.line_headways(pats(spark, sf_dir))
+    return N.line_headways(N.first_departures(calls(spark, sf_dir)))
 
 
 @query("line_branching", with_sql("""SELECT line, round(avg(CASE WHEN split_part(stops, ',', 1) <> split_part(stops, ',', -1) THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS branching
 FROM (SELECT DISTINCT line, pattern, stops FROM pat) GROUP BY line"""))
 def line_branching(spark, sf_dir):
-    return rounded(N.line_branching(pats(spark, sf_dir)), "branching")
+    return rounded(N.line_branching(N.signatures(calls(spark, sf_dir))), "branching")
 
 
 @query("line_shared_segments", with_sql("""
@@ -153,7 +154,7 @@ def station_bin_lines(spark, sf_dir):
 
 @query("pattern_signatures", with_sql("SELECT line, stops, pu AS pickups, dr AS drop_offs, count(*) AS trips, min(first_departure) AS first_departure FROM sig GROUP BY 1, 2, 3, 4"))
 def pattern_signatures(spark, sf_dir):
-    return pats(spark, sf_dir).groupBy("line", "stops", "pickups", "drop_offs").agg(F.count(F.lit(1)).alias("trips"), F.min("first_departure").alias("first_departure"))
+    return N.signatures(calls(spark, sf_dir)).groupBy("line", "stops", "pickups", "drop_offs").agg(F.count(F.lit(1)).alias("trips"), F.min("first_departure").alias("first_departure"))
 
 
 @query("pattern_trip_rank", with_sql("SELECT trip_id, pattern, CAST(row_number() OVER (PARTITION BY pattern ORDER BY first_departure, trip_id) - 1 AS INT) AS trip_rank FROM pat"))
@@ -179,7 +180,7 @@ def interchange_counts(spark, sf_dir):
 
 
 _EXPLICIT = "SELECT CAST(l_suppkey % 25 AS INT) AS from_station, CAST(l_partkey % 25 AS INT) AS to_station, CAST(l_linenumber % 4 AS INT) AS transfer_type, CAST(60 + (l_orderkey * 7) % 600 AS INT) AS seconds, l_orderkey * 8 + l_linenumber AS row_no FROM lineitem WHERE l_orderkey % 3 = 0"
-_PATHWAY = "SELECT CAST(l_partkey % 30 AS INT) AS from_station, CAST(l_suppkey % 30 AS INT) AS to_station, CAST(l_linenumber % 2 AS INT) AS bidirectional, CAST(30 + (l_orderkey * 11) % 300 AS INT) AS seconds, l_orderkey * 8 + l_linenumber AS row_no FROM lineitem WHERE l_orderkey % 3 = 1"
+_PATHWAY = "SELECT CAST(l_partkey % 30 AS INT) AS from_station, CAST(l_suppkey % 30 AS INT) AS to_station, CAST(l_linenumber % 2 AS INT) AS bidirectional, CAST(30 + (l_orderkey * 11) % 300 AS INT) AS seconds, l_orderkey * 8 + l_linenumber AS row_no FROM lineitem WHERE l_orderkey % 3 <> 0"
 
 
 @query("transfer_dedupe", f"""
@@ -191,5 +192,5 @@ def transfer_dedupe(spark, sf_dir):
     item = T.table(spark, sf_dir, "lineitem")
     row = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_no")
     explicit = item.where("l_orderkey % 3 = 0").select((F.col("l_suppkey") % 25).cast("int").alias("from_station"), (F.col("l_partkey") % 25).cast("int").alias("to_station"), (F.col("l_linenumber") % 4).alias("transfer_type"), (60 + (F.col("l_orderkey") * 7) % 600).cast("int").alias("seconds"), row)
-    pathways = item.where("l_orderkey % 3 = 1").select((F.col("l_partkey") % 30).cast("int").alias("from_station"), (F.col("l_suppkey") % 30).cast("int").alias("to_station"), (F.col("l_linenumber") % 2).alias("bidirectional"), (30 + (F.col("l_orderkey") * 11) % 300).cast("int").alias("seconds"), row)
+    pathways = item.where("l_orderkey % 3 <> 0").select((F.col("l_partkey") % 30).cast("int").alias("from_station"), (F.col("l_suppkey") % 30).cast("int").alias("to_station"), (F.col("l_linenumber") % 2).alias("bidirectional"), (30 + (F.col("l_orderkey") * 11) % 300).cast("int").alias("seconds"), row)
     return N.dedupe_transfers(explicit, pathways)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linehaul.functions import scalars as S
 from linehaul.operators import network as N
+from linehaul.operators import sampling as SA
 from linehaul.operators import search as R
 from linehaul.plans.network import calls, pats, rounded
 from linehaul.sources import timetable as T
@@ -63,12 +64,12 @@ def weighted_profile_topk(spark, sf_dir):
 
 
 @query("bounded_distance_triplets", f"""
-WITH v AS (SELECT vec_id AS id, vec_id % 3 AS system, label AS identity, vec_id % 7 AS snapshot, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / (1 + abs(x))) AS v FROM embeddings WHERE vec_id < 120),
+WITH v AS (SELECT vec_id AS id, vec_id % 3 AS system, label AS identity, vec_id % 7 AS snapshot, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / (1 + abs(x))) AS v FROM embeddings),
 d AS (SELECT a.id AS anchor, b.id, least(greatest(1 - {_COS.format(a='a.v', b='b.v')}, 0), 2) AS dist, CASE WHEN a.system = b.system AND a.identity = b.identity AND a.snapshot <> b.snapshot THEN 0 ELSE 1 END AS o FROM v a JOIN v b ON a.id <> b.id),
 m AS (SELECT anchor, arg_min(id, (o, dist, id)) AS positive, arg_min(dist, (o, dist, id)) AS pd, arg_max(id, (dist, -id)) AS negative, arg_max(dist, (dist, -id)) AS nd FROM d GROUP BY anchor)
 SELECT anchor, positive, negative, round(nd - pd, 6) AS gap FROM m WHERE nd >= pd + 0.001""")
 def bounded_distance_triplets(spark, sf_dir):
-    v = T.table(spark, sf_dir, "embeddings").where("vec_id < 120")  # the operator's limit on triplets
+    v = T.table(spark, sf_dir, "embeddings")
     items = v.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3).alias("system"), F.col("label").alias("identity"), (F.col("vec_id") % 7).alias("snapshot"), F.col("embedding").cast("array<double>").alias("vector"))
     return rounded(R.triplets(items), "gap")
 
@@ -90,9 +91,9 @@ def vector_summary(spark, sf_dir):
 
 @query("message_passing_mean", with_sql(f"""
 SELECT b AS node, CAST(pos AS INT) AS pos, round(avg(x), 6) AS value FROM (SELECT DISTINCT a, b, line FROM seg) e
-JOIN (SELECT CAST(vec_id AS INT) AS node, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS pos FROM embeddings WHERE vec_id < 25) n ON n.node = e.a GROUP BY 1, 2"""))
+JOIN (SELECT CAST(vec_id % 25 AS INT) AS node, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) n ON n.node = e.a GROUP BY 1, 2"""))
 def message_passing_mean(spark, sf_dir):
-    nodes = T.table(spark, sf_dir, "embeddings").where("vec_id < 25").select(F.col("vec_id").cast("int").alias("node"), F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "value"))  # a vector per station
+    nodes = T.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 25).cast("int").alias("node"), F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "value"))  # vectors dealt to the stations
     edges = N.segments(calls(spark, sf_dir)).select(F.col("from_station").alias("src"), F.col("to_station").alias("dst"), "line").distinct()
     return rounded(R.message_mean(nodes, edges), "value")
 
@@ -110,7 +111,7 @@ SELECT c.line, trips, patterns, stations, greatest(last - first, 0) AS span, fir
 JOIN (SELECT line, count(DISTINCT pattern) AS patterns, count(*) AS trips FROM pat GROUP BY line) p ON c.line = p.line))"""))
 def line_feature_vector(spark, sf_dir):
     c = calls(spark, sf_dir)
-    s = N.line_summary(c, N.patterns(c))
+    s = N.line_summary(c, N.signatures(c))
     values = F.create_map(*[x for n, v in (("trips", F.log1p("trips")), ("patterns", F.log1p("patterns")), ("stations", F.log1p("stations")), ("span", S.normalized_time(F.col("span"))), ("first", S.normalized_time(F.col("first_departure")))) for x in (F.lit(n), v)])
     return s.select("line", F.explode(values).alias("feature", "value")).select("line", "feature", F.round("value", 6).alias("value"))
 
@@ -153,11 +154,21 @@ def seeded_mask(spark, sf_dir):
     return e.select("event_id", F.round("u", 9).alias("draw"), (F.col("u") < 0.15).alias("masked"))
 
 
-@query("farthest_point_origins")
+def farthest_sql(k: int) -> str:
+    """Picks one after the other: g holds each station's least squared distance to the picks so far."""
+    far = "power(radians(s.lat) - radians(c.lat), 2) + power((radians(s.lon) - radians(c.lon)) * cos((radians(s.lat) + radians(c.lat)) / 2), 2)"
+    out = ", c0 AS (SELECT 0 AS rank, station, lat, lon FROM st ORDER BY station LIMIT 1), g0 AS (SELECT s.*, " + far + " AS gap FROM st s, c0 c)"
+    for i in range(1, k):
+        out += f", c{i} AS (SELECT {i} AS rank, station, lat, lon FROM g{i - 1} WHERE station NOT IN (SELECT station FROM " + ", ".join([]) + " UNION ALL SELECT station FROM ".join(f"c{x}" for x in range(i)) + f") ORDER BY gap DESC, station LIMIT 1)"
+        out += f", g{i} AS (SELECT s.station, s.lat, s.lon, s.name, s.zone, least(s.gap, {far}) AS gap FROM g{i - 1} s, c{i} c)"
+    marker = with_sql("SELECT 1 AS marker")
+    return marker[: marker.rindex("SELECT 1 AS marker")].rstrip() + out + " " + " UNION ALL ".join(f"SELECT rank, station FROM c{i}" for i in range(k))
+
+
+@query("farthest_point_origins", farthest_sql(6))
 def farthest_point_origins(spark, sf_dir):
-    st = T.stations(spark, sf_dir).orderBy("station").limit(100_000).collect()  # candidates of the sampler, bounded by its contract
-    chosen = R.farthest_points([(r["station"], r["lat"], r["lon"]) for r in st], 6)
-    return spark.createDataFrame([(i, s) for i, s in enumerate(chosen)], "rank int, station int")
+    chosen = SA.farthest_points(T.stations(spark, sf_dir).select(F.col("station").alias("id"), "lat", "lon"), 6)
+    return spark.createDataFrame([(k, i) for k, (i, _, _) in enumerate(chosen)], "rank int, station int")
 
 
 @query("top_hubs", with_sql("SELECT station, CAST(r AS INT) AS rank FROM (SELECT station, row_number() OVER (ORDER BY count(DISTINCT line) DESC, count(*) DESC, station) AS r FROM calls GROUP BY station) WHERE r <= 10"))

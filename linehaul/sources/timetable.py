@@ -39,6 +39,27 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "zone").where((gap > 0) & (gap <= 10)).select("from_station", "to_station", (60 * (1 + gap)).cast("int").alias("seconds"))
 
 
+def write_feed(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """The timetable as the tables of a GTFS feed, comma-separated text in ``folder``."""
+    from linehaul.functions.scalars import clock_text
+
+    t, st = stop_times(spark, sf_dir), stations(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string")
+    stop = lambda c: F.concat(F.lit("n"), F.lpad(text(c), 2, "0"))
+    trips = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("route_id"), F.lit("daily").alias("service_id"), text("o_orderkey").alias("trip_id"))
+    tables = {
+        "stops": st.select(stop("station").alias("stop_id"), F.col("name").alias("stop_name"), text("lat").alias("stop_lat"), text("lon").alias("stop_lon")),
+        "routes": trips.select("route_id", F.col("route_id").alias("route_short_name"), F.lit("3").alias("route_type")).distinct(),
+        "trips": trips,
+        "stop_times": t.select(text("trip_id").alias("trip_id"), clock_text(F.col("arrival")).alias("arrival_time"), clock_text(F.col("departure")).alias("departure_time"), stop("station").alias("stop_id"), text("seq").alias("stop_sequence"), text("pickup").alias("pickup_type"), text("drop_off").alias("drop_off_type")),
+        "calendar": spark.createDataFrame([("daily", *"1111111", "19900101", "20301231")], "service_id string, monday string, tuesday string, wednesday string, thursday string, friday string, saturday string, sunday string, start_date string, end_date string"),
+        "transfers": transfers(spark, sf_dir).select(stop("from_station").alias("from_stop_id"), stop("to_station").alias("to_stop_id"), F.lit("2").alias("transfer_type"), text("seconds").alias("min_transfer_time")),
+    }
+    for name, df in tables.items():
+        df.write.csv(f"{folder}/{name}.txt", header=True)
+    return folder
+
+
 #: The same views in SQL, for the checks.
 SQL = """
 tt AS (SELECT *, CAST(18000 + (trip_id * 97) % 64800 + seq * 300 AS INT) AS arrival,

@@ -64,6 +64,42 @@ def test_impact_counts_lost_destinations(spark):
     assert r["unreachable_share"] == pytest.approx(1 / 3) and r["mean_delay"] == 200 and r["p95_delay"] == 400 and r["mean_extra_transfers"] == 0.5
 
 
-def test_farthest_points():
-    assert R.farthest_points([(1, 0.0, 0.0), (2, 0.0, 0.1), (3, 0.0, 5.0)], 2) == [1, 3]
-    assert R.farthest_points([], 3) == []
+def test_farthest_points(spark):
+    from linehaul.operators.sampling import evenly_spaced, farthest_points, sample_origins
+
+    df = lambda rows: spark.createDataFrame(rows, "id long, lat double, lon double, degree int")
+    rows = [(1, 0.0, 0.0, 0), (2, 0.0, 0.1, 4), (3, 0.0, 5.0, 2), (4, 0.1, 0.1, 0), (11, 1.0, 1.0, 9), (11, 2.0, 2.0, 9), (12, None, 1.0, 50)]
+    assert [i for i, _, _ in farthest_points(df(rows), 2)] == [1, 3] and farthest_points(df([]), 3) == []
+    got = [r["id"] for r in sample_origins(df(rows), 3, 0.34, 0.34).orderBy("rank").collect()]
+    assert len(got) == 3 and got[0] == 1 and 11 in got and 12 not in got
+    assert sorted(r["id"] for r in sample_origins(df(rows), 20).collect()) == [1, 2, 3, 4, 11]
+    many = spark.range(10).withColumnRenamed("id", "k")
+    assert sorted(r["k"] for r in evenly_spaced(many, ["k"], 4).collect()) == [0, 2, 5, 7] and evenly_spaced(many, ["k"], 30).count() == 10
+
+
+def test_triplets_equal_all_pairs(spark):
+    import random
+
+    import numpy as np
+
+    from linehaul.operators.search import triplets
+
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(3), rng.randrange(4), rng.randrange(2), [rng.gauss(0, 1) for _ in range(6)]) for i in range(60)]
+    rows += [(60, *rows[3][1:]), (61, 0, 0, 0, [0.0] * 6), (62, 0, 1, 1, [1.0, 2.0])]
+    got = {r["anchor"]: (r["positive"], r["negative"]) for r in triplets(spark.createDataFrame(rows, "id long, system int, identity int, snapshot int, vector array<double>"), block=20).collect()}
+
+    def far(x, y):
+        if len(x) != len(y):
+            return 1.0
+        x, y = (np.array(v) / (1 + np.abs(v)) for v in (x, y))
+        n = np.linalg.norm(x) * np.linalg.norm(y)
+        return min(max(1 - (x @ y / n if n else 0.0), 0.0), 2.0)
+
+    want = {}
+    for a in rows:
+        d = [((0 if b[1:3] == a[1:3] and b[3] != a[3] else 1), round(far(a[4], b[4]), 12), b[0]) for b in rows if b[0] != a[0]]
+        p, n = min(d), max(d, key=lambda x: (x[1], -x[2]))
+        if n[1] >= p[1] + 0.001:
+            want[a[0]] = (p[2], n[2])
+    assert got == want
