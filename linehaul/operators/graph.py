@@ -50,14 +50,28 @@ def line_features(lines: DataFrame) -> DataFrame:
     return lines.select("line", F.array(*values).alias("features"))
 
 
+def end_to_end(trips: DataFrame, stations: DataFrame) -> DataFrame:
+    """Per line the largest distance between the ends of a pattern; ``trips`` have signatures."""
+    metres = S.station_distance(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    ends = trips.select("line", F.split("stops", ",").alias("s")).select("line", F.element_at("s", 1).cast("int").alias("from_station"), F.element_at("s", -1).cast("int").alias("to_station")).distinct()
+    a = stations.select(F.col("station").alias("from_station"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    b = stations.select(F.col("station").alias("to_station"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    return ends.join(a, "from_station").join(b, "to_station").groupBy("line").agg(F.coalesce(F.max(metres), F.lit(0.0)).alias("end_to_end"))
+
+
+def normalized_coordinates(stations: DataFrame) -> DataFrame:
+    """x and y of all stations between the smallest and the largest, 0 where these are the same."""
+    box = stations.agg(*[f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))])
+    unit = lambda c: F.when(F.col(f"max_{c}") > F.col(f"min_{c}"), (F.col(c) - F.col(f"min_{c}")) / (F.col(f"max_{c}") - F.col(f"min_{c}"))).otherwise(0.0)
+    # the box is one row
+    return stations.crossJoin(F.broadcast(box)).withColumns({"x": unit("lon"), "y": unit("lat")})
+
+
 def line_statistics(calls: DataFrame, stations: DataFrame, modes: DataFrame) -> DataFrame:
     """All per-line statistics that features need, one row per line."""
     pats, segs = N.signatures(calls), N.segments(calls)
     metres = S.station_distance(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    ends = pats.select("line", F.split("stops", ",").alias("s")).select("line", F.element_at("s", 1).cast("int").alias("from_station"), F.element_at("s", -1).cast("int").alias("to_station")).distinct()
-    a = stations.select(F.col("station").alias("from_station"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    b = stations.select(F.col("station").alias("to_station"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    reach = ends.join(a, "from_station").join(b, "to_station").groupBy("line").agg(F.coalesce(F.max(metres), F.lit(0.0)).alias("end_to_end"))
+    reach = end_to_end(pats, stations)
     rows = N.line_summary(calls, pats)
     for part in (modes, N.line_lengths(segs, stations, metres), reach, N.line_branching(pats), N.line_headways(pats), N.line_stations(calls).drop("stations"), N.line_sharing(segs)):
         rows = rows.join(part, "line", "left")

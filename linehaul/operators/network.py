@@ -72,6 +72,11 @@ def transit_edges(segs: DataFrame) -> DataFrame:
     return stats.join(upper_median(segs, EDGE, "runtime", "median_runtime"), EDGE)
 
 
+def edge_lookup(rows: DataFrame, edges: DataFrame, values: list[str]) -> DataFrame:
+    """Values of each row's edge, 0 where there is none."""
+    return rows.join(edges.select(*EDGE, *values), EDGE, "left").na.fill(0, values)
+
+
 def edge_bins(segs: DataFrame) -> DataFrame:
     """Per edge and quarter-hour: departures and upper-median runtime."""
     binned = segs.withColumn("bin", service_day_bin(F.col("departure")))

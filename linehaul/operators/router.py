@@ -94,6 +94,13 @@ def one_to_all(calls: DataFrame, transfers: DataFrame, queries: DataFrame, rides
     return best.select("query_id", "station", "arrival", F.greatest(F.col("rides") - 1, F.lit(0)).alias("transfers"))
 
 
+def query_grid(origins: DataFrame, departures: Sequence[int]) -> DataFrame:
+    """Queries without intervention from every origin at every departure; departures are few."""
+    rows = origins.select("origin", F.explode(F.array(*[F.lit(int(d)) for d in departures])).alias("departure"))
+    none = {c.split(" ")[0]: F.lit(None).cast(c.split(" ", 1)[1]) for c in QUERY.split(", ")[3:]}
+    return rows.withColumn("query_id", F.xxhash64("origin", "departure")).withColumns(none)
+
+
 def line_removals(queries: DataFrame, lines: DataFrame) -> DataFrame:
     """Every query once more for each line without it. query_id stays in ``base``; the new ids follow it and the line."""
     both = queries.withColumnRenamed("query_id", "base").drop("disabled").crossJoin(lines.select(F.col("line").alias("removed")))

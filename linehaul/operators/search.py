@@ -82,7 +82,7 @@ def triplets(items: DataFrame, margin: float = 0.001, block: int = 500) -> DataF
     picked = S.bounded_picks(F.col("vector"))
     items = items.withColumn("picked", picked).withColumn("norm", S.norm(F.col("picked"))).withColumn("unit", F.transform("picked", lambda x: F.when(F.col("norm") == 0, 0.0).otherwise(x / F.col("norm"))))
     items = items.select(F.col("id").cast("long").alias("id"), "system", "identity", "snapshot", "unit", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     a = items.select("*", every.alias("_with")).groupBy("_block", "_with")
     b = items.withColumnRenamed("_block", "_with").select("*", every.alias("_block")).groupBy("_block", "_with")
     found = a.cogroup(b).applyInArrow(_best_of_blocks, "anchor long, other int, near double, positive long, far double, negative long")

@@ -10,6 +10,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SAFE_ID = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$")
 SPLITS = ("train", "validation", "test")
@@ -74,7 +75,7 @@ def load_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path}/split={split}")
 
 
-def load_labels(spark: SparkSession, path: str, schema: str, router_version: str) -> DataFrame:
+def load_labels(spark: SparkSession, path: str, schema: str | StructType, router_version: str) -> DataFrame:
     """Label rows from JSON lines; rows of another router version or without a policy are an error."""
     rows = spark.read.schema(schema).json(path)
     if rows.where((F.col("router_algorithm_version") != router_version) | F.col("router_algorithm_version").isNull() | F.col("policy_fingerprint").isNull()).limit(1).count():
@@ -88,9 +89,10 @@ def file_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verify(manifest: DataFrame, found: DataFrame) -> DataFrame:
-    """Files of a manifest (path, bytes, sha256) that are missing or differ."""
+    """Files of a manifest (path, bytes, sha256) that are missing or differ, and files found that it does not name."""
     f = found.select("path", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha"))
-    return manifest.join(f, "path", "left").where(F.col("_sha").isNull() | (F.col("_sha") != F.col("sha256")) | (F.col("_bytes") != F.col("bytes"))).select("path")
+    same = (F.col("_sha") == F.col("sha256")) & (F.col("_bytes") == F.col("bytes"))
+    return manifest.join(f, "path", "full").where(~F.coalesce(same, F.lit(False))).select("path")
 
 
 def write_json_once(path: str, value) -> None:
