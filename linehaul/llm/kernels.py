@@ -120,7 +120,7 @@ def span_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, r: int = _WORD_R) -
     return mix((total[hi] - total[lo]) * inv[lo] + (hi - lo).astype(U))
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes together; a longer text stands alone and stays whole."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -130,7 +130,7 @@ def pieces(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]
         i = j
 
 
-def each(col: pa.Array, lower: bool = False, hashes: bool = True, most: int = 1 << 21, gap: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
+def each(col: pa.Array, lower: bool = False, hashes: bool = True, most: int = 1 << 19, gap: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first text, past the last, their words) over a column, piece by piece."""
     data, offsets = text_bytes(col)
     for i, j in pieces(offsets, most):

@@ -91,9 +91,11 @@ def _sketch_rows(k: int, bands: int, few: int):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j, w in K.each(b.column(1)):
-                size = np.diff(w.doc)
-                for texts, key in sketches(*labelled(w, k), bands, few):
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(key)), pa.array(ids[i:j][texts]), pa.array(size[texts].astype(np.int32))], ["key", "doc", "n"])
+                found = list(sketches(*labelled(w, k), bands, few))
+                if found:
+                    texts = np.concatenate([t for t, _ in found])
+                    key, size = np.concatenate([x for _, x in found]), np.diff(w.doc)[texts].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(key)), pa.array(ids[i:j][texts]), pa.array(size)], ["key", "doc", "n"])
 
     return run
 

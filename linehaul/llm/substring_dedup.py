@@ -222,7 +222,9 @@ def find(docs: DataFrame, length: int = 50, scratch: Scratch | None = None) -> R
             removed = places.select(*_ROW, F.array_distinct(starts).alias("starts")).where(F.size("starts") > 0)
         tops.append(places.where(F.exists("places", lambda x: x["later"])).select(*_ROW, F.lit(size).cast("long").alias("words")))
         # the next level: windows that repeat, extended to twice the length
-        windows = scratch.table(places.select(*_ROW, "places").mapInArrow(_doubled(size), _LEVEL), "windows")
+        ends = F.transform("places", lambda x: x["c"].bitwiseAND(F.lit(0xFFFFFFFF)))
+        wide = places.where(F.array_max(ends) - F.array_min(ends) >= size)
+        windows = scratch.table(wide.select(*_ROW, "places").mapInArrow(_doubled(size), _LEVEL), "windows")
         size *= 2
         if not windows.limit(1).count():
             break
