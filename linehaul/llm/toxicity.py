@@ -91,7 +91,8 @@ def train(examples: list[tuple[np.ndarray, int]], bits: int = 22, alpha: float =
     for _ in range(epochs):
         for k in order.permutation(deck):
             ftrl.learn(*examples[k])
-    w = ftrl.weights(np.arange((1 << bits) + 1))
+    size, step = (1 << bits) + 1, 1 << 18
+    w = np.concatenate([ftrl.weights(np.arange(k, min(k + step, size))) for k in range(0, size, step)])
     index = np.flatnonzero(w[:-1])
     return SparseModel(bits, float(w[-1]), index, w[index].astype(np.float32))
 
