@@ -73,6 +73,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linehaul.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,6 +96,7 @@ QUERIES = {
     "op8_ngram_lm": op8_ngram_lm,
     "op9_near_dedup": op9_near_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_filter_audit": op12_filter_audit,
     "pipeline": pipeline,
 }
 
@@ -104,6 +111,26 @@ k AS (SELECT p.doc_id, count(*) FILTER (c.i IS NOT NULL) AS gone, string_agg(p.w
       FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id)
 SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM t LEFT JOIN k ON t.doc_id = k.doc_id""",
+    "op12_filter_audit": r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+m AS (SELECT doc_id, part, list_value(len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+        regexp_matches(text, '[#$%&*|]'), coalesce(first < doc_id, false)) AS f FROM w),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT m.*, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM m LEFT JOIN l ON m.doc_id = l.doc_id),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT o, array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+c AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY part, f),
+j AS (SELECT part, filter_order, step, o[step] AS own, n, good, toxic, list_bool_or(list_transform(o[1:step - 1], lambda k: f[k])) AS was, f[o[step]] AS now,
+        len(list_filter(f, lambda v: v)) AS fails FROM c, s),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (NOT coalesce(was, false) AND NOT now) AS kept, sum(n) FILTER (NOT coalesce(was, false) AND now) AS removed,
+        sum(n) FILTER (was AND now) AS redundant, sum(n) FILTER (now AND fails = 1) AS unique_fails, sum(good) FILTER (NOT coalesce(was, false) AND now) AS good_lost,
+        sum(toxic) FILTER (NOT coalesce(was, false) AND now) AS toxic_lost FROM j GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM r""",
     "op5_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
