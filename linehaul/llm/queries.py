@@ -79,6 +79,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from linehaul.llm.bpe import encoding_digest
+
+    return encoding_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,6 +105,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op12_filter_audit": op12_filter_audit,
+    "op13_bpe": op13_bpe,
     "pipeline": pipeline,
 }
 
