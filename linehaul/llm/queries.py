@@ -73,6 +73,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linehaul.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linehaul.llm.filter_audit import filter_audit
 
@@ -104,6 +110,7 @@ QUERIES = {
     "op8_ngram_lm": op8_ngram_lm,
     "op9_near_dedup": op9_near_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_spelling": op11_spelling,
     "op12_filter_audit": op12_filter_audit,
     "op13_bpe": op13_bpe,
     "pipeline": pipeline,
@@ -120,6 +127,22 @@ k AS (SELECT p.doc_id, count(*) FILTER (c.i IS NOT NULL) AS gone, string_agg(p.w
       FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id)
 SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM t LEFT JOIN k ON t.doc_id = k.doc_id""",
+    "op11_spelling": r"""
+WITH RECURSIVE w AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+d AS (SELECT doc_id, r, count(*) AS k, doc_id || ':' || r AS s FROM w GROUP BY doc_id, r),
+b AS (SELECT r, k, flatten(list_transform(list_transform(range(1, length(s) + 1), lambda i: unicode(s[i])), lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END)) AS y FROM d),
+h AS (SELECT r, k, xor(4294967295, list_reduce(flatten(list_transform(y, lambda v: list_transform(range(8), lambda j: CAST((v >> CAST(j AS INTEGER)) & 1 AS BIGINT)))),
+        lambda c, x: xor(c >> 1, 3988292384 * (xor(c, x) & 1)), 4294967295)) AS h FROM b),
+c AS (SELECT CASE WHEN h % 31 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, k FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM c WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+x AS MATERIALIZED (SELECT word, i, word[1:i - 1] || word[i + 1:] AS s FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT DISTINCT * FROM (SELECT p.word AS a, q.word AS b FROM x p JOIN x q ON p.s = q.s AND p.i = q.i AND p.word <> q.word
+      UNION ALL SELECT x.word, v.word FROM x JOIN v ON x.s = v.word UNION ALL SELECT v.word, x.word FROM x JOIN v ON x.s = v.word)),
+g AS (SELECT e.a, e.b, v.n, row_number() OVER (PARTITION BY e.a ORDER BY v.n DESC, encode(e.b)) AS k, count(*) OVER (PARTITION BY e.a) AS near FROM e JOIN v ON v.word = e.b),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(g.near, 0) AS n_near, CASE WHEN g.n >= 10 * v.n THEN g.b END AS form, CASE WHEN g.n >= 10 * v.n THEN g.n END AS form_n FROM v LEFT JOIN g ON g.a = v.word AND g.k = 1),
+t AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL),
+z AS (SELECT t.word, arg_max(t.root, f.n) AS root FROM t JOIN f ON f.word = t.root GROUP BY t.word)
+SELECT f.word, f.form, coalesce(z.root, f.word) AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n FROM f LEFT JOIN z ON z.word = f.word""",
     "op12_filter_audit": r"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
