@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linehaul.plans import catalog, features, feed, network, routing, units, vectors
+from linehaul.plans import catalog, encoder, features, feed, network, routing, units, vectors
 
-_MODULES = (network, routing, feed, vectors, catalog, features, units)
+_MODULES = (network, routing, feed, vectors, catalog, features, units, encoder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,9 +21,14 @@ def upper_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     Counts of distinct values go through the shuffle, not the values, so a key costs as much as it has distinct ones.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return weighted_upper_median(counts, keys, value, "_n", name)
+
+
+def weighted_upper_median(counts: DataFrame, keys: list[str], value: str, count: str, name: str) -> DataFrame:
+    """The same of values that come with their counts."""
     w = Window.partitionBy(*keys)
-    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.select(*keys, value, upto.alias("_upto"), F.sum("_n").over(w).alias("_all"))
+    upto = F.sum(count).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select(*keys, value, upto.alias("_upto"), F.sum(count).over(w).alias("_all"))
     return ranked.where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min(value).alias(name))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from linehaul.operators import baselines as B
 from linehaul.operators import graph as G
 from linehaul.operators import network as N
+from linehaul.plans.encoder import features_sql
 from linehaul.plans.network import _HAVERSINE, calls
 from linehaul.plans.routing import _RANKED, ranked
 from linehaul.sources import timetable as T
@@ -34,13 +35,13 @@ def _modes(spark, sf_dir):
     return T.stop_times(spark, sf_dir).select("line").distinct().withColumn("bucket", F.substring("line", 1, 1).cast("int") - 1)
 
 
-@query("graph_line_features")
+@query("graph_line_features", features_sql("lnf", "line", G.LINE_FEATURES))
 def graph_line_features(spark, sf_dir):
     stats = G.line_statistics(calls(spark, sf_dir), T.stations(spark, sf_dir), _modes(spark, sf_dir))
     return _named(G.line_features(stats), ["line"], G.LINE_FEATURES)
 
 
-@query("graph_station_features")
+@query("graph_station_features", features_sql("stf", "station", G.STATION_FEATURES))
 def graph_station_features(spark, sf_dir):
     c, st = calls(spark, sf_dir), T.stations(spark, sf_dir)
     platforms = T.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("int").alias("station")).agg(F.count(F.lit(1)).alias("platform_count"))
