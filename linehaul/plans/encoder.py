@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from linehaul.functions import scalars as S
 from linehaul.operators import encoder as E
 from linehaul.operators import facets as FA
 from linehaul.operators import graph as G
+from linehaul.operators import inference as I
 from linehaul.operators import network as N
 from linehaul.operators import search as R
 from linehaul.plans.network import _GAPS, _HAVERSINE, _PEAK, calls
@@ -269,3 +271,25 @@ def similar_lines(spark, sf_dir):
     c = f.select(F.col("line").alias("id"), F.col("line").alias("name"), *[F.col(c).alias(f"{c}_c") for c in names])
     out = R.top_similar(q, c, 3, R.facet_similarity(S.profile_weights("default")), F.col("q_id") == F.col("id"))
     return out.select("q_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+_HEAD = lambda k, i: 0.02 * np.sin((k + 1) * (i + 1) * 0.013)
+_INPUTS = 2 * WIDTH + FA.LINE_WIDTH
+_PREDICTED = f"""
+SELECT p.line, metric, round(value, 6) AS value, round(percentile, 6) AS percentile, round(uniqueness, 6) AS uniqueness FROM (
+SELECT *, cume_dist() OVER (PARTITION BY metric ORDER BY round(value, 12)) AS percentile FROM (SELECT line, unnest([{', '.join(f"'{m}'" for m in I.METRICS)}]) AS metric, unnest(m) AS value FROM (
+SELECT line, list_transform(range(6), lambda k: greatest(list_value(1, 1, 3600, 3600, 1, 1)[k + 1] * list_sum(list_transform(range({_INPUTS}), lambda i: x[i + 1] * 0.02::DOUBLE * sin((k + 1) * (i + 1) * 0.013::DOUBLE))), 0)) AS m
+FROM (SELECT v.line, list_concat(list_concat(v.v, c.v), f.f) AS x FROM {_L} v JOIN lnf f ON f.line = v.line CROSS JOIN cty c)))) p
+JOIN (SELECT v.line, list_sum(list_transform(range({FA.LINE_WIDTH}), lambda o: abs(f.f[o + 1] - list_sum(list_transform(range({WIDTH}), lambda i: v.v[i + 1] * cos((i + 1) * (o + {I.LINE_DECODER_SEED + 1}) * 0.013::DOUBLE) * 0.1::DOUBLE))))) / {FA.LINE_WIDTH} AS uniqueness
+FROM {_L} v JOIN lnf f ON f.line = v.line) u ON u.line = p.line"""
+
+
+@query("predicted_lines", facets_sql(_PREDICTED))
+def predicted_lines(spark, sf_dir):
+    scratch = Scratch(spark, "predict")
+    g = graph(spark, sf_dir, scratch)
+    e = {k: scratch.table(v, k) for k, v in E.encode(g, WIDTH, LAYERS, scratch).items()}
+    inputs = I.head_inputs(e["lines"], e["city"], g["line_features"])
+    ranked = I.metric_percentiles(scratch.table(I.predict(inputs, *I.rule_head(_HEAD, _INPUTS)), "predictions"))
+    odd = I.uniqueness(e["lines"], g["line_features"], FA.LINE_WIDTH)
+    return ranked.join(odd, "line").select("line", "metric", *[F.round(c, 6).alias(c) for c in ("value", "percentile", "uniqueness")])

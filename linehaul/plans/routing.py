@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from linehaul.operators import batches as BA
+from linehaul.operators import inference as I
 from linehaul.operators import labels as L
 from linehaul.operators import metrics as M
 from linehaul.operators import network as N
@@ -143,6 +145,32 @@ def line_removal_labels(spark, sf_dir):
     return rounded(out, "accessibility_auc_loss", "unreachable_share", "mean_delay", "mean_extra_transfers")
 
 
+@query("label_batch_resumed", labels_sql())
+def label_batch_resumed(spark, sf_dir):
+    """A batch that stops after a step of two lines and is taken up again."""
+    scratch = Scratch(spark, "labels")
+    c = scratch.table(calls(spark, sf_dir), "calls")
+    lines, folder = c.select("line").distinct(), scratch.path("batch")
+    batch = lambda: BA.LabelBatch(spark, folder, "orders", c, T.transfers(spark, sf_dir), starts(spark), 25, 2, CAP)
+    batch().run(lines, step=2, most_steps=1)
+    again = batch()
+    again.run(lines)
+    out = again.labels().drop("router_algorithm_version", "policy_fingerprint")
+    return rounded(out, "accessibility_auc_loss", "unreachable_share", "mean_delay", "mean_extra_transfers")
+
+
+@query("verify_top_lines", f"""
+SELECT r.line, CAST(r.place AS BIGINT) AS place, round(predicted, 6) AS predicted, accessibility_auc_loss, unreachable_share FROM ({labels_sql()}) l JOIN (
+{with_sql("SELECT line, predicted, row_number() OVER (ORDER BY predicted DESC, line) - 1 AS place FROM (SELECT line, count(DISTINCT trip_id) / 1000.0::DOUBLE AS predicted FROM calls GROUP BY line)")}) r ON r.line = l.removed WHERE place < 2""")
+def verify_top_lines(spark, sf_dir):
+    scratch = Scratch(spark, "verify")
+    c = scratch.table(calls(spark, sf_dir), "calls")
+    guess = c.where("pos = 0").groupBy("line").agg((F.count(F.lit(1)) / 1000.0).alias("predicted"))
+    ranked = I.rank_by(guess.select("*", F.array("predicted").alias("metrics")), 0, scratch)
+    out = BA.verify_top(ranked, 2, c, T.transfers(spark, sf_dir), starts(spark), 25, 2, CAP, scratch)
+    return rounded(out.select("line", "place", "predicted", "accessibility_auc_loss", "unreachable_share"), "predicted", "accessibility_auc_loss", "unreachable_share")
+
+
 @query("service_loss_share", with_sql("""
 SELECT line, round(count(*) FILTER (lines = 1) / 25.0::DOUBLE, 6) AS service_loss_share
 FROM (SELECT line, station, count(*) OVER (PARTITION BY station) AS lines FROM (SELECT DISTINCT line, station FROM calls)) GROUP BY line"""))

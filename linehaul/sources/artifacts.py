@@ -7,6 +7,7 @@ import json
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,45 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def read_json(spark: SparkSession, path: str):
+    """A small JSON document of any file system that Spark reads."""
+    return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below one."""
+    fs, p = _fs(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory())
+
+
+def rename_once(spark: SparkSession, source: str, target: str) -> bool:
+    """Moves a file or folder to a name that nothing has yet; False, and ``source`` stays, where something has it."""
+    fs, p = _fs(spark, target)
+    fs.mkdirs(p.getParent())
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(fs.makeQualified(jvm.org.apache.hadoop.fs.Path(source)), fs.makeQualified(p), none)
+    except Exception as error:
+        if fs.exists(p):
+            return False
+        raise error
+    return True
+
+
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """A small JSON document that appears whole under its name; another one that is there is an error."""
+    fs, temp = _fs(spark, f"{path}.part-{uuid.uuid4().hex}")
+    out = fs.create(temp, False)
+    out.write(bytearray(stable_json(value).encode()))
+    out.close()
+    if not rename_once(spark, str(temp.toString()), path):
+        fs.delete(temp, False)
+        if read_json(spark, path) != value:
+            raise FileExistsError(f"{path} has other content")
+
+
 def save_snapshot(tables: dict[str, DataFrame], root: str, descriptor: dict) -> str:
     """Tables under the hash of their descriptor. The same snapshot again is left as it is; a half-written one is written anew."""
     snapshot_id = hashlib.sha256(stable_json(descriptor).encode()).hexdigest()
