@@ -1,9 +1,10 @@
 """Substring dedup by level-wise doubling.
 
-Windows of half the wanted length are compared first, and of those only the ones with the smallest hash inside some
-window of the wanted length: a stretch of that length chooses alike wherever it stands. Windows of the wanted length
-whose chosen half repeats across documents are the candidates of the next level. From there on windows that repeat at
-one length are extended to twice that length where the window that follows repeats too, until no candidates survive.
+Short windows are compared first: of every window of the wanted length the one inside it with the smallest hash, which
+is chosen alike wherever the stretch stands. Windows of the wanted length whose chosen one repeats across documents
+are candidates, and alone are looked at with one of about twice that length, then four times, until the wanted length
+is reached or no candidate is left. From the first level on, candidates are stretches of word hashes; texts are read
+once more at the end, where words go.
 """
 
 from __future__ import annotations
@@ -67,11 +68,30 @@ def _keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
 
 
-def _halves(base: int, length: int):
+def _batch_of(hashes: np.ndarray, edge: np.ndarray) -> K.Words:
+    """Stretches of word hashes, as the kernels take words."""
+    none = np.zeros(0, np.int64)
+    return K.Words(np.zeros(0, np.uint8), none, none, edge, hashes)
+
+
+_STRETCH = "doc_id long, row long, at long, words array<long>"
+
+
+def _held(b: pa.RecordBatch, most: int = 1 << 17) -> Iterator[tuple[int, int, K.Words]]:
+    """(first stretch, past the last, their words) over a batch of stretches, about ``most`` words at a time."""
+    edge = b.column(3).offsets.to_numpy().astype(np.int64)
+    hashes, edge = b.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64), edge - edge[0]
+    for i, j in K.pieces(edge, most):
+        yield i, j, _batch_of(hashes[edge[i] : edge[j]], edge[i : j + 1] - edge[i])
+
+
+def _smallest(base: int, length: int, texts: bool):
+    """Rows of a level: the chosen windows of ``base`` words of texts or stretches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, rows = _keys(b)
-            for i, j, w in K.each(b.column(2)):
+            for i, j, w in K.each(b.column(2)) if texts else _held(b):
                 at, low = chosen(w, base, length)
                 if not len(at):
                     continue
@@ -83,6 +103,39 @@ def _halves(base: int, length: int):
     return run
 
 
+def _stretches(base: int, length: int, texts: bool):
+    """What is left of texts or stretches: runs of windows of ``length`` words whose chosen window their document lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (ids, rows), repeated = _keys(b), b.column(b.schema.get_field_index("repeated"))
+            values, edge = repeated.flatten().to_numpy(zero_copy_only=False).view(np.uint64), repeated.offsets.to_numpy().astype(np.int64)
+            edge = edge - edge[0]
+            before = np.zeros(b.num_rows, np.int64) if texts else b.column(2).to_numpy()
+            for i, j, w in K.each(b.column(2)) if texts else _held(b):
+                at, low = chosen(w, base, length)
+                if not len(at):
+                    continue
+                text = _text_of(w)[at]
+                mine, of = values[edge[i] : edge[j]], np.repeat(np.arange(j - i), np.diff(edge[i : j + 1]))
+                # a window is a candidate if its text lists its chosen window: both as pairs (text, hash)
+                pairs = np.unique(K.mix(mine) + of.astype(np.uint64) * np.uint64(K._BYTE_R))
+                hit = np.isin(K.mix(low) + text.astype(np.uint64) * np.uint64(K._BYTE_R), pairs)
+                at, text = at[hit], text[hit]
+                if not len(at):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (text[1:] != text[:-1])]))
+                last = np.append(first[1:], len(at)) - 1
+                lo, size, text = at[first], at[last] - at[first] + length, text[first]
+                for k in range(0, len(lo), 4096):
+                    s = slice(k, k + 4096)
+                    ends = np.concatenate([[0], np.cumsum(size[s])])
+                    words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(K.signed(w.hash[K.ranges(lo[s], size[s])])))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][text[s]]), pa.array(rows[i:j][text[s]]), pa.array(before[i:j][text[s]] + lo[s] - w.doc[:-1][text[s]]), words], ["doc_id", "row", "at", "words"])
+
+    return run
+
+
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
@@ -97,73 +150,58 @@ def _sliced(first: np.ndarray, second: np.ndarray, at: np.ndarray, doc: np.ndarr
 _LEVEL = "a long, c long, doc long, row long"
 
 
-def _wholes(base: int, length: int):
-    """Rows of the level of the wanted length: windows whose chosen half repeats."""
+def _windows(length: int):
+    """Rows of the last level: all windows of the stretches that are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            (ids, rows), repeated = _keys(b), b.column(3)
-            values, edge = repeated.flatten().to_numpy(zero_copy_only=False).view(np.uint64), repeated.offsets.to_numpy().astype(np.int64)
-            edge = edge - edge[0]
-            for i, j, w in K.each(b.column(2)):
-                at, low = chosen(w, base, length)
+            (ids, rows), before = _keys(b), b.column(2).to_numpy()
+            for i, j, w in _held(b):
+                at = K.ranges(w.doc[:-1], np.maximum(np.diff(w.doc) - length + 1, 0))
                 if not len(at):
                     continue
                 text = _text_of(w)[at]
-                mine, of = values[edge[i] : edge[j]], np.repeat(np.arange(j - i), np.diff(edge[i : j + 1]))
-                # a window is a candidate if its text lists its chosen half: both as pairs (text, hash)
-                pairs = np.unique(K.mix(mine) + of.astype(np.uint64) * np.uint64(K._BYTE_R))
-                hit = np.isin(K.mix(low) + text.astype(np.uint64) * np.uint64(K._BYTE_R), pairs)
-                at, text = at[hit], text[hit]
                 first, second = K.window_hash(w.hash, length)[at], K.window_hash(w.hash, length, _SECOND)[at]
-                yield from _sliced(first, second, at - w.doc[:-1][text], ids[i:j][text], rows[i:j][text])
+                yield from _sliced(first, second, before[i:j][text] + at - w.doc[:-1][text], ids[i:j][text], rows[i:j][text])
 
     return run
 
 
-def _doubled(length: int):
-    """Rows of the next level: a window and the one that follows it, where both repeat, as one of twice the length."""
+def _runs(length: int):
+    """Starts of windows as ranges of the words they cover, the ranges apart from each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, rows = _keys(b)
             edge = b.column(2).offsets.to_numpy().astype(np.int64)
-            a, c = (b.column(2).flatten().field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("a", "c"))
-            edge = edge - edge[0]
-            for k in range(len(ids)):
-                x, y = a[edge[k] : edge[k + 1]], c[edge[k] : edge[k + 1]]
-                place, one = np.unique(y & ~_HIGH, return_index=True)
-                x, y = x[one], y[one] & _HIGH
-                then = np.searchsorted(place, place + np.uint64(length))
-                go = np.flatnonzero(place[np.minimum(then, len(place) - 1)] == place + np.uint64(length))
-                then = then[go]
-                first, second = (K.mix(h[go] * np.uint64(r) + K.mix(h[then])) for h, r in ((x, K._WORD_R), (y, _SECOND)))
-                yield from _sliced(first, second, place[go], np.full(len(go), ids[k]), np.full(len(go), rows[k]))
+            starts, edge = b.column(2).flatten().to_numpy(zero_copy_only=False), edge - edge[0]
+            lo, size, count = [], [], []
+            for k in range(b.num_rows):
+                p = np.unique(starts[edge[k] : edge[k + 1]])
+                first = np.flatnonzero(np.concatenate([[True], np.diff(p) > length]))
+                lo.append(p[first])
+                size.append(p[np.append(first[1:], len(p)) - 1] + length - p[first])
+                count.append(len(first))
+            ends = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x or [np.zeros(0, np.int64)]), pa.int64())) for x in (lo, size))], ["doc_id", "row", "lo", "size"])
 
     return run
 
 
-def _cut(length: int):
-    """Texts without the words that their listed windows cover."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            edge = b.column(3).offsets.to_numpy().astype(np.int64)
-            starts = b.column(3).flatten().to_numpy(zero_copy_only=False)
-            edge, sha, text, removed = edge - edge[0], [], [], []
-            for i, j, w in K.each(b.column(2), hashes=False):
-                mark = np.zeros(len(w.start) + 1, np.int64)
-                p = starts[edge[i] : edge[j]] + np.repeat(w.doc[:-1], np.diff(edge[i : j + 1]))
-                np.add.at(mark, p, 1)
-                np.add.at(mark, p + length, -1)
-                gone = np.cumsum(mark[:-1]) > 0
-                removed += np.add.reduceat(np.append(gone, False), w.doc[:-1]).astype(int).tolist() if len(w.start) else [0] * (j - i)
-                kept = joined(w, ~gone)
-                sha += [hashlib.sha256(x).hexdigest() for x in kept]
-                text += kept
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(sha), pa.array(text, pa.binary()).cast(pa.string())], ["doc_id", "row", "n_removed", "kept_sha256", "kept"])
-
-    return run
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the words of their ranges."""
+    for b in batches:
+        edge = b.column(3).offsets.to_numpy().astype(np.int64)
+        lo, size = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (3, 4))
+        edge, sha, text, removed = edge - edge[0], [], [], []
+        for i, j, w in K.each(b.column(2), hashes=False):
+            s = slice(edge[i], edge[j])
+            gone = np.zeros(len(w.start), bool)
+            gone[K.ranges(lo[s] + np.repeat(w.doc[:-1], np.diff(edge[i : j + 1])), size[s])] = True
+            removed += np.add.reduceat(np.append(gone, False), w.doc[:-1]).astype(int).tolist() if len(w.start) else [0] * (j - i)
+            kept = joined(w, ~gone)
+            sha += [hashlib.sha256(x).hexdigest() for x in kept]
+            text += kept
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(sha), pa.array(text, pa.binary()).cast(pa.string())], ["doc_id", "row", "n_removed", "kept_sha256", "kept"])
 
 
 _ROW = ["doc_id", "row"]
@@ -178,87 +216,91 @@ class Repeats:
     """What ``find`` leaves in the shared folder, by (doc_id, row).
 
     ``measure``: n_words and sha of every row. ``whole``: the rows whose whole text repeats one of a smaller id.
-    ``removed``: of the others the starts of repeated windows, and ``longest``, the most words that some window which
-    repeats one of a smaller id was doubled to.
+    ``removed``: of the others the ranges (lo, size) of words that repeated windows cover.
     """
 
-    def __init__(self, measure: DataFrame, whole: DataFrame, removed: DataFrame, longest: DataFrame):
-        self.measure, self.whole, self.removed, self.longest = measure, whole, removed, longest
+    def __init__(self, measure: DataFrame, whole: DataFrame, removed: DataFrame):
+        self.measure, self.whole, self.removed = measure, whole, removed
+
+
+def ladder(length: int, least: int = 6) -> list[int]:
+    """Lengths below ``length``, each about half the next and of ``least`` words at least; ``length`` itself if it has no such half."""
+    out = [length]
+    while -(-out[0] // 2) >= least:
+        out.insert(0, -(-out[0] // 2))
+    return out[:-1] or out
+
+
+def narrowed(df: DataFrame, base: int, length: int, scratch: Scratch) -> DataFrame:
+    """A level: of texts (doc_id, row, text) or stretches the stretches whose chosen windows of ``base`` words repeat across documents.
+
+    A chosen window that many documents have costs each of them a row, which are summed map-side and joined with skew
+    splitting; a document then gets the list of its own.
+    """
+    texts = "text" in df.columns
+    rows = scratch.table(df.mapInArrow(_smallest(base, length, texts), "h long, doc long, row long"), "chosen")
+    again = scratch.table(rows.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h"), "again")
+    lists = scratch.table(rows.join(again, "h").groupBy(F.col("doc").alias("doc_id"), "row").agg(F.collect_set("h").alias("repeated")), "lists")
+    scratch.drop(rows, again)
+    some = df.join(bounded(lists.select(*_ROW), _IDS), _ROW, "left_semi") if texts else df
+    left = scratch.table(some.join(lists, _ROW).select(*df.columns, "repeated").mapInArrow(_stretches(base, length, texts), _STRETCH), "stretches")
+    scratch.drop(lists)
+    return left
 
 
 def find(docs: DataFrame, length: int = 50, scratch: Scratch | None = None) -> Repeats:
     """Windows of ``length`` words of ``docs`` (doc_id, text) that also start in a document with a smaller doc_id.
 
-    A hot passage costs one row for each place it stands at, which are summed map-side and joined with skew splitting.
-    Text is moved for documents with candidates only; from the wanted length upwards hashes of windows are enough.
+    Text is moved once, for documents with candidates of the first level; what they have left after it are stretches of
+    word hashes, of which every level keeps a part. The last level compares all windows that are left.
     """
     spark: SparkSession = docs.sparkSession
     scratch = scratch or Scratch(spark, "substring")
-    base = length // 2
     docs = keyed(docs)
     measure = scratch.table(docs.mapInArrow(_measure, "doc_id long, row long, n_words long, sha binary"), "measure")
-    # level of whole texts: copies of one text need no windows
+    # copies of one text need no windows
     long = measure.where(f"n_words >= {length} AND doc_id IS NOT NULL")
     first = scratch.table(long.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first"), "first")
     whole = scratch.table(long.join(first, "sha").where("doc_id > first").select(*_ROW).distinct(), "whole")
-    alone = docs.where("doc_id IS NOT NULL").join(bounded(whole, _IDS), _ROW, "left_anti").select(*_ROW, "text")
-    # level of chosen halves
-    halves = scratch.table(alone.mapInArrow(_halves(base, length), "h long, doc long, row long"), "halves")
-    again = scratch.table(halves.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h"), "again")
-    lists = scratch.table(halves.join(again, "h").groupBy(F.col("doc").alias("doc_id"), "row").agg(F.collect_set("h").alias("repeated")), "lists")
-    scratch.drop(halves)
-    # level of the wanted length
-    some = alone.join(bounded(lists.select(*_ROW), _IDS), _ROW, "left_semi")
-    windows = scratch.table(some.join(lists, _ROW).select(*_ROW, "text", "repeated").mapInArrow(_wholes(base, length), _LEVEL), "windows")
-    removed, tops, size = None, [], length
-    while True:
-        pair = windows.select("a", F.shiftright("c", 32).alias("b"), "c", "doc", "row")
-        least = scratch.table(pair.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("a", "b", "lo"), "least")
-        places = pair.join(least, ["a", "b"]).groupBy(F.col("doc").alias("doc_id"), "row").agg(F.collect_list(F.struct("a", "c", (F.col("doc") > F.col("lo")).alias("later"))).alias("places"))
-        places = scratch.table(places, "places")
-        scratch.drop(windows, least)
-        starts = F.transform(F.filter("places", lambda x: x["later"]), lambda x: x["c"].bitwiseAND(F.lit(0xFFFFFFFF)))
-        if removed is None:
-            removed = places.select(*_ROW, F.array_distinct(starts).alias("starts")).where(F.size("starts") > 0)
-        tops.append(places.where(F.exists("places", lambda x: x["later"])).select(*_ROW, F.lit(size).cast("long").alias("words")))
-        # the next level: windows that repeat, extended to twice the length
-        ends = F.transform("places", lambda x: x["c"].bitwiseAND(F.lit(0xFFFFFFFF)))
-        wide = places.where(F.array_max(ends) - F.array_min(ends) >= size)
-        windows = scratch.table(wide.select(*_ROW, "places").mapInArrow(_doubled(size), _LEVEL), "windows")
-        size *= 2
-        if not windows.limit(1).count():
+    left = docs.where("doc_id IS NOT NULL").join(bounded(whole, _IDS), _ROW, "left_anti").select(*_ROW, "text")
+    for base in ladder(length):
+        now = narrowed(left, base, length, scratch)
+        if "text" not in left.columns:
+            scratch.drop(left)
+        left = now
+        if not left.limit(1).count():
             break
-    longest = tops[0]
-    for t in tops[1:]:
-        longest = longest.unionByName(t)
-    return Repeats(measure, whole, scratch.table(removed, "removed"), longest.groupBy(*_ROW).agg(F.max("words").alias("longest")))
+    windows = scratch.table(left.mapInArrow(_windows(length), _LEVEL), "windows")
+    pair = windows.select("a", F.shiftright("c", 32).alias("b"), "c", "doc", "row")
+    least = scratch.table(pair.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("a", "b", "lo"), "least")
+    later = pair.join(least, ["a", "b"]).where("doc > lo").groupBy(F.col("doc").alias("doc_id"), "row").agg(F.collect_set(F.col("c").bitwiseAND(F.lit(0xFFFFFFFF))).alias("starts"))
+    removed = scratch.table(later.mapInArrow(_runs(length), "doc_id long, row long, lo array<long>, size array<long>"), "removed")
+    scratch.drop(windows, least, left)
+    return Repeats(measure, whole, removed)
 
 
-def cut(docs: DataFrame, repeats: Repeats, length: int = 50) -> DataFrame:
+def cut(docs: DataFrame, repeats: Repeats) -> DataFrame:
     """``(doc_id, row, n_removed, kept_sha256, kept)`` of the rows with some but not all words removed by windows."""
     removed = repeats.removed
     some = keyed(docs).join(bounded(removed.select(*_ROW), _IDS), _ROW, "left_semi")
-    return some.join(removed, _ROW).select(*_ROW, "text", "starts").mapInArrow(_cut(length), "doc_id long, row long, n_removed long, kept_sha256 string, kept string")
+    return some.join(removed, _ROW).select(*_ROW, "text", "lo", "size").mapInArrow(_cut, "doc_id long, row long, n_removed long, kept_sha256 string, kept string")
 
 
 def substring_digest(docs: DataFrame, length: int = 50) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256, longest)`` per row of ``docs``.
+    """``(doc_id, n_words, n_removed, kept_sha256)`` per row of ``docs``.
 
-    ``longest``: of ``length``, twice, four times it and so on, the most words of one window that a smaller id has
-    too; 0 if there is none. Null and empty texts have no words and keep the empty text; very long ones are treated as
+    Null and empty texts have no words and keep the empty text; very long ones are treated as
     all are. Ids are integers; a null one is compared with nothing. Rows of one id repeat nothing of each other; each
     has the result of its own text. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "substring")
     r = find(docs, length, scratch)
-    part = scratch.table(cut(docs, r, length).drop("kept").dropDuplicates(_ROW), "part")
-    m = r.measure.join(r.whole.withColumn("_gone", F.lit(True)), _ROW, "left").join(part, _ROW, "left").join(r.longest, _ROW, "left")
+    part = scratch.table(cut(docs, r).drop("kept").dropDuplicates(_ROW), "part")
+    m = r.measure.join(r.whole.withColumn("_gone", F.lit(True)), _ROW, "left").join(part, _ROW, "left")
     gone, n = F.coalesce("_gone", F.lit(False)), F.col("n_words")
     removed = F.when(gone, n).otherwise(F.coalesce("n_removed", F.lit(0)))
     sha = F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha"))))
-    doublings = F.floor(F.log2(n / length) + 1e-9)
-    longest = F.when(gone, F.pow(F.lit(2.0), doublings) * length).otherwise(F.coalesce("longest", F.lit(0)))
-    return m.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), sha.alias("kept_sha256"), longest.cast("long").alias("longest"))
+    return m.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), sha.alias("kept_sha256"))
 
 
 def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -268,7 +310,7 @@ def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "substring")
     r = find(docs, length, scratch)
-    part = scratch.table(cut(docs, r, length).select(*_ROW, "kept").dropDuplicates(_ROW), "part")
+    part = scratch.table(cut(docs, r).select(*_ROW, "kept").dropDuplicates(_ROW), "part")
     changed = part.unionByName(r.whole.select(*_ROW, F.lit("").alias("kept"))).toDF("_cut_id", "_cut_row", "_cut_text")
     # the columns of docs are c0, c1, ... in here, so that no name of theirs meets one of these
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}

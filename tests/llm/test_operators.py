@@ -492,14 +492,26 @@ def test_substring_dedup_of_ids_with_several_texts(spark):
         substring_digest(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
-def test_substring_ladder_ends_at_the_longest_repeat(spark):
-    from linehaul.llm.substring_dedup import substring_digest
+def test_substring_ladder_keeps_what_repeats_at_every_level(spark):
+    from linehaul.llm import substring_dedup as S
+    from linehaul.scratch import Scratch
 
+    assert S.ladder(50) == [7, 13, 25] and S.ladder(12) == [6] and S.ladder(8) == [8]
     rng = random.Random(23)
-    base = prose(rng, 400, 10**6)
-    rows = [(1, base), (2, ["a", *base[:51]]), (3, ["b", *base[10:110], "c"]), (4, ["d", *base[5:204]]), (5, ["e", *base[:200]]), (6, base), (7, ["f", *base]), (8, base[:49])]
-    got = {r["doc_id"]: r["longest"] for r in substring_digest(docs(spark, [(i, " ".join(w)) for i, w in rows])).collect()}
-    assert got == {1: 0, 2: 50, 3: 100, 4: 100, 5: 200, 6: 400, 7: 400, 8: 0}
+    base, scratch = prose(rng, 400, 10**6), Scratch(spark, "t")
+    rows = [(0, base)]
+    for k, n in enumerate((6, 9, 18, 36, 60)):  # shared runs that end between two levels each
+        rows.append((k + 1, prose(rng, 60, 10**6) + base[k * 70 : k * 70 + n] + prose(rng, 60, 10**6)))
+    left, words, documents = S.keyed(docs(spark, [(i, " ".join(w)) for i, w in rows])), [], []
+    for size in S.ladder(50):
+        left = S.narrowed(left, size, 50, scratch)
+        got = left.select("doc_id", F.size("words").alias("n")).collect()
+        words.append(sum(r["n"] for r in got))
+        documents.append({r["doc_id"] for r in got})
+    assert words[0] > words[1] > words[2] >= 120 and documents[0] >= documents[1] >= documents[2] >= {0, 5} and len(documents[0]) > 2
+    assert 1 not in documents[0] and 2 not in documents[1] and 3 not in documents[2]
+    got = {r["doc_id"]: r["n_removed"] for r in S.substring_digest(docs(spark, [(i, " ".join(w)) for i, w in rows])).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 60}
 
 
 # --- language model
