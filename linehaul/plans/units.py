@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import datetime
 
 from pyspark.sql import Window
@@ -176,7 +178,38 @@ def evenly_spaced_origins(spark, sf_dir):
     return SA.evenly_spaced(T.table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), ["s_acctbal", "s_suppkey"], 7).select("s_suppkey")
 
 
-@query("sampled_origins")
+_SEED = 7
+_U64 = 1 << 64
+
+
+def _key_sql(seed: int) -> str:
+    """The seeded key of a place (a, b, d) in 128-bit numbers, cut to 64 bits."""
+    cut = lambda x: f"(({x}) % {_U64}::UHUGEINT)"
+    turned = lambda x, n: f"({cut(f'{x} * {1 << n}::UHUGEINT')} + ({x} // {1 << (64 - n)}::UHUGEINT))"
+    mixed = lambda x, n, f: cut(f"xor({x}, {x} // {1 << n}::UHUGEINT) * {f}::UHUGEINT")
+    return f"""(SELECT xor(z, z // {1 << 31}::UHUGEINT) FROM (SELECT {mixed('y', 27, 0x94D049BB133111EB)} AS z FROM (SELECT {mixed('x', 30, 0xBF58476D1CE4E5B9)} AS y FROM (
+    SELECT xor(xor({seed}::UHUGEINT, {cut(f'a * {0x9E3779B97F4A7C15}::UHUGEINT')}), xor({turned('b', 17)}, {turned('d', 31)})) AS x))))"""
+
+
+def _origins_sql(most: int, geographic: float = 0.5, hubs: float = 0.25) -> str:
+    n = math.floor(most * geographic + 0.5)
+    m = min(math.floor(most * hubs + 0.5), most - n)
+    gap = lambda k: f"pow(radians(c.lat - p{k}.lat), 2) + pow(radians(c.lon - p{k}.lon) * cos(radians(c.lat + p{k}.lat) / 2), 2)"
+    picks = "p0 AS (SELECT * FROM c ORDER BY start, a, b, d, id LIMIT 1)"
+    for k in range(1, n):
+        before = ", ".join(f"p{j}" for j in range(k))
+        least = f"least({', '.join(gap(j) for j in range(k))})"
+        picks += f",\np{k} AS (SELECT c.* FROM c, {before} WHERE {' AND '.join(f'c.id <> p{j}.id' for j in range(k))} ORDER BY {least} DESC, c.a, c.b, c.d, c.id LIMIT 1)"
+    parts = " UNION ALL ".join([*(f"SELECT id, 0 AS part, {k} AS k FROM p{k}" for k in range(n)), f"SELECT * FROM (SELECT id, 1 AS part, row_number() OVER (ORDER BY d DESC, a, b, id) AS k FROM c) WHERE k <= {m}", f"SELECT * FROM (SELECT id, 2 AS part, row_number() OVER (ORDER BY draw, a, b, d, id) AS k FROM c) WHERE k <= {most - n - m}", "SELECT id, 3 AS part, row_number() OVER (ORDER BY a, b, d, id) AS k FROM c"])
+    return f"""
+g AS (SELECT s.station AS id, lat, lon, CAST(round(lat * 1e6) AS UHUGEINT) AS a, CAST(round(lon * 1e6) AS UHUGEINT) AS b, CAST(coalesce(n, 0) AS UHUGEINT) AS d FROM st s LEFT JOIN (
+  SELECT from_station AS station, count(DISTINCT to_station) AS n FROM (SELECT from_station, to_station FROM tf UNION ALL SELECT to_station, from_station FROM tf) GROUP BY 1) t ON t.station = s.station),
+c AS MATERIALIZED (SELECT *, {_key_sql(_SEED ^ 0x9E3779B97F4A7C15)} AS start, {_key_sql(_SEED)} AS draw FROM g),
+{picks}
+SELECT CAST(id AS BIGINT) AS id, CAST(row_number() OVER (ORDER BY part, k) AS INT) AS rank FROM (SELECT id, min((part, k))[1] AS part, min((part, k))[2] AS k FROM ({parts}) GROUP BY id) ORDER BY part, k LIMIT {most}"""
+
+
+@query("sampled_origins", with_sql("SELECT 1").replace("\nSELECT 1", "," + _origins_sql(10)))
 def sampled_origins(spark, sf_dir):
     s = T.stations(spark, sf_dir).select(F.col("station").cast("long").alias("id"), "lat", "lon").join(N.transfer_degree(T.transfers(spark, sf_dir)).select(F.col("station").cast("long").alias("id"), "degree"), "id", "left")
     return SA.sample_origins(s.na.fill(0, ["degree"]), 10)
@@ -346,17 +379,26 @@ def label_lines(spark, sf_dir):
     return A.load_labels(spark, path, rows.schema, "r1").select("snapshot", "line", "loss")
 
 
-@query("manifest_differences", "SELECT count(*) AS n FROM (SELECT unnest(range(3)))")
+_TEXT = "n_nationkey || ' ' || n_name || ' ' || n_regionkey || chr(10)"
+
+
+@query("manifest_differences", f"""
+WITH f AS (SELECT n_nationkey AS k, {_TEXT} AS body FROM nation),
+m AS (SELECT k, length(body) AS bytes, CASE WHEN k % 5 = 1 THEN 'stale' ELSE sha256(body) END AS sha FROM f WHERE k % 7 <> 3 UNION ALL SELECT k + 100, length(body), sha256(body) FROM f WHERE k % 9 = 0)
+SELECT CAST(coalesce(f.k, m.k) AS INT) AS file, CAST(m.bytes AS BIGINT) AS bytes, m.sha AS expected, sha256(f.body) AS found FROM f FULL JOIN m ON f.k = m.k WHERE f.k IS NULL OR m.k IS NULL OR m.sha <> sha256(f.body)""")
 def manifest_differences(spark, sf_dir):
-    """Of the files of a written table, one is taken from the manifest, one is changed in it, and one is named that is not there."""
+    """A file for each nation; the manifest lacks some, has stale digests of some and names some that are not there."""
     path = Scratch(spark, "files").path("files")
-    T.table(spark, sf_dir, "region").repartition(4).write.parquet(path)
-    found = A.file_digests(spark, path).where("path LIKE '%.parquet'")
-    found = Scratch(spark, "files").table(found, "found")
-    first, second = [r["path"] for r in found.orderBy("path").limit(2).collect()]
-    manifest = found.where(F.col("path") != first).withColumn("sha256", F.when(F.col("path") == second, "0").otherwise(F.col("sha256")))
-    manifest = manifest.unionByName(spark.createDataFrame([("gone", 1, "0")], "path string, bytes long, sha256 string"))
-    return A.verify(manifest, found).agg(F.count(F.lit(1)).alias("n"))
+    rows = T.table(spark, sf_dir, "nation").select("n_nationkey", F.concat_ws(" ", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")).alias("value"))
+    rows.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    key = F.regexp_extract("path", r"n_nationkey=(\d+)/", 1)
+    found = A.file_digests(spark, path).where(key != "").select(key.alias("path"), "bytes", "sha256")
+    line = F.concat("value", F.lit("\n"))  # as the text writer ends a row
+    own = rows.select(F.col("n_nationkey").alias("k"), F.octet_length(line).cast("long").alias("bytes"), F.sha2(line, 256).alias("sha256"))
+    stale = F.when(F.col("k") % 5 == 1, "stale").otherwise(F.col("sha256")).alias("sha256")
+    manifest = own.where("k % 7 <> 3").select(F.col("k").cast("string").alias("path"), "bytes", stale)
+    manifest = manifest.unionByName(own.where("k % 9 = 0").select((F.col("k") + 100).cast("string").alias("path"), "bytes", "sha256"))
+    return A.differences(manifest, found).select(F.col("path").cast("int").alias("file"), "bytes", F.col("sha256").alias("expected"), "found")
 
 
 def _log(spark, sf_dir):

@@ -128,11 +128,19 @@ def file_digests(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def differences(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, bytes, sha256, found) where a manifest (path, bytes, sha256) and the files found differ.
+
+    ``found`` is the digest of the file, null where it is missing; bytes and sha256 are null where the manifest does not name it.
+    """
+    f = found.select("path", F.col("bytes").alias("_bytes"), F.col("sha256").alias("found"))
+    same = (F.col("found") == F.col("sha256")) & (F.col("_bytes") == F.col("bytes"))
+    return manifest.select("path", "bytes", "sha256").join(f, "path", "full").where(~F.coalesce(same, F.lit(False))).drop("_bytes")
+
+
 def verify(manifest: DataFrame, found: DataFrame) -> DataFrame:
     """Files of a manifest (path, bytes, sha256) that are missing or differ, and files found that it does not name."""
-    f = found.select("path", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha"))
-    same = (F.col("_sha") == F.col("sha256")) & (F.col("_bytes") == F.col("bytes"))
-    return manifest.join(f, "path", "full").where(~F.coalesce(same, F.lit(False))).select("path")
+    return differences(manifest, found).select("path")
 
 
 def write_json_once(path: str, value) -> None:

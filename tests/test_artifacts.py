@@ -64,14 +64,47 @@ def test_impact_counts_lost_destinations(spark):
     assert r["unreachable_share"] == pytest.approx(1 / 3) and r["mean_delay"] == 200 and r["p95_delay"] == 400 and r["mean_extra_transfers"] == 0.5
 
 
+def origins_by_rule(rows, most, far, hub, seed):
+    """The quotas one after another: halves round up, a draw starts the farthest points, the rest comes by place."""
+    import math
+
+    mask = (1 << 64) - 1
+    place = lambda c: (math.floor(c[1] * 1e6 + 0.5), math.floor(c[2] * 1e6 + 0.5), c[3], c[0])
+
+    def key(s, c):
+        a, b, d, _ = place(c)
+        turn = lambda x, n: (x << n | x >> 64 - n) & mask
+        z = s ^ a * 0x9E3779B97F4A7C15 & mask ^ turn(b, 17) ^ turn(d, 31)
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & mask
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
+        return z ^ z >> 31
+
+    one = {}
+    for c in sorted((c for c in rows if c[1] is not None and c[2] is not None), key=place):
+        one.setdefault(c[0], c)
+    all_ = list(one.values())
+    if len(all_) <= most:
+        return [c[0] for c in all_]
+    n = min(math.floor(most * far + 0.5), most)
+    m = min(math.floor(most * hub + 0.5), most - n)
+    gap = lambda x, y: math.radians(x[1] - y[1]) ** 2 + (math.radians(x[2] - y[2]) * math.cos(math.radians(x[1] + y[1]) / 2)) ** 2
+    picks = [min(all_, key=lambda c: key(seed ^ 0x9E3779B97F4A7C15, c))][:n]
+    while len(picks) < n:
+        picks.append(max((c for c in all_ if c not in picks), key=lambda c: (min(gap(c, p) for p in picks), [-x for x in place(c)])))
+    order = [*picks, *sorted(all_, key=lambda c: (-c[3], place(c)))[:m], *sorted(all_, key=lambda c: key(seed, c))[: most - n - m], *all_]
+    return list(dict.fromkeys(c[0] for c in order))[:most]
+
+
 def test_farthest_points(spark):
     from linehaul.operators.sampling import evenly_spaced, farthest_points, sample_origins
 
     df = lambda rows: spark.createDataFrame(rows, "id long, lat double, lon double, degree int")
     rows = [(1, 0.0, 0.0, 0), (2, 0.0, 0.1, 4), (3, 0.0, 5.0, 2), (4, 0.1, 0.1, 0), (11, 1.0, 1.0, 9), (11, 2.0, 2.0, 9), (12, None, 1.0, 50)]
     assert [i for i, _, _ in farthest_points(df(rows), 2)] == [1, 3] and farthest_points(df([]), 3) == []
-    got = [r["id"] for r in sample_origins(df(rows), 3, 0.34, 0.34).orderBy("rank").collect()]
-    assert len(got) == 3 and got[0] == 1 and 11 in got and 12 not in got
+    assert [i for i, _, _ in farthest_points(df(rows), 2, 3)] == [3, 1]
+    for most, far, hub, seed in ((3, 0.34, 0.34, 7), (2, 0.5, 0.25, 1), (4, 0.5, 0.25, 9), (1, 1.0, 0.0, 3), (3, 0.0, 0.0, 4), (4, 0.0, 1.0, 5)):
+        got = [r["id"] for r in sample_origins(df(rows), most, far, hub, seed).orderBy("rank").collect()]
+        assert got == origins_by_rule(rows, most, far, hub, seed)
     assert sorted(r["id"] for r in sample_origins(df(rows), 20).collect()) == [1, 2, 3, 4, 11]
     many = spark.range(10).withColumnRenamed("id", "k")
     assert sorted(r["k"] for r in evenly_spaced(many, ["k"], 4).collect()) == [0, 2, 5, 7] and evenly_spaced(many, ["k"], 30).count() == 10
