@@ -427,3 +427,16 @@ def log_conflicts(spark, sf_dir):
 @query("log_replay", "SELECT event_id AS seq, event_type AS type FROM events WHERE user_id = 8 AND event_id > 500")
 def log_replay(spark, sf_dir):
     return E.replay(_log(spark, sf_dir)[0], "8", 500).select("seq", "type")
+
+
+@query("numbered_events", """
+SELECT CAST(user_id AS VARCHAR) AS run, CAST(event_id AS VARCHAR) AS event, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, ts, CAST(event_id AS VARCHAR)) - 1 AS BIGINT) AS seq FROM events""")
+def numbered_events(spark, sf_dir):
+    """Three deliveries, the second with all of the first once more."""
+    rows = T.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").cast("string").alias("event"), "ts", F.col("event_type").alias("type"), F.col("props").alias("payload"))
+    scratch = Scratch(spark, "append")
+    folder, target, cursor = scratch.path("in"), scratch.path("log"), scratch.path("cursor")
+    for part in ("event % 3 = 0", "event % 3 < 2", "event % 3 = 2"):
+        rows.where(part).write.mode("append").json(folder)
+        E.append_numbered(spark.readStream.schema(E.ARRIVING).json(folder), target, cursor).awaitTermination()
+    return E.numbered_events(spark, target).select("run", "event", "seq")

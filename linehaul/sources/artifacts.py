@@ -32,8 +32,9 @@ def _fs(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name, or one that a pattern names."""
     fs, p = _fs(spark, path)
-    return fs.exists(p)
+    return bool(fs.globStatus(p)) if any(c in path for c in "*?[{") else fs.exists(p)
 
 
 def read_json(spark: SparkSession, path: str):

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
+from linehaul.operators.numbering import numbered
+from linehaul.scratch import Scratch
+from linehaul.sources import artifacts as A
+
 EVENT = StructType([StructField("run", StringType()), StructField("seq", LongType()), StructField("ts", TimestampType()), StructField("type", StringType()), StructField("payload", StringType())])
 #: Types that the worker writes itself and does not import from a run's own log.
 OWN_TYPES = ("run.started", "run.finished", "run.failed", "run.paused")
@@ -44,29 +48,89 @@ def run_states(events: DataFrame) -> DataFrame:
     return events.groupBy("run").agg(F.max_by("type", by).alias("status"), F.max("seq").alias("seq"), F.max("ts").alias("heartbeat"), F.count(F.when(F.col("type") == "checkpoint", 1)).alias("checkpoints"))
 
 
+#: Runs are dealt to so many folders of a table, so that a batch reads the keys of its own runs' folders alone.
+BUCKETS = 64
+
+
+def _bucket(run: str = "run"):
+    return F.pmod(F.xxhash64(run), F.lit(BUCKETS)).cast("int")
+
+
+def _kept(spark: SparkSession, target: str, batch: DataFrame, schema: str) -> DataFrame | None:
+    """Rows of a table in the folders of the batch's runs; None where there is no table yet."""
+    if not A.exists(spark, target):
+        return None
+    # at most BUCKETS numbers
+    mine = [r["b"] for r in batch.select(_bucket().alias("b")).distinct().collect()]
+    return spark.read.schema(f"{schema}, bucket int").parquet(target).where(F.col("bucket").isin(mine))
+
+
 def import_log(events: DataFrame, target: str, checkpoint: str):
     """Import into a table exactly once per (run, seq), however late: a redelivered event is dropped. Returns the started query.
 
-    Each batch is held against the keys that the table has, so a batch repeated after a failure adds nothing twice.
-    One import writes to a table at a time. A table that Spark's file sink wrote (with a ``_spark_metadata`` folder)
-    is refused, as what is added to it could not be read.
+    Each batch is held against the keys that the table has of its runs' folders, so a batch repeated after a failure
+    adds nothing twice. One import writes to a table at a time. A table that Spark's file sink wrote (with a
+    ``_spark_metadata`` folder) is refused, as what is added to it could not be read.
     """
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(target)
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_spark_metadata")):
+        if A.exists(spark, f"{target}/_spark_metadata"):
             raise ValueError(f"{target} was written by the file sink")
         new = batch.dropDuplicates(["run", "seq"])
-        if fs.exists(folder):
-            done = spark.read.schema(EVENT).parquet(target).select(F.col("run").alias("_run"), F.col("seq").alias("_seq"))
+        done = _kept(spark, target, batch, "run string, seq long")
+        if done is not None:
+            done = done.select(F.col("run").alias("_run"), F.col("seq").alias("_seq"))
             new = new.join(done, F.col("run").eqNullSafe(F.col("_run")) & F.col("seq").eqNullSafe(F.col("_seq")), "left_anti")
-        new.write.mode("append").parquet(target)
+        new.withColumn("bucket", _bucket()).write.mode("append").partitionBy("bucket").parquet(target)
+
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+ARRIVING = "run string, event string, ts timestamp, type string, payload string"
+_NUMBERED = f"{ARRIVING}, seq long"
+
+
+def append_numbered(events: DataFrame, target: str, checkpoint: str):
+    """Append events (see ``ARRIVING``) with gapless numbers per run, from 0, in order of ts and event id. Returns the started query.
+
+    An event id comes once into a run, however often it is delivered: what the table has of it stays as it is. A batch
+    is numbered by ranges of all its rows, so that one run with most of them is no single task, and goes on from the
+    largest number that the table has of the run. It is written to a folder of the attempt and renamed into place, so
+    that a batch that is repeated after a failure finds either all of its events or none. One stream writes to a table
+    at a time. An event without run, id, time or type is an error and stops the stream before anything is written.
+    """
+
+    def add(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        scratch = Scratch(spark, "events")
+        batch = scratch.table(batch.select("run", "event", "ts", "type", "payload"), "batch")
+        if batch.where("run IS NULL OR event IS NULL OR ts IS NULL OR type IS NULL OR trim(run) = '' OR trim(type) = ''").limit(1).count():
+            raise ValueError("an event lacks its run, id, time or type")
+        new = batch.groupBy("run", "event").agg(F.min(F.struct("ts", "type", "payload")).alias("e")).select("run", "event", "e.*")
+        parts = f"{target}/batches"
+        done = _kept(spark, parts, batch, _NUMBERED) if A.exists(spark, parts) and A.folders(spark, parts) else None
+        if done is not None:
+            new = new.join(done.select("run", "event"), ["run", "event"], "left_anti")
+        placed = scratch.table(numbered(new, ["run", "ts", "event"], "_place", scratch), "placed")
+        first = placed.groupBy("run").agg(F.min("_place").alias("_first"))
+        if done is not None:
+            first = first.join(done.groupBy("run").agg((F.max("seq") + 1).alias("_next")), "run", "left")
+        else:
+            first = first.withColumn("_next", F.lit(0))
+        rows = placed.join(first, "run").select("run", "event", "ts", "type", "payload", (F.col("_place") - F.col("_first") + F.coalesce("_next", F.lit(0))).cast("long").alias("seq"))
+        attempt = f"{target}/_attempts/{uuid.uuid4().hex}"
+        rows.withColumn("bucket", _bucket()).write.partitionBy("bucket").parquet(attempt)
+        A.rename_once(spark, attempt, f"{parts}/batch={uuid.uuid4().hex}")
 
     return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def numbered_events(spark: SparkSession, target: str) -> DataFrame:
+    """The events that ``append_numbered`` has committed."""
+    return spark.read.schema(f"{_NUMBERED}, bucket int").parquet(f"{target}/batches").drop("bucket", "batch")
+
+
 def conflicts(events: DataFrame) -> DataFrame:
     """Redelivered (run, seq) whose payload differs."""
     return events.groupBy("run", "seq").agg(F.countDistinct("payload").alias("payloads")).where("payloads > 1")
