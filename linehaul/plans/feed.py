@@ -12,7 +12,10 @@ from linehaul.operators import calendar as C
 from linehaul.operators import stations as ST
 from linehaul.operators.components import connected_components
 from linehaul.plans.network import rounded
+from linehaul.scratch import Scratch
+from linehaul.sources import artifacts as A
 from linehaul.sources import gtfs as G
+from linehaul.sources import scope as SC
 from linehaul.sources import timetable as T
 from linehaul.sources.timetable import with_sql
 
@@ -90,6 +93,32 @@ def point_in_polygon_scope(spark, sf_dir):
     return s.select("s_suppkey", lat.alias("lat"), lon.alias("lon")).withColumn("inside", S.contains_stop(F.col("lat"), F.col("lon"), SCOPE))
 
 
+_SQUARE = lambda x, y, d: [[x, y], [x + d, y], [x + d, y + d], [x, y + d], [x, y]]
+#: A collection in a collection, with a polygon that has a hole, a multi-polygon and a feature without geometry.
+_BOUNDARY = {"type": "FeatureCollection", "features": [
+    {"type": "Feature", "properties": {"name": "ring"}, "geometry": {"type": "Polygon", "coordinates": [_SQUARE(16.1, 48.1, 0.5), _SQUARE(16.2, 48.2, 0.2)]}},
+    {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "MultiPolygon", "coordinates": [[_SQUARE(16.7, 48.0, 0.2)], [_SQUARE(16.8, 48.8, 0.1)]]}}, {"type": "Feature", "geometry": None}]},
+]}
+
+
+@query("geojson_scope", """
+SELECT s_suppkey, trips FROM (SELECT s_suppkey, 48 + ((s_suppkey * 37) % 1000) / 1000.0::DOUBLE + 0.0005 AS lat, 16 + ((s_suppkey * 53) % 1000) / 1000.0::DOUBLE + 0.0005 AS lon FROM supplier)
+JOIN (SELECT l_suppkey, count(DISTINCT l_orderkey) AS trips FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey
+WHERE (lon >= 16.1 AND lon < 16.6 AND lat >= 48.1 AND lat < 48.6) AND NOT (lon >= 16.2 AND lon < 16.4 AND lat >= 48.2 AND lat < 48.4)
+OR (lon >= 16.7 AND lon < 16.9 AND lat >= 48.0 AND lat < 48.2) OR (lon >= 16.8 AND lon < 16.9 AND lat >= 48.8 AND lat < 48.9)""")
+def geojson_scope(spark, sf_dir):
+    """Suppliers inside the boundary of a scope file, with the orders that they are in."""
+    root = Scratch(spark, "scope").path("files")
+    A.write_json(spark, f"{root}/boundary.geojson", _BOUNDARY)
+    A.write_json(spark, f"{root}/region.json", {"boundary": "boundary.geojson", "modes": ["Rail", " "], "minimum_stops_inside": 0})
+    scope = SC.read_scope(spark, f"{root}/region.json")
+    s = T.table(spark, sf_dir, "supplier")
+    lat, lon = F.lit(48.0) + ((F.col("s_suppkey") * 37) % 1000) / 1000.0 + 0.0005, F.lit(16.0) + ((F.col("s_suppkey") * 53) % 1000) / 1000.0 + 0.0005
+    inside = SC.stops_inside(s.select("s_suppkey", lat.alias("lat"), lon.alias("lon")), scope.rings, scope.buffer_km)
+    trips = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.countDistinct("l_orderkey").alias("trips"))
+    return inside.join(trips, "s_suppkey").select("s_suppkey", "trips")
+
+
 @query("scope_trip_trim", with_sql("""
 SELECT trip_id, seq, station FROM (SELECT *, count(*) OVER (PARTITION BY trip_id) AS n FROM tt WHERE station IN (SELECT station FROM st WHERE lat >= 48.02 AND lat < 48.08)) WHERE n >= 2 AND line IN ('1-URGENT', '2-HIGH')"""))
 def scope_trip_trim(spark, sf_dir):
