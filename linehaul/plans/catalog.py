@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linehaul.operators import catalog as C
+from linehaul.operators import inventory as V
 from linehaul.plans.network import rounded
 from linehaul.sources import timetable as T
 
@@ -126,3 +127,37 @@ SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_i
 def session_gap(spark, sf_dir):
     s = T.table(spark, sf_dir, "events").groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("n"))
     return s.select("user_id", "start", "n")
+
+
+_PARENTS = "SELECT p_partkey AS id, p_partkey // k AS parent, CASE WHEN p_size = 7 AND k = 3 THEN 'stale' ELSE md5(CAST(p_partkey // k AS VARCHAR)) END AS want FROM part, (VALUES (2), (3)) v(k) WHERE p_partkey // k > 0"
+
+
+@query("admitted_artifacts", f"""
+WITH RECURSIVE a AS (SELECT p_partkey AS id FROM part WHERE p_size <> 50), n AS ({_PARENTS}),
+bad AS (SELECT id FROM n WHERE want = 'stale' OR parent NOT IN (SELECT id FROM a) UNION SELECT n.id FROM n JOIN bad ON n.parent = bad.id)
+SELECT id FROM a WHERE id NOT IN (SELECT id FROM bad)""")
+def admitted_artifacts(spark, sf_dir):
+    """Parts as artifacts that need those of half and a third of their number; some are gone and some are named by a stale fingerprint."""
+    p = T.table(spark, sf_dir, "part")
+    mark = lambda c: F.md5(c.cast("string"))
+    artifacts = p.where("p_size <> 50").select(F.col("p_partkey").alias("id"), mark(F.col("p_partkey")).alias("fingerprint"))
+    parent = F.floor(F.col("p_partkey") / F.col("k"))
+    needs = p.select("p_partkey", "p_size", F.explode(F.array(F.lit(2), F.lit(3))).alias("k")).where(parent > 0)
+    needs = needs.select(F.col("p_partkey").alias("id"), parent.alias("parent"), F.when((F.col("p_size") == 7) & (F.col("k") == 3), F.lit("stale")).otherwise(mark(parent)).alias("fingerprint"))
+    return V.admit(artifacts, needs).select("id")
+
+
+@query("registered_models", """
+WITH o AS (SELECT 'nation-' || c_nationkey AS requested, md5(c_mktsegment || c_nationkey % 7) AS fp, c_custkey AS created FROM customer),
+e AS (SELECT 'nation-' || n_nationkey AS id, md5('old' || n_nationkey) AS fp, CAST(-n_nationkey AS BIGINT) AS created FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT 'kept', md5('BUILDING1'), -100),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY created, requested) AS k FROM o) WHERE k = 1 AND fp NOT IN (SELECT fp FROM e)),
+g AS (SELECT *, row_number() OVER (PARTITION BY requested ORDER BY created, fp) AS j FROM f)
+SELECT CASE WHEN requested NOT IN (SELECT id FROM e) AND j = 1 THEN requested ELSE 'model-' || fp[1:16] END AS id, fp AS fingerprint, true AS is_new FROM g UNION ALL SELECT id, fp, false FROM e""")
+def registered_models(spark, sf_dir):
+    """Customers as offers of models: a nation asks for its name, a segment and nation make the content."""
+    n = T.table(spark, sf_dir, "nation").where("n_nationkey % 4 = 0")
+    existing = n.select(F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string")).alias("id"), F.md5(F.concat(F.lit("old"), F.col("n_nationkey").cast("string"))).alias("fingerprint"), (-F.col("n_nationkey")).cast("bigint").alias("created"))
+    existing = existing.unionByName(spark.range(1).select(F.lit("kept").alias("id"), F.md5(F.lit("BUILDING1")).alias("fingerprint"), F.lit(-100).cast("bigint").alias("created")))
+    c = T.table(spark, sf_dir, "customer")
+    offers = c.select(F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("requested"), F.md5(F.concat("c_mktsegment", (F.col("c_nationkey") % 7).cast("string"))).alias("fingerprint"), F.col("c_custkey").cast("bigint").alias("created"))
+    return V.register_models(existing, offers).select("id", "fingerprint", "is_new")
