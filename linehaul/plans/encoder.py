@@ -14,6 +14,7 @@ from linehaul.operators import network as N
 from linehaul.operators import search as R
 from linehaul.plans.network import _GAPS, _HAVERSINE, _PEAK, calls
 from linehaul.scratch import Scratch
+from linehaul.sources import arrays as AR
 from linehaul.sources import timetable as T
 from linehaul.sources.timetable import with_sql
 
@@ -293,3 +294,19 @@ def predicted_lines(spark, sf_dir):
     ranked = I.metric_percentiles(scratch.table(I.predict(inputs, *I.rule_head(_HEAD, _INPUTS)), "predictions"))
     odd = I.uniqueness(e["lines"], g["line_features"], FA.LINE_WIDTH)
     return ranked.join(odd, "line").select("line", "metric", *[F.round(c, 6).alias(c) for c in ("value", "percentile", "uniqueness")])
+
+
+@query("stored_graph_edges", encoder_sql("""
+SELECT CAST(x.row AS BIGINT) AS source, CAST(y.row AS BIGINT) AS target, CAST(l.row AS BIGINT) AS line, CAST(unnest(range(7)) AS INT) AS place, round(CAST(CAST(unnest(f) AS FLOAT) AS DOUBLE), 4) AS value FROM ef e
+JOIN (SELECT station, row_number() OVER (ORDER BY station) - 1 AS row FROM st) x ON x.station = e.a JOIN (SELECT station, row_number() OVER (ORDER BY station) - 1 AS row FROM st) y ON y.station = e.b
+JOIN (SELECT line, row_number() OVER (ORDER BY line) - 1 AS row FROM lnf) l ON l.line = e.line"""))
+def stored_graph_edges(spark, sf_dir):
+    """Edges and their features from the arrays that the graph was saved to; a graph with issues is an error."""
+    scratch = Scratch(spark, "store")
+    folder = scratch.path("graph")
+    AR.save_graph(graph(spark, sf_dir, scratch), folder, scratch)
+    if AR.graph_issues(spark, folder).limit(1).count():
+        raise ValueError("the stored graph is not valid")
+    ends = AR.load_relation(spark, folder, "transit")
+    cells = AR.read_array(spark, f"{folder}/transit_features.f32").select(F.floor(F.col("place") / 7).alias("row"), (F.col("place") % 7).cast("int").alias("place"), F.round("value", 4).alias("value"))
+    return ends.join(cells, "row").select(F.col("from_station").alias("source"), F.col("to_station").alias("target"), "line", "place", "value")
