@@ -10,16 +10,30 @@ from pyspark.sql import functions as F
 from linehaul.functions import scalars as S
 
 
-def top_similar(queries: DataFrame, candidates: DataFrame, k: int, similarity: Column, same: Column | None = None) -> DataFrame:
+#: Queries up to this many are sent to every task that has candidates; more of them are dealt out in blocks.
+QUERIES_AT_ONCE, SPREAD = 10_000, 64
+
+
+def top_similar(queries: DataFrame, candidates: DataFrame, k: int, similarity: Column, same: Column | None = None, at_once: int = QUERIES_AT_ONCE) -> DataFrame:
     """The k most similar candidates of each query: similarity downwards, then name, then id.
 
-    ``queries`` (q_id, q_...) are few and broadcast by the caller; each candidate row meets them in its own task and
-    only k per query and task go on. ``same`` marks pairs to leave out.
+    ``queries`` (q_id, q_...) are a set stated by the caller and meet all candidates (id, name, ...), as the metric asks:
+    a few, which are counted, in every task; more of them in blocks, each of which meets all candidates. Of each query a
+    task hands on its k best alone, so that what is shuffled grows with tasks and not with candidates. ``same`` marks
+    pairs to leave out.
     """
-    both = candidates.crossJoin(queries)
+    if queries.limit(at_once + 1).count() <= at_once:
+        both = candidates.crossJoin(F.broadcast(queries))
+    else:
+        blocks = -(-queries.count() // at_once)
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")
+        # a candidate's rows of a block are spread too, so that a block is as many tasks as there are places
+        dealt = queries.withColumn("_block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_place"))
+        both = candidates.select("*", every, F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int").alias("_place")).join(dealt, ["_block", "_place"])
     both = both.where(~same) if same is not None else both
     order = [F.desc("similarity"), F.col("name"), F.col("id")]
     scored = both.select("q_id", "id", "name", similarity.alias("similarity"))
+    # Spark turns a limit on a row number into one in every task ahead of the shuffle
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(*order))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linehaul.functions import scalars as S
+from linehaul.operators import cache as CA
 from linehaul.operators import network as N
 from linehaul.operators import sampling as SA
 from linehaul.operators import search as R
 from linehaul.plans.network import calls, pats, rounded
+from linehaul.scratch import Scratch
 from linehaul.sources import timetable as T
 from linehaul.sources.timetable import with_sql
 
@@ -176,3 +178,15 @@ def top_hubs(spark, sf_dir):
     s = N.station_summary(calls(spark, sf_dir))
     rank = F.row_number().over(Window.orderBy(F.desc("lines"), F.desc("daily_calls"), "station"))
     return s.orderBy(F.desc("lines"), F.desc("daily_calls"), "station").limit(10).select("station", rank.alias("rank"))
+
+
+@query("cached_vectors", "SELECT p_brand AS snapshot, p_partkey AS line, round(p_retailprice / 1000 + p_size, 6) AS value FROM part")
+def cached_vectors(spark, sf_dir):
+    """Brands as snapshots: their vectors are computed once, and again for those whose parts have changed."""
+    cache = CA.VectorCache(spark, Scratch(spark, "cache").path("vectors"), "price-and-size")
+    now = T.table(spark, sf_dir, "part").select(F.col("p_brand").alias("snapshot"), F.col("p_partkey").alias("line"), "p_size", "p_retailprice")
+    before = now.withColumn("p_size", F.when(F.col("snapshot") == "Brand#11", F.col("p_size") + 1).otherwise(F.col("p_size")))
+    for parts in (before, now):
+        digests = CA.snapshot_digests({"part": parts})
+        cache.refresh(digests, lambda some, df=parts: df.where(F.col("snapshot").isin(some)).select("snapshot", "line", F.round(F.col("p_retailprice") / 1000 + F.col("p_size"), 6).alias("value")))
+    return cache.load(digests).select("snapshot", "line", "value")
