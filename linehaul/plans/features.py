@@ -76,3 +76,28 @@ SELECT 'prediction' AS baseline, CAST((SELECT count(*) FROM x) AS BIGINT) AS exa
 def evaluation_metrics(spark, sf_dir):
     out = B.evaluate(ranked(spark, sf_dir), ["prediction"], "target", 10)
     return out.select("baseline", "examples", "snapshots", *[F.round(c, 6).alias(c) for c in ("spearman", "pairwise_accuracy", "top_k_overlap")])
+
+
+_FIT = """
+d AS (SELECT p_brand AS snapshot, p_partkey AS line, CASE WHEN p_brand < 'Brand#3' THEN 'train' ELSE 'test' END AS split, CAST(CAST(floor(p_retailprice / 10) AS BIGINT) % 12 AS DOUBLE) AS t, CAST(p_size * 37 % 101 AS DOUBLE) AS gnn, CAST(p_size AS DOUBLE) AS a, p_retailprice / 100 AS b FROM part),
+m AS (SELECT avg(a) AS ma, greatest(stddev_pop(a), 1e-6) AS sa, avg(b) AS mb, greatest(stddev_pop(b), 1e-6) AS sb, avg(t) AS mt FROM d WHERE split = 'train'),
+q AS (SELECT avg((a - ma) / sa * (a - ma) / sa) AS aa, avg((a - ma) / sa * (b - mb) / sb) AS ab, avg((b - mb) / sb * (b - mb) / sb) AS bb, avg((a - ma) / sa * t) AS ya, avg((b - mb) / sb * t) AS yb FROM d CROSS JOIN m WHERE split = 'train'),
+w AS (SELECT list_reduce(list_transform(range(250), lambda i: [0, 0]::DOUBLE[]), lambda s, x: [s[1] - 0.01::DOUBLE * (aa * s[1] + ab * s[2] - ya), s[2] - 0.01::DOUBLE * (ab * s[1] + bb * s[2] - yb)], [0, 0]::DOUBLE[]) AS w FROM q),
+h AS (SELECT *, list_reduce(list_transform(range(1, length(snapshot) + 1), lambda i: CAST(unicode(snapshot[i]) AS UHUGEINT)), lambda v, c: (xor(v, c) * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT * 8192::UHUGEINT) % 18446744073709551616::UHUGEINT + (xor(v, c) * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT) // 2251799813685248::UHUGEINT,
+      xor(7::UHUGEINT, CAST(line AS UHUGEINT) * 11400714819323198485::UHUGEINT % 18446744073709551616::UHUGEINT)) AS z FROM d),
+s AS (SELECT snapshot, line, t, unnest(['gnn', 'engineered-linear', 'frequency', 'handcrafted-cosine', 'random']) AS baseline, unnest([gnn, mt + w[1] * (a - ma) / sa + w[2] * (b - mb) / sb, a, (a * ma + b * mb) / (sqrt(a * a + b * b) * sqrt(ma * ma + mb * mb)),
+      CAST(xor(z, z // 536870912::UHUGEINT) AS DOUBLE) / 18446744073709551615.0::DOUBLE]) AS p FROM h CROSS JOIN m CROSS JOIN w WHERE split = 'test'),
+x AS (SELECT baseline, avg(CASE WHEN (u.t >= v.t) = (u.p >= v.p) THEN 1.0 ELSE 0.0 END::DOUBLE) AS acc FROM s u JOIN s v USING (baseline, snapshot) WHERE u.line < v.line GROUP BY baseline),
+r AS (SELECT baseline, snapshot, rank() OVER (PARTITION BY baseline, snapshot ORDER BY p) + (count(*) OVER (PARTITION BY baseline, snapshot, p) - 1) / 2.0::DOUBLE AS i, rank() OVER (PARTITION BY baseline, snapshot ORDER BY t) + (count(*) OVER (PARTITION BY baseline, snapshot, t) - 1) / 2.0::DOUBLE AS j,
+      row_number() OVER (PARTITION BY baseline, snapshot ORDER BY p DESC, line) AS k, row_number() OVER (PARTITION BY baseline, snapshot ORDER BY t DESC, line) AS l FROM s),
+c AS (SELECT baseline, snapshot, count(*) AS n, CASE WHEN var_pop(i) > 0 AND var_pop(j) > 0 THEN corr(i, j) END AS c, count(*) FILTER (k <= 10 AND l <= 10) / CAST(least(10, count(*)) AS DOUBLE) AS o FROM r GROUP BY 1, 2)
+SELECT c.baseline, CAST(sum(n) AS BIGINT) AS examples, count(*) AS snapshots, round(avg(c), 6) AS spearman, round(any_value(acc), 6) AS pairwise_accuracy, round(avg(o), 6) AS top_k_overlap, 'ok' AS status FROM c JOIN x ON x.baseline = c.baseline GROUP BY c.baseline"""
+
+
+@query("evaluation_report", f"WITH {_FIT.strip()}")
+def evaluation_report(spark, sf_dir):
+    """Parts as lines of brands: the model's score against baselines that are fitted to other brands."""
+    p = ranked(spark, sf_dir).join(T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), F.col("p_size").alias("a"), (F.col("p_retailprice") / 100).alias("b")), "line")
+    p = p.withColumn("split", F.when(F.col("snapshot") < "Brand#3", "train").otherwise("test"))
+    out = B.evaluation_report(p, ["a", "b"], "prediction", "a", "target", "test")
+    return out.withColumns({c: F.round(c, 6) for c in ("spearman", "pairwise_accuracy", "top_k_overlap")})

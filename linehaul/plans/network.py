@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linehaul.functions import scalars as S
 from linehaul.operators import network as N
+from linehaul.operators import validation as V
 from linehaul.sources import timetable as T
 from linehaul.sources.timetable import with_sql
 
@@ -194,3 +195,23 @@ def transfer_dedupe(spark, sf_dir):
     explicit = item.where("l_orderkey % 3 = 0").select((F.col("l_suppkey") % 25).cast("int").alias("from_station"), (F.col("l_partkey") % 25).cast("int").alias("to_station"), (F.col("l_linenumber") % 4).alias("transfer_type"), (60 + (F.col("l_orderkey") * 7) % 600).cast("int").alias("seconds"), row)
     pathways = item.where("l_orderkey % 3 <> 0").select((F.col("l_partkey") % 30).cast("int").alias("from_station"), (F.col("l_suppkey") % 30).cast("int").alias("to_station"), (F.col("l_linenumber") % 2).alias("bidirectional"), (30 + (F.col("l_orderkey") * 11) % 300).cast("int").alias("seconds"), row)
     return N.dedupe_transfers(explicit, pathways)
+
+
+@query("network_faults", with_sql("""
+SELECT 'trip' AS entity, trip_id || ' at ' || pos AS key, 'arrives before it left the stop before' AS issue FROM (SELECT *, lag(departure) OVER (PARTITION BY trip_id ORDER BY pos) AS b FROM (
+  SELECT trip_id, pos, arrival, CASE WHEN trip_id % 11 = 0 AND pos = 0 THEN departure + 5000 ELSE departure END AS departure FROM calls)) WHERE arrival < b
+UNION ALL SELECT 'calls', 'station ' || station, 'points to nothing' FROM (SELECT DISTINCT station FROM calls) WHERE station % 9 = 4
+UNION ALL SELECT 'edges', 'from_station ' || a, 'points to nothing' FROM (SELECT DISTINCT a FROM edge) WHERE a % 9 = 4
+UNION ALL SELECT 'edges', 'to_station ' || b, 'points to nothing' FROM (SELECT DISTINCT b FROM edge) WHERE b % 9 = 4
+UNION ALL SELECT 'transfers', 'from_station ' || from_station, 'points to nothing' FROM (SELECT DISTINCT from_station FROM tf) WHERE from_station % 9 = 4
+UNION ALL SELECT 'transfers', 'to_station ' || to_station, 'points to nothing' FROM (SELECT DISTINCT to_station FROM tf) WHERE to_station % 9 = 4
+UNION ALL SELECT 'station', CAST(station AS VARCHAR), 'number is not contiguous' FROM st WHERE station % 9 <> 4 AND station >= (SELECT count(*) FROM st WHERE station % 9 <> 4)"""))
+def network_faults(spark, sf_dir):
+    """The timetable with some stations gone and some first departures late."""
+    c = calls(spark, sf_dir)
+    late = F.when((F.col("trip_id") % 11 == 0) & (F.col("pos") == 0), F.col("departure") + 5000).otherwise(F.col("departure"))
+    net = {
+        "stations": T.stations(spark, sf_dir).where("station % 9 <> 4"), "lines": c.select("line").distinct(), "calls": c.withColumn("departure", late), "patterns": N.patterns(c),
+        "edges": N.transit_edges(N.segments(c)), "edge_bins": N.edge_bins(N.segments(c)), "transfers": T.transfers(spark, sf_dir), "interchanges": N.interchanges(c),
+    }
+    return V.network_issues(net).where("issue <> 'arrives after it departs'")

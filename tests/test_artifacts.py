@@ -136,3 +136,30 @@ def test_triplets_equal_all_pairs(spark):
         if n[1] >= p[1] + 0.001:
             want[a[0]] = (p[2], n[2])
     assert got == want
+
+
+def test_evaluation_report_without_training_rows(spark):
+    rows = [("s1", k, "test", float(k % 3), float(k), 1.0 + k, 0.5 * k) for k in range(6)]
+    make = lambda more=(): spark.createDataFrame([*rows, *more], "snapshot string, line int, split string, target double, model double, trips double, x double")
+    got = {r["baseline"]: r for r in B.evaluation_report(make(), ["x", "trips"], "model", "trips", "target", "test", 2).collect()}
+    assert set(got) == {"gnn", "engineered-linear", "frequency", "handcrafted-cosine", "random"}
+    assert {k for k, r in got.items() if r["status"] == "unavailable"} == set(B.LEARNED) and all(got[k]["spearman"] is None for k in B.LEARNED) and got["gnn"]["examples"] == 6
+    more = [("s0", k, "train", float(k), 0.0, 1.0, float(k)) for k in range(5)]
+    assert all(r["status"] == "ok" and r["snapshots"] == 1 for r in B.evaluation_report(make(more), ["x", "trips"], "model", "trips", "target", "test", 2).collect())
+    with pytest.raises(ValueError, match="split validation"):
+        B.evaluation_report(make(), ["x"], "model", "trips", "target", "validation")
+
+
+def test_random_score_equals_plain_integers(spark):
+    mask = (1 << 64) - 1
+
+    def plain(seed, snapshot, line):
+        z = seed ^ line * 0x9E3779B97F4A7C15 & mask
+        for b in snapshot.encode():
+            z = (z ^ b) * 0xBF58476D1CE4E5B9 & mask
+            z = (z << 13 | z >> 51) & mask
+        return (z ^ z >> 29) / mask
+
+    rows = [("", 0), ("a", 1), ("snapshot-é", 7), ("b" * 40, 3)]
+    got = spark.createDataFrame(rows, "s string, n int").select("s", "n", B.random_score(9)("s", "n").alias("v")).collect()
+    assert all(abs(r["v"] - plain(9, r["s"], r["n"])) < 1e-15 for r in got) and len({r["v"] for r in got}) == 4
