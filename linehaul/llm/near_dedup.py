@@ -27,6 +27,10 @@ from linehaul.scratch import Scratch
 U = np.uint64
 #: Survivors of a text's k-mers that a hash function keeps on average before the smallest are chosen; fewer fall back to all.
 _FEW = 12
+#: (most words, bands, words): sketches of single words that texts of at most so many words have as well. An edit of a
+#: short text leaves few of its five-word k-mers; the shorter the text, the fewer words in a sketch, and the longer, the
+#: more, so that texts which only have common words alike do not meet.
+SHORT = ((64, 96, 8), (36, 40, 5), (9, 24, 3), (3, 12, 2))
 #: Length of a text's bitmap of words, in longs.
 _LONGS = 16
 
@@ -55,8 +59,8 @@ def labelled(w: K.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return text, h
 
 
-def sketches(text: np.ndarray, h: np.ndarray, bands: int, few: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each band (texts, sketches)."""
+def sketches(text: np.ndarray, h: np.ndarray, bands: int, few: int, start: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of the bands from ``start`` on (texts, sketches)."""
     if not len(h):
         return
     have, first, count = np.unique(text, return_index=True, return_counts=True)
@@ -64,7 +68,7 @@ def sketches(text: np.ndarray, h: np.ndarray, bands: int, few: int) -> Iterator[
     limit = np.where(count <= _FEW, ~U(0), np.minimum(limit, 1.8e19).astype(U))
     row = np.repeat(np.arange(len(have)), count)
     bound, want = limit[row], np.minimum(few, count)
-    for band in range(bands):
+    for band in range(start, start + bands):
         x = (h ^ U((band * 0xA0761D6478BD642F + 0xE7037ED1A0B428DB) & (2**64 - 1))) * U((band * 0x8EBC6AF09C88C6E2 + 0x589965CC75374CC3) & (2**64 - 1) | 1)
         at = np.flatnonzero(x <= bound)
         found = np.bincount(row[at], minlength=len(have))
@@ -77,6 +81,8 @@ def sketches(text: np.ndarray, h: np.ndarray, bands: int, few: int) -> Iterator[
         for t in range(few):  # the smallest of what is left
             low = np.minimum.reduceat(left, begin)
             eq = np.flatnonzero((left == low[own]) & (want[own] > t))
+            if not len(eq):  # every text has fewer
+                break
             eq = eq[np.concatenate([[True], own[eq[1:]] != own[eq[:-1]]])]
             chosen[eq], left[eq] = True, ~U(0)
         at = at[chosen]  # in text order
@@ -86,12 +92,25 @@ def sketches(text: np.ndarray, h: np.ndarray, bands: int, few: int) -> Iterator[
         yield have, K.mix(np.add.reduceat(mixed, begin) + U((band + 1) * K._BYTE_R & (2**64 - 1)))
 
 
+def all_sketches(w: K.Words, k: int, bands: int, few: int, short: tuple[tuple[int, int, int], ...] = SHORT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each band (texts, sketches): ``bands`` of k-mers, then those of the single words of short texts."""
+    yield from sketches(*labelled(w, k), bands, few)
+    size = np.diff(w.doc)
+    if not short or not (size <= short[0][0]).any():
+        return
+    text, h = labelled(w, 1)
+    for most, more, words in short:
+        some = size[text] <= most
+        yield from sketches(text[some], h[some], more, words, bands)
+        bands += more
+
+
 def _sketch_rows(k: int, bands: int, few: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j, w in K.each(b.column(1)):
-                found = list(sketches(*labelled(w, k), bands, few))
+                found = list(all_sketches(w, k, bands, few))
                 if found:
                     texts = np.concatenate([t for t, _ in found])
                     key, size = np.concatenate([x for _, x in found]), np.diff(w.doc)[texts].astype(np.int32)
@@ -368,7 +387,8 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, k: int = 5, bands: in
     are first compared with one of them, that which meets most others; after that only pairs of the bucket that are in different
     classes by then, none of them in the bucket's first class twice over, and none compared before. Pairs that cannot
     be similar, by their lengths or by a bound on their common words, are left out before their texts are fetched. So
-    no similar candidate pair is lost, and a group of near copies costs its size, not its square.
+    no similar candidate pair is lost, and a group of near copies costs its size, not its square. Texts of at most 64
+    words have sketches of single words as well (``SHORT``), as two edits can leave a short text without a k-mer.
 
     Null and empty texts are their own class, and so are null ids. Ids are integers. Rows of one id and text have the
     same class; rows of one id with other texts are documents of their own, and of those of the smallest id in a class

@@ -672,6 +672,66 @@ def test_near_dedup_recall_against_all_pairs(spark):
         assert np.mean(part) >= 0.9
 
 
+def edited(rng, base, kind, similarity):
+    """``base`` with as many words substituted, left out or inserted, evenly chosen, as keep the similarity."""
+    n, text = len(base), list(base)
+    # 2 * aligned / (words of both) stays at the similarity or above
+    most = {"substituted": n * (1 - similarity), "left out": 2 * n * (1 - similarity) / (2 - similarity), "inserted": 2 * n * (1 - similarity) / similarity}[kind]
+    for k, i in enumerate(sorted(rng.choices(range(n), k=int(most + 1e-9)) if kind == "inserted" else rng.sample(range(n), int(most + 1e-9)), reverse=True)):
+        if kind == "left out":
+            del text[i]
+        elif kind == "inserted":
+            text.insert(i, f"i{k}_{rng.randrange(10**9)}")
+        else:
+            text[i] = f"e{k}_{rng.randrange(10**9)}"
+    return text
+
+
+def sketch_recall(rng, n, kind, similarity, pairs):
+    from linehaul.llm.near_dedup import all_sketches
+
+    bases = [prose(rng, n, 20_000) for _ in range(pairs)]
+    texts = [" ".join(t) for b in bases for t in (b, edited(rng, b, kind, similarity))]
+    keys = [set() for _ in texts]
+    for i, _, w in K.each(pa.array(texts)):
+        for own, key in all_sketches(w, 5, 96, 2):
+            for t, x in zip(own.tolist(), key.tolist(), strict=True):
+                keys[i + t].add(x)
+    return np.mean([bool(keys[2 * p] & keys[2 * p + 1]) for p in range(pairs)])
+
+
+def test_near_dedup_candidates_of_every_length():
+    """Recall of the sketches: substitutions at every length, words left out or inserted where both texts are short."""
+    rng = random.Random(41)
+    for n in (3, 4, 5, 6, 7, 8, 9, 10, 12, 16, 20, 24, 30, 36, 40, 50, 64, 70, 80, 100, 120, 200, 500, 2000, 5000):
+        for kind in ("substituted", "left out", "inserted"):
+            if n > {"substituted": 5000, "left out": 64, "inserted": 42}[kind]:
+                continue
+            for similarity in (0.8, 0.85, 0.9, 0.95):
+                got = sketch_recall(rng, n, kind, similarity, 120 if n <= 120 else 40 if n <= 500 else 10)
+                print(f"{n} words, {kind}, {similarity}: {got:.3f}")
+                assert got >= 0.9, (n, kind, similarity, got)
+
+
+def test_near_dedup_of_short_texts(spark):
+    """Whole operator on pairs within 64 words at or just above the similarity, and on pairs just below it."""
+    from linehaul.llm.near_dedup import near_classes
+
+    rng = random.Random(42)
+    rows, want = [], {}
+    for g in range(300):
+        base = prose(rng, rng.choice([5, 6, 8, 10, 12, 15, 20, 40]), 20_000)
+        text = edited(rng, base, rng.choice(["substituted", "left out", "inserted"]), 0.8)
+        if g % 3 == 0:
+            text[0], text[-1], text[len(text) // 2] = "other", "words", "here"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(text))]
+        want[g] = 2 * lcs(base, text) >= 0.8 * (len(base) + len(text)) - 1e-9
+    got = {r["doc_id"]: r["class_id"] for r in near_classes(docs(spark, rows)).collect()}
+    linked = {g: got[2 * g + 1] == 2 * g for g in want}
+    assert not any(linked[g] for g in want if not want[g])
+    assert np.mean([linked[g] for g in want if want[g]]) >= 0.95
+
+
 def test_near_classes_equal_all_pairs(spark):
     """Groups whose members drift apart: every class is that of all pairs compared."""
     from linehaul.llm.near_dedup import near_classes
