@@ -21,28 +21,74 @@ def _cells(stops: DataFrame, around: bool) -> DataFrame:
     return stops.withColumn("cell", nine)
 
 
-def _pairs(stops: DataFrame, by_name: bool) -> DataFrame:
-    """Pairs a > b of placed stops whose cells touch, with their distance."""
-    named = stops.where(S.placed(F.col("lat"), F.col("lon"))).withColumn("key", S.normalize_name(F.col("name")))
-    a = _cells(named, True).select("cell", *(F.col(c).alias(f"{c}_a") for c in ("stop_id", "lat", "lon", "key")))
-    b = _cells(named, False).select("cell", *(F.col(c).alias(f"{c}_b") for c in ("stop_id", "lat", "lon", "key")))
-    same = (F.col("key_a") == F.col("key_b")) & (F.col("key_a") != "") if by_name else F.col("key_a") != F.col("key_b")
+PLACE = ["key", "lat", "lon"]
+
+
+def _named(stops: DataFrame) -> DataFrame:
+    return stops.where(S.placed(F.col("lat"), F.col("lon"))).withColumn("key", S.normalize_name(F.col("name")))
+
+
+def _classes(stops: DataFrame) -> DataFrame:
+    """Stops of one name at one place are one class, of which the comparison needs one row: its least and largest id."""
+    return _named(stops).where("key <> ''").groupBy(*PLACE).agg(F.min("stop_id").alias("low"), F.max("stop_id").alias("high"))
+
+
+def _pairs(classes: DataFrame, by_name: bool) -> DataFrame:
+    """Pairs of classes whose cells touch, once each, with their distance: of one name (a class with itself too) or of two."""
+    columns = [*PLACE, "low", "high"]
+    a = _cells(classes, True).select("cell", *(F.col(c).alias(f"{c}_a") for c in columns))
+    b = _cells(classes, False).select("cell", *(F.col(c).alias(f"{c}_b") for c in columns))
+    place = lambda n: F.struct(f"lat_{n}", f"lon_{n}")
+    once = (F.col("key_a") == F.col("key_b")) & (place("a") >= place("b")) if by_name else F.col("key_a") > F.col("key_b")
     metres = S.haversine_metres(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return a.join(b, "cell").where(same & (F.col("stop_id_a") > F.col("stop_id_b"))).withColumn("metres", metres)
+    # the size of a file says nothing of that of its classes, ninefold: no side is one to broadcast
+    return a.hint("merge").join(b, "cell").where(once).withColumn("metres", metres)
 
 
-def exact_name_pairs(stops: DataFrame, metres: float = NEAR_M) -> DataFrame:
-    """Stops of one normalised name within reach: (a, b, kind, confidence)."""
-    return _pairs(stops, True).where(F.col("metres") <= metres).select(F.col("stop_id_a").alias("a"), F.col("stop_id_b").alias("b"), F.lit("exact_name").alias("kind"), F.lit(0.98).alias("confidence"))
+def _exact(classes: DataFrame, metres: float) -> DataFrame:
+    return _pairs(classes, True).where(F.col("metres") <= metres).withColumns({"kind": F.lit("exact_name"), "confidence": F.lit(0.98)})
 
 
-def fuzzy_name_pairs(stops: DataFrame, metres: float = FUZZY_M, alike: float = ALIKE) -> DataFrame:
-    """Stops of similar normalised names within reach."""
+def _fuzzy(classes: DataFrame, metres: float, alike: float) -> DataFrame:
     likeness = S.name_similarity(F.col("key_a"), F.col("key_b"))
     # names whose lengths are too far apart cannot be alike enough
     sizes = F.length("key_a"), F.length("key_b")
-    found = _pairs(stops, False).where((F.least(*sizes) >= F.greatest(*sizes) * alike) & (F.col("metres") <= metres)).withColumn("likeness", likeness).where(F.col("likeness") >= alike)
-    return found.select(F.col("stop_id_a").alias("a"), F.col("stop_id_b").alias("b"), F.lit("fuzzy_name").alias("kind"), (F.col("likeness") * 0.9).alias("confidence"))
+    found = _pairs(classes, False).where((F.least(*sizes) >= F.greatest(*sizes) * alike) & (F.col("metres") <= metres)).withColumn("likeness", likeness).where(F.col("likeness") >= alike)
+    return found.withColumns({"kind": F.lit("fuzzy_name"), "confidence": F.col("likeness") * 0.9})
+
+
+def _expanded(stops: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs a > b of stops of pairs of classes: (a, b, kind, confidence)."""
+    of = lambda n: _named(stops).select(*(F.col(c).alias(f"{c}_{n}") for c in PLACE), F.col("stop_id").alias(f"stop_{n}"))
+    keys = lambda n: [f"{c}_{n}" for c in PLACE]
+    both = pairs.select(*keys("a"), *keys("b"), "kind", "confidence").hint("merge").join(of("a"), keys("a")).hint("merge").join(of("b"), keys("b"))
+    itself = (F.col("key_a") == F.col("key_b")) & (F.col("lat_a") == F.col("lat_b")) & (F.col("lon_a") == F.col("lon_b"))
+    both = both.where((F.col("stop_a") > F.col("stop_b")) | (~itself & (F.col("stop_a") < F.col("stop_b"))))
+    return both.select(F.greatest("stop_a", "stop_b").alias("a"), F.least("stop_a", "stop_b").alias("b"), "kind", "confidence")
+
+
+def exact_name_pairs(stops: DataFrame, metres: float = NEAR_M) -> DataFrame:
+    """Stops of one normalised name within reach: (a, b, kind, confidence), all pairs, so as many as a name's stops squared."""
+    return _expanded(stops, _exact(_classes(stops), metres))
+
+
+def fuzzy_name_pairs(stops: DataFrame, metres: float = FUZZY_M, alike: float = ALIKE) -> DataFrame:
+    """Stops of similar normalised names within reach, all pairs."""
+    return _expanded(stops, _fuzzy(_classes(stops), metres, alike))
+
+
+def name_links(stops: DataFrame, metres: float = NEAR_M, fuzzy_metres: float = FUZZY_M, alike: float = ALIKE) -> DataFrame:
+    """Exact and fuzzy evidence in as few links as hold it together: (a, b, kind, confidence).
+
+    Stops of a class are linked with its least one, classes by one pair of different stops. Components, and the least
+    confidence in each, are those of all pairs, as all pairs of two classes have one confidence.
+    """
+    classes = Scratch(stops.sparkSession, "classes").table(_classes(stops), "classes")
+    to_least = _named(stops).join(classes.select(*PLACE, F.col("low").alias("b")).hint("merge"), PLACE).where(F.col("stop_id") > F.col("b"))
+    inside = to_least.select(F.col("stop_id").alias("a"), "b", F.lit("exact_name").alias("kind"), F.lit(0.98).alias("confidence"))
+    between = _exact(classes, metres).where((F.col("lat_a") != F.col("lat_b")) | (F.col("lon_a") != F.col("lon_b"))).drop("metres").unionByName(_fuzzy(classes, fuzzy_metres, alike).drop("metres", "likeness"))
+    ends = F.when(F.col("low_a") != F.col("high_b"), F.struct(F.col("low_a").alias("a"), F.col("high_b").alias("b"))).otherwise(F.struct(F.col("high_a").alias("a"), F.col("low_b").alias("b")))
+    return inside.unionByName(between.select(ends.alias("e"), "kind", "confidence").select("e.a", "e.b", "kind", "confidence").where("a <> b"))
 
 
 def link_pairs(stops: DataFrame, links: DataFrame, kind: str, confidence: float, metres: float | None = NEAR_M, same_name: bool = False) -> DataFrame:

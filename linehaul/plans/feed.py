@@ -201,7 +201,7 @@ SELECT root, count(*) AS members, round(avg(lat), 6) AS lat, round(avg(lon), 6)
 round(least(1, coalesce(min(confidence), 1)), 6) AS merge_confidence, CAST(row_number() OVER (ORDER BY root) - 1 AS INT) AS station FROM c JOIN s ON s.stop_id = c.stop_id LEFT JOIN t ON t.stop_id = c.stop_id GROUP BY root""")
 def station_merge(spark, sf_dir):
     stops = _stops(spark, sf_dir)
-    stations, _ = ST.merge_stations(stops, ST.exact_name_pairs(stops).unionByName(ST.fuzzy_name_pairs(stops)))
+    stations, _ = ST.merge_stations(stops, Scratch(spark, "links").table(ST.name_links(stops), "links"))
     return rounded(stations.select("root", "members", "lat", "lon", "canonical_id", "merge_confidence", "station"), "lat", "lon", "merge_confidence")
 
 
