@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,98 @@ def top_similar(queries: DataFrame, candidates: DataFrame, k: int, similarity: C
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Width of the band around a bound of a product of units in which exact values decide, many times their rounding errors.
+BAND = 1e-9
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows filled up with zeros, and their lengths; null is empty."""
+    flat, sizes = column.combine_chunks(), pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    out = np.zeros((len(column), width))
+    out[np.arange(width)[None, :] < sizes[:, None]] = flat.flatten().to_numpy(zero_copy_only=False)
+    return out, sizes
+
+
+def _longest(*columns: pa.ChunkedArray) -> int:
+    return max((pc.max(pc.list_value_length(c)).as_py() or 0 for c in columns), default=0)
+
+
+def _place_by_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products row by row, summed in the order of the places, as a fold over an array does."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out = out + a[:, k] * b[:, k]
+    return out
+
+
+def _tile_top(k: int, facets: list[float], grouped: bool):
+    """Of each query of a tile its k best candidates of the tile: product of units first, exact values for those in reach."""
+    schema = pa.schema([("q_id", pa.int64()), ("id", pa.int64()), ("name", pa.string()), ("similarity", pa.float64())])
+
+    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        if not len(queries) or not len(candidates):
+            return schema.empty_table()
+        candidates = candidates.sort_by([("name", "ascending"), ("id", "ascending")])
+        q_id, ids, rows = queries["q_id"].to_numpy(), candidates["id"].to_numpy(), []
+        sides, near = [], np.zeros((len(q_id), len(ids)))
+        for f, weight in enumerate(facets):
+            width = _longest(queries[f"_v{f}"], candidates[f"_v{f}"])
+            (x, m), (y, n) = (_matrix(t[f"_v{f}"], width) for t in (queries, candidates))
+            nx, ny = (np.sqrt(_place_by_place(v, v)) for v in (x, y))
+            unit = lambda v, s: np.divide(v, s[:, None], out=np.zeros_like(v), where=s[:, None] != 0)
+            part = unit(x, nx) @ unit(y, ny).T
+            if (m != m[0]).any() or (n != m[0]).any():
+                part[m[:, None] != n[None, :]] = 0.0
+            near += weight * part
+            sides.append((weight, x, y, nx, ny, m, n))
+        out = q_id[:, None] == ids[None, :]
+        if grouped:
+            mine, theirs = queries["_group"].to_numpy(zero_copy_only=False), candidates["_group"].to_numpy(zero_copy_only=False)
+            out |= mine[:, None] != theirs[None, :]
+        near[out] = -np.inf
+        near[np.isnan(near)] = np.inf  # what has no number in a product is decided by its exact value
+        most = min(k, len(ids))
+        bound = np.partition(near, len(ids) - most, axis=1)[:, len(ids) - most] - BAND
+        for i in range(len(q_id)):
+            at = np.flatnonzero((near[i] >= bound[i]) & ~out[i])
+            value = np.zeros(len(at))
+            for weight, x, y, nx, ny, m, n in sides:
+                length = nx[i] * ny[at]
+                dot = _place_by_place(np.broadcast_to(x[i], (len(at), x.shape[1])), y[at])
+                with np.errstate(all="ignore"):
+                    value = value + weight * np.where((n[at] == 0) | (n[at] != m[i]) | (length == 0), 0.0, dot / length)
+            # NaN is the largest, as in Spark's order; of equals the first by name, then id
+            best = np.lexsort((at, np.where(np.isnan(value), -np.inf, -value)))[:k]
+            rows.append((np.full(len(best), q_id[i]), at[best], value[best]))
+        at = np.concatenate([r[1] for r in rows])
+        return pa.table([np.concatenate([r[0] for r in rows]), ids[at], candidates["name"].take(pa.array(at)), np.concatenate([r[2] for r in rows])], schema=schema)
+
+    return run
+
+
+def top_cosine(queries: DataFrame, candidates: DataFrame, k: int, facets: dict[str, float], group: str | None = None, tile: int = 2000) -> DataFrame:
+    """``top_similar`` for a weighted sum of cosines: exact, by products of tiles.
+
+    ``queries`` (q_id, a column for each facet) and ``candidates`` (id, name, the same columns), both with ``group`` where
+    only rows of one value of it are to meet; a row does not meet its own id. A task is a tile of queries and a tile of
+    candidates. The product says which candidates may be among the k best, those alone get the value of
+    ``facet_similarity``, and k rows of each query leave the task.
+    """
+    vector = lambda c: F.col(c).cast("array<double>")
+    extra = [F.col(group).alias("_group")] if group else []
+    columns = [*extra, *[vector(c).alias(f"_v{i}") for i, c in enumerate(facets)]]
+    queries, candidates = (df.where(F.col(group).isNotNull()) if group else df for df in (queries, candidates))
+    tiles = lambda df: max(1, -(-df.count() // tile))
+    nq, nc = tiles(queries), tiles(candidates)
+    dealt = lambda df, id_, n, name: df.withColumn(name, F.pmod(F.xxhash64(id_), F.lit(n)))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+    q = dealt(queries.select(F.col("q_id").cast("long").alias("q_id"), *columns), "q_id", nq, "_q").select("*", every(nc, "_c"))
+    c = dealt(candidates.select(F.col("id").cast("long").alias("id"), "name", *columns), "id", nc, "_c").select("*", every(nq, "_q"))
+    found = q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInArrow(_tile_top(k, list(facets.values()), group is not None), "q_id long, id long, name string, similarity double")
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("similarity"), "name", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def facet_similarity(weights: dict[str, float], suffixes: tuple[str, str] = ("_q", "_c")) -> Column:
     """Weighted sum of the cosines of the facets."""
     return sum((F.lit(w) * S.cosine_similarity(F.col(f"{name}{suffixes[0]}"), F.col(f"{name}{suffixes[1]}")) for name, w in weights.items()), F.lit(0.0))
@@ -53,11 +146,11 @@ def collect_vector(long: DataFrame, group: list[str], name: str = "vector") -> D
     return long.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias(name))
 
 
-def _rows_of(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width))
-    for k, v in enumerate(column.to_pylist()):
-        out[k, : len(v)] = v
-    return out
+def _codes(a: pa.Table, b: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal where the values are; null is a value of its own, -1."""
+    both = pa.chunked_array([*a[name].chunks, *b[name].chunks], a[name].type).combine_chunks().dictionary_encode()
+    codes = pc.fill_null(both.indices, -1).to_numpy().astype(np.int64)
+    return codes[: len(a)], codes[len(a) :]
 
 
 def _best_of_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -68,25 +161,39 @@ def _best_of_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
     if not len(left) or not len(right):
         return schema.empty_table()
     a, b = (t.sort_by("id") for t in (left, right))
-    ids, width = b["id"].to_numpy(), max(len(v) for t in (a, b) for v in t["unit"].to_pylist())
-    sizes = [np.array([len(v) for v in t["unit"].to_pylist()]) for t in (a, b)]
-    mine = {c: np.array(a[c].to_pylist(), object)[:, None] for c in ("system", "identity", "snapshot")}
-    theirs = {c: np.array(b[c].to_pylist(), object)[None, :] for c in mine}
-    # summed place by place, so that equal vectors are equally far, wherever they stand
-    gap = np.clip(1 - np.einsum("id,jd->ij", _rows_of(a["unit"], width), _rows_of(b["unit"], width)), 0, 2)
-    gap[sizes[0][:, None] != sizes[1][None, :]] = 1.0
-    kin = ((mine["system"] == theirs["system"]) & (mine["identity"] == theirs["identity"]) & (mine["snapshot"] != theirs["snapshot"])).astype(bool)
-    self_ = a["id"].to_numpy()[:, None] == ids[None, :]
+    mine, ids, width = a["id"].to_numpy(), b["id"].to_numpy(), _longest(a["unit"], b["unit"])
+    (x, m), (y, n) = (_matrix(t["unit"], width) for t in (a, b))
+    gap = np.clip(1 - x @ y.T, 0, 2)
+    if (m != m[0]).any() or (n != m[0]).any():
+        gap[m[:, None] != n[None, :]] = 1.0
+    kin = np.ones(gap.shape, bool)
+    for name, same in (("system", True), ("identity", True), ("snapshot", False)):
+        p, q = _codes(a, b, name)
+        kin &= (p[:, None] == q[None, :]) == same
+    self_ = mine[:, None] == ids[None, :]
     some = np.flatnonzero((~self_).any(1))
-    gap, kin, self_ = gap[some], kin[some] & ~self_[some], self_[some]
+    kin &= ~self_
     has = kin.any(1)
     near = np.where(self_ | (has[:, None] & ~kin), np.inf, gap)
-    far = np.where(self_, -np.inf, gap)
-    p, n, row = near.argmin(1), far.argmax(1), np.arange(len(some))  # of equals the smallest id
-    return pa.table([a["id"].to_numpy()[some], (~has).astype(np.int32), near[row, p], ids[p], far[row, n], ids[n]], schema=schema)
+    gap[self_] = -np.inf
+
+    def first(reach: np.ndarray, i: int, sign: int) -> tuple[float, int]:
+        """The least or largest of the exact values in reach, of equals the smallest id; summed place by place, so that equal vectors are equally far."""
+        at = np.flatnonzero(reach)
+        exact = np.clip(1 - _place_by_place(np.broadcast_to(x[i], (len(at), width)), y[at]), 0, 2)
+        exact[n[at] != m[i]] = 1.0
+        best = (sign * exact).argmin()
+        return exact[best], ids[at[best]]
+
+    rows = []
+    low, high = near.min(1) + BAND, gap.max(1) - BAND
+    for i in some:
+        rows.append((*first(near[i] <= low[i], i, 1), *first(gap[i] >= high[i], i, -1)))
+    near_v, positive, far_v, negative = (np.array(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
+    return pa.table([mine[some], (~has[some]).astype(np.int32), near_v, positive, far_v, negative], schema=schema)
 
 
-def triplets(items: DataFrame, margin: float = 0.001, block: int = 500) -> DataFrame:
+def triplets(items: DataFrame, margin: float = 0.001, block: int = 2000) -> DataFrame:
     """Per anchor the nearest of its identity elsewhere, else the nearest other, and the farthest that is at least ``margin`` farther.
 
     ``items``: id, system, identity, snapshot, vector. All are compared with all, as the metric asks, in blocks of about

@@ -41,16 +41,15 @@ WITH {_V}, q AS (SELECT id AS q_id, v AS qv FROM v WHERE id % 20 = 0), s AS (SEL
 SELECT q_id, id, round(sim, 6) AS similarity, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, CAST(id AS VARCHAR), id) AS r FROM s) WHERE r <= 5""")
 def embedding_topk_cosine(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    q = v.where("id % 20 = 0").select(F.col("id").alias("q_id"), F.col("v").alias("q_v"))
-    out = R.top_similar(q, v, 5, S.cosine_similarity(F.col("q_v"), F.col("v")), F.col("q_id") == F.col("id"))
+    out = R.top_cosine(v.where("id % 20 = 0").select(F.col("id").alias("q_id"), "v"), v, 5, {"v": 1.0})
     return rounded(out.select("q_id", "id", "similarity", "rank"), "similarity")
 
 
 _FACETS = ("role", "service", "geometry", "resilience")
 
 
-def _facets(df, suffix):
-    return [F.slice("v", 16 * i + 1, 16).alias(f"{n}{suffix}") for i, n in enumerate(_FACETS)]
+def _facets():
+    return [F.slice("v", 16 * i + 1, 16).alias(n) for i, n in enumerate(_FACETS)]
 
 
 @query("weighted_profile_topk", f"""
@@ -59,9 +58,8 @@ FROM v a JOIN v b ON a.id % 20 = 0 AND a.id <> b.id AND a.label = b.label)
 SELECT q_id, id, round(sim, 6) AS similarity, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, CAST(id AS VARCHAR), id) AS r FROM s) WHERE r <= 5""")
 def weighted_profile_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    q = v.where("id % 20 = 0").select(F.col("id").alias("q_id"), F.col("label").alias("q_label"), *_facets(v, "_q"))
-    c = v.select("id", "name", "label", *_facets(v, "_c"))
-    out = R.top_similar(q, c, 5, R.facet_similarity(S.profile_weights("default")), (F.col("q_id") == F.col("id")) | (F.col("q_label") != F.col("label")))
+    q = v.where("id % 20 = 0").select(F.col("id").alias("q_id"), "label", *_facets())
+    out = R.top_cosine(q, v.select("id", "name", "label", *_facets()), 5, S.profile_weights("default"), "label")
     return rounded(out.select("q_id", "id", "similarity", "rank"), "similarity")
 
 
