@@ -176,20 +176,22 @@ def _best_of_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
     has = kin.any(1)
     near = np.where(self_ | (has[:, None] & ~kin), np.inf, gap)
     gap[self_] = -np.inf
-
-    def first(reach: np.ndarray, i: int, sign: int) -> tuple[float, int]:
-        """The least or largest of the exact values in reach, of equals the smallest id; summed place by place, so that equal vectors are equally far."""
-        at = np.flatnonzero(reach)
-        exact = np.clip(1 - _place_by_place(np.broadcast_to(x[i], (len(at), width)), y[at]), 0, 2)
+    x, m = x[some], m[some]
+
+    def first(reach: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per anchor the least or largest of the exact values in reach, of equals the smallest id; summed place by place, so that equal vectors are equally far."""
+        i, at = np.nonzero(reach)
+        dot = np.zeros(len(i))
+        for k in range(width):
+            dot = dot + x[i, k] * y[at, k]
+        exact = np.clip(1 - dot, 0, 2)
         exact[n[at] != m[i]] = 1.0
-        best = (sign * exact).argmin()
-        return exact[best], ids[at[best]]
-
-    rows = []
-    low, high = near.min(1) + BAND, gap.max(1) - BAND
-    for i in some:
-        rows.append((*first(near[i] <= low[i], i, 1), *first(gap[i] >= high[i], i, -1)))
-    near_v, positive, far_v, negative = (np.array(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
+        order = np.lexsort((at, sign * exact, i))
+        order = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+        return exact[order], ids[at[order]]
+
+    near_v, positive = first(near[some] <= near[some].min(1)[:, None] + BAND, 1)
+    far_v, negative = first(gap[some] >= gap[some].max(1)[:, None] - BAND, -1)
     return pa.table([mine[some], (~has[some]).astype(np.int32), near_v, positive, far_v, negative], schema=schema)
 
 
