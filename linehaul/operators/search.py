@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -87,8 +89,9 @@ def _tile_top(k: int, facets: list[float], grouped: bool):
         if grouped:
             mine, theirs = queries["_group"].to_numpy(zero_copy_only=False), candidates["_group"].to_numpy(zero_copy_only=False)
             out |= mine[:, None] != theirs[None, :]
-        near[out] = -np.inf
         near[np.isnan(near)] = np.inf  # what has no number in a product is decided by its exact value
+        lacks = queries["_null"].to_numpy(zero_copy_only=False)[:, None] | candidates["_null"].to_numpy(zero_copy_only=False)[None, :]
+        near[lacks], near[out] = -1e300, -np.inf  # without a value, but last
         most = min(k, len(ids))
         bound = np.partition(near, len(ids) - most, axis=1)[:, len(ids) - most] - BAND
         for i in range(len(q_id)):
@@ -100,10 +103,10 @@ def _tile_top(k: int, facets: list[float], grouped: bool):
                 with np.errstate(all="ignore"):
                     value = value + weight * np.where((n[at] == 0) | (n[at] != m[i]) | (length == 0), 0.0, dot / length)
             # NaN is the largest, as in Spark's order; of equals the first by name, then id
-            best = np.lexsort((at, np.where(np.isnan(value), -np.inf, -value)))[:k]
-            rows.append((np.full(len(best), q_id[i]), at[best], value[best]))
+            best = np.lexsort((at, np.where(np.isnan(value), -np.inf, -value), lacks[i, at]))[:k]
+            rows.append((np.full(len(best), q_id[i]), at[best], value[best], lacks[i, at[best]]))
         at = np.concatenate([r[1] for r in rows])
-        return pa.table([np.concatenate([r[0] for r in rows]), ids[at], candidates["name"].take(pa.array(at)), np.concatenate([r[2] for r in rows])], schema=schema)
+        return pa.table([np.concatenate([r[0] for r in rows]), ids[at], candidates["name"].take(pa.array(at)), pa.array(np.concatenate([r[2] for r in rows]), mask=np.concatenate([r[3] for r in rows]))], schema=schema)
 
     return run
 
@@ -118,7 +121,8 @@ def top_cosine(queries: DataFrame, candidates: DataFrame, k: int, facets: dict[s
     """
     vector = lambda c: F.col(c).cast("array<double>")
     extra = [F.col(group).alias("_group")] if group else []
-    columns = [*extra, *[vector(c).alias(f"_v{i}") for i, c in enumerate(facets)]]
+    lacks = [F.col(c).isNull() | F.exists(c, lambda x: x.isNull()) for c in facets]
+    columns = [*extra, F.coalesce(reduce(lambda a, b: a | b, lacks), F.lit(True)).alias("_null"), *[vector(c).alias(f"_v{i}") for i, c in enumerate(facets)]]
     queries, candidates = (df.where(F.col(group).isNotNull()) if group else df for df in (queries, candidates))
     tiles = lambda df: max(1, -(-df.count() // tile))
     nq, nc = tiles(queries), tiles(candidates)

@@ -31,6 +31,12 @@ def test_top_cosine_in_tiles_equals_top_similar(spark):
             assert rows(R.top_cosine(queries, items, 5, weights, group, tile)) == want
 
 
+def test_a_null_vector_comes_last(spark):
+    items = spark.createDataFrame([(0, "0", [1.0, 0.0]), (1, "1", None), (2, "2", [-1.0, 0.0]), (3, "3", [1.0, None])], "id long, name string, v array<double>")
+    got = R.top_cosine(items.where("id = 0").withColumnRenamed("id", "q_id"), items, 3, {"v": 1.0}).orderBy("rank").collect()
+    assert [(r["id"], r["similarity"]) for r in got] == [(2, -1.0), (1, None), (3, None)]
+
+
 def test_triplets_do_not_hang_on_blocks(spark):
     items = _items(spark).select("id", (F.col("id") % 2).alias("system"), F.col("label").alias("identity"), (F.col("id") % 5).alias("snapshot"), F.concat("a", "b").alias("vector"))
     rows = lambda n: sorted(map(tuple, R.triplets(items, block=n).collect()))
