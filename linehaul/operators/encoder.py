@@ -122,9 +122,13 @@ def channel_summary(channels: Column) -> Column:
 
 def distinct_patterns(trips: DataFrame) -> DataFrame:
     """(line, stops, pickups, drop_offs, trips): one row per pattern of ``network.signatures``, arrays of numbers."""
+    return pattern_stops(trips.groupBy("line", "stops", "pickups", "drop_offs").agg(F.count(F.lit(1)).alias("n")))
+
+
+def pattern_stops(patterns: DataFrame) -> DataFrame:
+    """The same from a row per pattern with its number of trips ``n``."""
     numbers = lambda c: F.transform(F.split(c, ","), lambda x: x.cast("int")).alias(c)
-    counted = trips.groupBy("line", "stops", "pickups", "drop_offs").agg(F.count(F.lit(1)).alias("trips"))
-    return counted.select("line", *[numbers(c) for c in ("stops", "pickups", "drop_offs")], "trips")
+    return patterns.select("line", *[numbers(c) for c in ("stops", "pickups", "drop_offs")], F.col("n").alias("trips"))
 
 
 def fold_patterns(patterns: DataFrame, stations: DataFrame, lines: DataFrame, edges: DataFrame, width: int) -> DataFrame:

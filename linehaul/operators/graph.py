@@ -28,14 +28,18 @@ def serves(calls: DataFrame) -> DataFrame:
     return calls.select("station", "line").distinct()
 
 
-def station_features(stations: DataFrame, calls: DataFrame, pats: DataFrame, modes: DataFrame, transfers: DataFrame, platforms: DataFrame) -> DataFrame:
-    """(station, features) in the order of ``STATION_FEATURES``. ``modes``: line, bucket. ``platforms``: station, platform_count."""
+def station_features(stations: DataFrame, calls: DataFrame, pats: DataFrame, modes: DataFrame, transfers: DataFrame, platforms: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """(station, features) in the order of ``STATION_FEATURES``. ``modes``: line, bucket. ``platforms``: station, platform_count.
+
+    ``pats`` has the trips' signatures; ``counted``: a row for each of them, where they are there already.
+    """
     placed = S.placed(F.col("lat"), F.col("lon")) & ~F.isnan("lat") & ~F.isnan("lon")
     box = stations.where(placed).agg(*[f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))])
     unit = lambda c: F.when(placed, F.least(F.greatest((F.col(c) - F.col(f"min_{c}")) / F.greatest(F.col(f"max_{c}") - F.col(f"min_{c}"), F.lit(2.0**-52)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    each = pats.select(*N.SIGNATURE).distinct() if counted is None else counted
     of_mode = serves(calls).join(modes, "line").groupBy("station").agg(*[F.count(F.when(F.col("bucket") == k, 1)).alias(f"mode_{k}") for k in range(5)])
-    of_pattern = calls.join(pats.select("trip_id", "pattern"), "trip_id").groupBy("station").agg(F.countDistinct("pattern").alias("pattern_count"))
-    ends = pats.select(F.explode(F.array(F.element_at(F.split("stops", ","), 1), F.element_at(F.split("stops", ","), -1))).alias("station")).select(F.col("station").cast("int").alias("station")).distinct().withColumn("terminal", F.lit(1))
+    of_pattern = each.select(F.explode(F.array_distinct(F.split("stops", ","))).alias("station")).groupBy(F.col("station").cast("int").alias("station")).agg(F.count(F.lit(1)).alias("pattern_count"))
+    ends = each.select(F.explode(F.array(F.element_at(F.split("stops", ","), 1), F.element_at(F.split("stops", ","), -1))).alias("station")).select(F.col("station").cast("int").alias("station")).distinct().withColumn("terminal", F.lit(1))
     # the box is one row
     rows = stations.crossJoin(F.broadcast(box))
     for part in (platforms, N.station_summary(calls), of_mode, of_pattern, N.transfer_degree(transfers), ends):
@@ -67,13 +71,18 @@ def normalized_coordinates(stations: DataFrame) -> DataFrame:
     return stations.crossJoin(F.broadcast(box)).withColumns({"x": unit("lon"), "y": unit("lat")})
 
 
-def line_statistics(calls: DataFrame, stations: DataFrame, modes: DataFrame) -> DataFrame:
-    """All per-line statistics that features need, one row per line."""
-    pats, segs = N.signatures(calls), N.segments(calls)
+def line_statistics(calls: DataFrame, stations: DataFrame, modes: DataFrame, trips: DataFrame | None = None, counted: DataFrame | None = None, edges: DataFrame | None = None, served: DataFrame | None = None) -> DataFrame:
+    """All per-line statistics that features need, one row per line.
+
+    Given where they are there already: signatures of ``trips``, their patterns ``counted``, ``edges`` and (station, line) ``served``.
+    """
+    pats = N.signatures(calls) if trips is None else trips
+    each = pats.select(*N.SIGNATURE).distinct() if counted is None else counted
+    segs, served = N.segments(calls) if edges is None else edges, calls if served is None else served
     metres = S.station_distance(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    reach = end_to_end(pats, stations)
-    rows = N.line_summary(calls, pats)
-    for part in (modes, N.line_lengths(segs, stations, metres), reach, N.line_branching(pats), N.line_headways(pats), N.line_stations(calls).drop("stations"), N.line_sharing(segs)):
+    reach = end_to_end(each, stations)
+    rows = N.line_summary(calls, pats, counted)
+    for part in (modes, N.line_lengths(segs, stations, metres), reach, N.pattern_branching(each), N.line_headways(pats), N.line_stations(served).drop("stations"), N.line_sharing(segs)):
         rows = rows.join(part, "line", "left")
     return rows
 

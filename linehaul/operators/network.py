@@ -68,13 +68,48 @@ def segments(calls: DataFrame) -> DataFrame:
     return rows.where("to_station IS NOT NULL AND from_station <> to_station AND arrival >= departure").withColumn("runtime", F.col("arrival") - F.col("departure"))
 
 
+def whole_trips(calls: DataFrame) -> DataFrame:
+    """Per trip and line its calls in order: ``along``, an array of structs. Written once, it answers what is asked of trips without a shuffle."""
+    call = F.struct("pos", "station", "arrival", "departure", "pickup", "drop_off")
+    return calls.groupBy("trip_id", "line").agg(F.array_sort(F.collect_list(call)).alias("along"))
+
+
+def trip_calls(trips: DataFrame) -> DataFrame:
+    """The calls of whole trips."""
+    return trips.select("trip_id", "line", F.inline("along"))
+
+
+def _ride(a: Column, b: Column) -> Column:
+    return b["station"].isNotNull() & (a["station"] != b["station"]) & (b["arrival"] >= a["departure"])
+
+
+def trip_segments(trips: DataFrame) -> DataFrame:
+    """The ``segments`` of whole trips."""
+    n = F.size("along")
+    pair = lambda a, b: F.struct(a["pos"].alias("pos"), a["station"].alias("from_station"), a["departure"].alias("departure"), b["station"].alias("to_station"), b["arrival"].alias("arrival"), _ride(a, b).alias("ride"))
+    rows = trips.select("trip_id", "line", n.alias("calls"), F.inline(F.zip_with(F.slice("along", 1, n - 1), F.slice("along", 2, n), pair)))
+    return rows.where("ride").drop("ride").withColumn("runtime", F.col("arrival") - F.col("departure"))
+
+
+def trip_signatures(trips: DataFrame) -> DataFrame:
+    """The ``signatures`` of whole trips, and ``rides``: for each call but the last from>to where a segment begins, else nothing."""
+    n = F.size("along")
+    text = lambda c: F.array_join(F.transform("along", lambda x: x[c]), ",")
+    ride = lambda a, b: F.when(_ride(a, b), F.concat_ws(">", a["station"], b["station"])).otherwise("")
+    rides = F.array_join(F.zip_with(F.slice("along", 1, n - 1), F.slice("along", 2, n), ride), ",")
+    return trips.select("trip_id", "line", text("station").alias("stops"), text("pickup").alias("pickups"), text("drop_off").alias("drop_offs"), F.get("along", F.lit(0))["departure"].alias("first_departure"), n.cast("long").alias("calls"), rides.alias("rides"))
+
+
 EDGE = ["from_station", "to_station", "line"]
 
 
 def transit_edges(segs: DataFrame) -> DataFrame:
-    """Per (from, to, line): trips, minimum and upper-median runtime."""
-    stats = segs.groupBy(*EDGE).agg(F.count(F.lit(1)).alias("trips"), F.min("runtime").alias("min_runtime"))
-    return stats.join(upper_median(segs, EDGE, "runtime", "median_runtime"), EDGE)
+    """Per (from, to, line): trips, minimum and upper-median runtime, from one count of runtimes."""
+    counts = segs.groupBy(*EDGE, "runtime").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*EDGE)
+    upto = F.sum("n").over(w.orderBy("runtime").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select(*EDGE, "runtime", upto.alias("upto"), F.sum("n").over(w).alias("trips"), F.min("runtime").over(w).alias("min_runtime"))
+    return ranked.where(F.col("upto") > F.floor(F.col("trips") / 2)).groupBy(*EDGE).agg(F.min("trips").alias("trips"), F.min("min_runtime").alias("min_runtime"), F.min("runtime").alias("median_runtime"))
 
 
 def edge_lookup(rows: DataFrame, edges: DataFrame, values: list[str]) -> DataFrame:
@@ -95,6 +130,30 @@ def edge_positions(segs: DataFrame, patterns: DataFrame) -> DataFrame:
     return placed.groupBy(*EDGE).agg(F.min_by(place, F.struct("pattern", "trip_rank", "pos")).alias("relative_position"))
 
 
+def numbered_patterns(signatures: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per pattern its signature, number as in ``patterns``, calls, number of trips ``n`` and the distinct ``rides`` of its trips, in the order of the first trip that has them."""
+    first = F.min(F.struct("first_departure", "trip_id")).alias("first")
+    kinds = signatures.groupBy(*SIGNATURE, "calls", "rides").agg(F.count(F.lit(1)).alias("n"), first)
+    rides = F.transform(F.array_sort(F.collect_list(F.struct("first", "rides"))), lambda x: x["rides"])
+    each = scratch.table(kinds.groupBy(*SIGNATURE).agg(F.sum("n").alias("n"), F.max("calls").alias("calls"), rides.alias("rides")), "counted")
+    return scratch.table(numbered(each, SIGNATURE, "pattern", scratch), "patterns")
+
+
+def pattern_edge_positions(patterns: DataFrame) -> DataFrame:
+    """What ``edge_positions`` gives, from ``numbered_patterns``: trips of a pattern have their stops at the same places.
+
+    A pattern's rides stand one behind the other. Its number and the place among them are one long, so that the least is
+    found by hash; the pattern that it names has the length.
+    """
+    all_rides = F.flatten(F.transform("rides", lambda r: F.split(r, ",")))
+    at = patterns.select("line", "pattern", F.posexplode(all_rides).alias("i", "r")).where("r <> ''")
+    ends = [F.get(F.split("r", ">"), F.lit(i)).cast("int").alias(c) for i, c in enumerate(EDGE[:2])]
+    first = at.select(*ends, "line", (F.col("pattern") * F.lit(1 << 28) + F.col("i")).alias("at")).groupBy(*EDGE).agg(F.min("at").alias("at"))
+    first = first.select(*EDGE, F.shiftright("at", 28).alias("pattern"), (F.col("at") % F.lit(1 << 28)).alias("i"))
+    steps = F.greatest(F.col("calls") - 1, F.lit(1))
+    return first.join(patterns.select("pattern", "calls"), "pattern").select(*EDGE, (F.col("i") % steps / steps).alias("relative_position"))
+
+
 def dense(df: DataFrame, keys: list[str], bin_col: str, value: str, size: int = BINS, name: str = "values") -> DataFrame:
     """Per key an array of ``size`` values by bin, 0 where there is none."""
     pairs = df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(bin_col, value))).alias("_m"))
@@ -122,10 +181,14 @@ def patterns(calls: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     return ranked.withColumn("trip_rank", rank.cast("int"))
 
 
-def line_summary(calls: DataFrame, trips: DataFrame) -> DataFrame:
-    """Per line: patterns, trips, stations, first departure, last arrival and the span between. ``trips`` have signatures."""
+def line_summary(calls: DataFrame, trips: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Per line: patterns, trips, stations, first departure, last arrival and the span between. ``trips`` have signatures.
+
+    ``counted``: the patterns of the trips with their number ``n``, where they are there already.
+    """
+    counted = trips.groupBy(*SIGNATURE).agg(F.count(F.lit(1)).alias("n")) if counted is None else counted
     stats = calls.groupBy("line").agg(F.countDistinct("station").alias("stations"), F.min("departure").alias("first_departure"), F.max("arrival").alias("last_arrival"))
-    counts = trips.groupBy(*SIGNATURE).agg(F.count(F.lit(1)).alias("n")).groupBy("line").agg(F.count(F.lit(1)).alias("patterns"), F.sum("n").alias("trips"))
+    counts = counted.groupBy("line").agg(F.count(F.lit(1)).alias("patterns"), F.sum("n").alias("trips"))
     return stats.join(counts, "line").withColumn("span", F.greatest(F.col("last_arrival") - F.col("first_departure"), F.lit(0)))
 
 
@@ -157,9 +220,13 @@ def line_headways(trips: DataFrame) -> DataFrame:
 
 def line_branching(trips: DataFrame) -> DataFrame:
     """Per line the share of its patterns that end elsewhere than they start. ``trips`` have signatures."""
-    one = trips.select(*SIGNATURE).distinct()
+    return pattern_branching(trips.select(*SIGNATURE).distinct())
+
+
+def pattern_branching(patterns: DataFrame) -> DataFrame:
+    """The same of a row per pattern."""
     ends = F.split("stops", ",")
-    return one.groupBy("line").agg(F.avg(F.when(F.element_at(ends, 1) != F.element_at(ends, -1), 1.0).otherwise(0.0)).alias("branching"))
+    return patterns.groupBy("line").agg(F.avg(F.when(F.element_at(ends, 1) != F.element_at(ends, -1), 1.0).otherwise(0.0)).alias("branching"))
 
 
 def line_sharing(segs: DataFrame) -> DataFrame:

@@ -34,26 +34,24 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _modes(spark, sf_dir):
-    return T.stop_times(spark, sf_dir).select("line").distinct().withColumn("bucket", F.substring("line", 1, 1).cast("int") - 1)
-
-
 def graph(spark, sf_dir, scratch):
-    """The graph of the timetable, its parts written once."""
+    """The graph of the timetable, its parts written once; trips are put together once, whole, and all parts come from them."""
     keep = lambda df, name: scratch.table(df, name)
-    c, st, walks = keep(calls(spark, sf_dir), "calls"), T.stations(spark, sf_dir), T.transfers(spark, sf_dir)
-    modes, s, pats = _modes(spark, sf_dir), N.segments(c), keep(N.patterns(c, scratch), "patterns")
+    trips, st, walks = keep(N.whole_trips(calls(spark, sf_dir)), "trips"), T.stations(spark, sf_dir), T.transfers(spark, sf_dir)
+    c, s, signed = N.trip_calls(trips), N.trip_segments(trips), N.trip_signatures(trips)
+    pats, edges, serves = N.numbered_patterns(signed, scratch), keep(N.transit_edges(s), "edges"), keep(G.serves(c), "serves")
+    modes = serves.select("line").distinct().withColumn("bucket", F.substring("line", 1, 1).cast("int") - 1)
     platforms = T.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("int").alias("station")).agg(F.count(F.lit(1)).alias("platform_count"))
     return {
-        "station_features": keep(G.station_features(st, c, pats, modes, walks, platforms), "station_features"),
-        "line_features": keep(G.line_features(G.line_statistics(c, st, modes)), "line_features"),
-        "edge_features": keep(G.edge_features(N.transit_edges(s), N.edge_positions(s, pats), st), "edge_features"),
+        "station_features": keep(G.station_features(st, c, signed, modes, walks, platforms, pats), "station_features"),
+        "line_features": keep(G.line_features(G.line_statistics(c, st, modes, signed, pats, edges, serves)), "line_features"),
+        "edge_features": keep(G.edge_features(edges, N.pattern_edge_positions(pats), st), "edge_features"),
         "station_channels": keep(E.temporal_channels(c, "station"), "station_channels"),
         "line_channels": keep(E.temporal_channels(c, "line"), "line_channels"),
-        "serves": keep(G.serves(c), "serves"),
+        "serves": serves,
         "transfers": walks,
-        "interchanges": N.interchanges(c),
-        "line_patterns": E.distinct_patterns(pats),
+        "interchanges": keep(N.interchanges(serves), "interchanges"),
+        "line_patterns": E.pattern_stops(pats),
     }
 
 
