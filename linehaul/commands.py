@@ -37,7 +37,9 @@ def compile_network(feed: gtfs.Feed, day: datetime.date, feed_id: str, overrides
     trips = scratch.table(C.active_trips(feed.trips, services), "trips")
     if trips.isEmpty():
         raise ValueError(f"no trip runs on {day}")
-    times = gtfs.typed_stop_times(feed.stop_times).join(trips.select("trip_id"), "trip_id", "left_semi")
+    tasks = gtfs.tasks_for(feed.stop_times)
+    by_trip = lambda t: gtfs.dealt(t, "trip_id", tasks)
+    times = scratch.table(by_trip(gtfs.typed_stop_times(feed.stop_times)).join(by_trip(trips.select("trip_id")), "trip_id", "left_semi"), "times")
     ends = [t.select(F.col(c).alias("stop_id")) for t in (feed.transfers, feed.pathways) for c in ("from_stop_id", "to_stop_id")]
     wanted = times.select("stop_id")
     for e in ends:
@@ -52,17 +54,18 @@ def compile_network(feed: gtfs.Feed, day: datetime.date, feed_id: str, overrides
     stations, of = ST.merge_stations(stops, scratch.table(evidence, "evidence"))
     stations, of = scratch.table(stations, "stations"), scratch.table(of, "of")
     lines = scratch.table(gtfs.lines_of(trips, feed.routes, feed_id, overrides), "lines")
-    rows = times.join(of, "stop_id").join(lines.select("trip_id", "line"), "trip_id")
-    calls = scratch.table(N.merge_calls(rows.select("trip_id", "line", "station", "seq", "arrival", "departure", "pickup", "drop_off")), "calls")
-    if calls.isEmpty():
+    rows = by_trip(times.join(of, "stop_id")).join(by_trip(lines.select("trip_id", "line")), "trip_id")
+    whole = scratch.table(N.whole_trips(N.merge_calls(rows.select("trip_id", "line", "station", "seq", "arrival", "departure", "pickup", "drop_off"))), "whole")
+    calls = N.trip_calls(whole)
+    if whole.isEmpty():
         raise ValueError("no trip has two stations")
-    index = lines.join(calls.select("trip_id").distinct(), "trip_id", "left_semi").groupBy("line").agg(F.min_by("display", "row_no").alias("display"), F.min_by("route_type", "row_no").alias("route_type"), F.array_sort(F.collect_set("route_id")).alias("routes")).withColumn("bucket", S.mode_bucket(F.col("route_type")))
-    segs = N.segments(calls)
+    index = by_trip(lines).join(by_trip(whole.select("trip_id")), "trip_id", "left_semi").groupBy("line").agg(F.min_by("display", "row_no").alias("display"), F.min_by("route_type", "row_no").alias("route_type"), F.array_sort(F.collect_set("route_id")).alias("routes")).withColumn("bucket", S.mode_bucket(F.col("route_type")))
+    segs = N.trip_segments(whole)
     at = lambda t, c, name: t.join(of.select(F.col("stop_id").alias(c), F.col("station").alias(name)), c)
     explicit = at(at(feed.transfers, "from_stop_id", "from_station"), "to_stop_id", "to_station").select("from_station", "to_station", F.coalesce(S.small_code(F.col("transfer_type"), 5), F.lit(0)).alias("transfer_type"), F.coalesce(F.col("min_transfer_time").try_cast("int"), F.lit(0)).alias("seconds"), "row_no")
     ways = at(at(feed.pathways, "from_stop_id", "from_station"), "to_stop_id", "to_station").select("from_station", "to_station", F.when(F.col("is_bidirectional") == "1", 1).otherwise(0).alias("bidirectional"), F.coalesce(F.col("traversal_time").try_cast("int"), F.lit(0)).alias("seconds"), "row_no")
     return {
-        "stations": stations, "stop_to_station": of, "lines": index, "calls": calls, "patterns": N.patterns(calls), "edges": N.transit_edges(segs), "edge_bins": N.edge_bins(segs),
+        "stations": stations, "stop_to_station": of, "lines": index, "calls": calls, "patterns": N.patterns(calls, scratch, N.trip_signatures(whole).drop("rides")), "edges": N.transit_edges(segs), "edge_bins": N.edge_bins(segs),
         "transfers": N.dedupe_transfers(explicit, ways), "interchanges": N.interchanges(calls), "evidence": evidence,
     }
 

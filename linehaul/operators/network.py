@@ -76,7 +76,7 @@ def whole_trips(calls: DataFrame) -> DataFrame:
 
 def trip_calls(trips: DataFrame) -> DataFrame:
     """The calls of whole trips."""
-    return trips.select("trip_id", "line", F.inline("along"))
+    return trips.select("trip_id", "line", F.inline("along")).select("trip_id", "line", "station", "pos", "arrival", "departure", "pickup", "drop_off")
 
 
 def _ride(a: Column, b: Column) -> Column:
@@ -168,13 +168,14 @@ def signatures(calls: DataFrame) -> DataFrame:
     return trips.withColumns({"stops": text("stops"), "pickups": text("pickups"), "drop_offs": text("drop_offs")})
 
 
-def patterns(calls: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def patterns(calls: DataFrame, scratch: Scratch | None = None, signed: DataFrame | None = None) -> DataFrame:
     """Per trip its pattern (trips of one line with the same stops and codes) and its rank in it, by first departure and id.
 
     Patterns are numbered in the order of line, stops and codes. Where no number is asked for, ``signatures`` will do.
+    ``signed``: the calls' signatures where they are there already.
     """
     scratch = scratch or Scratch(calls.sparkSession, "patterns")
-    trips = scratch.table(signatures(calls), "trips")
+    trips = scratch.table(signatures(calls) if signed is None else signed, "trips")
     each = numbered(trips.select(*SIGNATURE).distinct(), SIGNATURE, "pattern", scratch).withColumn("pattern", F.col("pattern").cast("int"))
     ranked = trips.join(each, SIGNATURE)
     rank = F.row_number().over(Window.partitionBy("pattern").orderBy("first_departure", "trip_id")) - 1

@@ -25,6 +25,8 @@ TABLES = {
     "pathways": "pathway_id from_stop_id to_stop_id pathway_mode is_bidirectional traversal_time length",
 }
 REQUIRED = ("stops", "routes", "trips", "stop_times")
+#: Stop times that a task joins and merges; fewer than that are left to Spark.
+TIMES_AT_ONCE = 300_000
 
 
 @dataclass
@@ -83,6 +85,17 @@ def typed_stop_times(stop_times: DataFrame) -> DataFrame:
     return stop_times.select("trip_id", "stop_id", S.clock_seconds(F.col("arrival_time")).alias("arrival"), S.clock_seconds(F.col("departure_time")).alias("departure"), F.col("stop_sequence").try_cast("int").alias("seq"), S.small_code(F.col("pickup_type"), 3).alias("pickup"), S.small_code(F.col("drop_off_type"), 3).alias("drop_off"), "row_no")
 
 
+def tasks_for(stop_times: DataFrame, at_once: int | None = None) -> int:
+    """How many tasks the stop times fill, 1 if one will do; at least what runs at once."""
+    tasks = -(-stop_times.count() // (at_once or TIMES_AT_ONCE))
+    return max(tasks, stop_times.sparkSession.sparkContext.defaultParallelism) if tasks > 1 else 1
+
+
+def dealt(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Rows dealt by ``key`` to as many tasks, whatever the number of shuffle partitions is; left as they are if one will do."""
+    return df.repartition(tasks, key) if tasks > 1 else df
+
+
 def dangling(child: DataFrame, key: str, parent: DataFrame, parent_key: str, what: str) -> DataFrame:
     """Child rows whose parent is missing, as (issue, key)."""
     known = parent.select(F.col(parent_key).alias(key)).distinct()
@@ -97,15 +110,16 @@ def duplicates(table: DataFrame, key: str, what: str) -> DataFrame:
 
 def validate(feed: Feed) -> DataFrame:
     """All issues of a feed as (issue, key): missing references, repeated or empty ids, malformed stop times."""
-    times = typed_stop_times(feed.stop_times)
+    times, tasks = typed_stop_times(feed.stop_times), tasks_for(feed.stop_times)
+    trips = dealt(feed.trips.select("trip_id"), "trip_id", tasks)
     bad = times.where("arrival IS NULL OR departure IS NULL OR seq IS NULL OR pickup IS NULL OR drop_off IS NULL OR departure < arrival")
     out = dangling(feed.trips, "route_id", feed.routes, "route_id", "trip without route")
     for part in (
-        dangling(feed.stop_times, "trip_id", feed.trips, "trip_id", "stop time without trip"),
+        dangling(dealt(feed.stop_times.select("trip_id"), "trip_id", tasks), "trip_id", trips, "trip_id", "stop time without trip"),
         dangling(feed.stop_times, "stop_id", feed.stops, "stop_id", "stop time without stop"),
         duplicates(feed.stops, "stop_id", "stop_id"),
         duplicates(feed.routes, "route_id", "route_id"),
-        duplicates(feed.trips, "trip_id", "trip_id"),
+        duplicates(trips, "trip_id", "trip_id"),
         bad.select(F.lit("malformed stop time").alias("issue"), F.concat_ws("/", "trip_id", F.col("row_no").cast("string")).alias("key")),
     ):
         out = out.unionByName(part)
