@@ -10,6 +10,7 @@ from linehaul.operators import network as N
 from linehaul.plans.encoder import features_sql
 from linehaul.plans.network import _HAVERSINE, calls
 from linehaul.plans.routing import _RANKED, ranked
+from linehaul.scratch import Scratch
 from linehaul.sources import timetable as T
 from linehaul.sources.timetable import with_sql
 
@@ -52,9 +53,10 @@ def graph_station_features(spark, sf_dir):
 SELECT e.a AS from_station, e.b AS to_station, e.line, round({_HAVERSINE.format('x.lat', 'y.lat', 'x.lon', 'y.lon')} / 10000, 6) AS distance, round(median / 3600.0::DOUBLE, 6) AS median, round(least / 3600.0::DOUBLE, 6) AS least, round(ln(trips + 1), 6) AS trips
 FROM edge e JOIN st x ON x.station = e.a JOIN st y ON y.station = e.b"""))
 def graph_edge_features(spark, sf_dir):
-    c = calls(spark, sf_dir)
-    s = N.segments(c)
-    f = G.edge_features(N.transit_edges(s), N.edge_positions(s, N.patterns(c)), T.stations(spark, sf_dir))
+    scratch = Scratch(spark, "edges")
+    trips = scratch.table(N.whole_trips(calls(spark, sf_dir)), "trips")
+    pats = N.numbered_patterns(N.trip_signatures(trips), scratch)
+    f = G.edge_features(N.transit_edges(N.trip_segments(trips)), N.pattern_edge_positions(pats), T.stations(spark, sf_dir))
     return f.select(*N.EDGE, *[F.round(F.get("features", F.lit(i)), 6).alias(n) for i, n in enumerate(("distance", "median", "least", "trips"))])
 
 

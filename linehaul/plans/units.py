@@ -144,9 +144,9 @@ def line_end_to_end(spark, sf_dir):
 @query("segment_edge_lookup", with_sql("""
 SELECT w.line, w.a AS from_station, w.b AS to_station, coalesce(e.trips, 0) AS trips, CAST(coalesce(e.median, 0) AS INT) AS median_runtime FROM (SELECT DISTINCT line, b AS a, a AS b FROM seg) w LEFT JOIN edge e ON e.a = w.a AND e.b = w.b AND e.line = w.line"""))
 def segment_edge_lookup(spark, sf_dir):
-    s = N.segments(calls(spark, sf_dir))
-    back = s.select("line", F.col("to_station").alias("from_station"), F.col("from_station").alias("to_station")).distinct()
-    found = N.edge_lookup(back, N.transit_edges(s), ["trips", "median_runtime"])
+    edges = Scratch(spark, "lookup").table(N.transit_edges(N.segments(calls(spark, sf_dir))), "edges")
+    back = edges.select("line", F.col("to_station").alias("from_station"), F.col("from_station").alias("to_station"))  # an edge has a row
+    found = N.edge_lookup(back, edges, ["trips", "median_runtime"])
     return found.select("line", "from_station", "to_station", "trips", "median_runtime")
 
 

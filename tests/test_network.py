@@ -52,3 +52,11 @@ def test_the_graph_puts_items_in_order_once(spark, monkeypatch):
     monkeypatch.setattr(T, "stop_times", lambda *a, **k: asked.append(a) or stop_times(*a, **k))
     P.graph(spark, "/root/testdata/sf0.001", Scratch(spark, "test"))
     assert len(asked) == 1
+
+
+def test_edge_queries_read_items_no_more_than_once(spark):
+    from linehaul import catalogue
+
+    for name in ("segment_edge_lookup", "graph_edge_features"):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan, name
