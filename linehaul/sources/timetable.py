@@ -12,19 +12,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Items that a task puts in order and merges, with all that is done per trip after it; fewer than that are left to Spark.
 ITEMS_AT_ONCE = 300_000
+#: Suppliers that every executor may hold (two numbers each); more are dealt by their key, in as many tasks as the trips.
+SUPPLIERS_HELD = 1_000_000
 
 
-def stop_times(spark: SparkSession, sf_dir: str, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+def stop_times(spark: SparkSession, sf_dir: str, at_once: int = ITEMS_AT_ONCE, held: int = SUPPLIERS_HELD) -> DataFrame:
     """trip_id, line, station, seq, arrival, departure (seconds), pickup and drop_off codes.
 
-    Rows are dealt by trip to as many tasks as the items fill, whatever the number of shuffle partitions is.
+    Rows are dealt by trip to as many tasks as the items fill, whatever the number of shuffle partitions is, and so they
+    are by supplier where these are more than ``held``.
     """
     item, supplier, orders = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "orders"))
-    rows = item.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag").join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    lines = orders.select("o_orderkey", "o_orderpriority")
+    rows = item.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")
+    places, lines = supplier.select("s_suppkey", "s_nationkey"), orders.select("o_orderkey", "o_orderpriority")
     tasks = -(-item.count() // at_once)
     if tasks > 1:
         tasks = max(tasks, spark.sparkContext.defaultParallelism)
+        if supplier.count() <= held:
+            places = F.broadcast(places)
+        else:
+            rows, places = rows.repartition(tasks, "l_suppkey"), places.repartition(tasks, "s_suppkey")
+    rows = rows.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+    if tasks > 1:
         rows, lines = rows.repartition(tasks, "l_orderkey"), lines.repartition(tasks, "o_orderkey")
     rows = rows.join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
     along = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
