@@ -1,10 +1,12 @@
 """Random networks against an exhaustive router."""
 
 import random
+import re
 
 import pytest
 
 from linehaul.operators import router as R
+from linehaul.scratch import Scratch
 
 CALL = "trip_id int, line string, station int, pos int, arrival int, departure int, pickup int, drop_off int"
 
@@ -85,3 +87,40 @@ def test_retained_trips(spark):
 
     rows = spark.range(6).select(R.retained(F.col("id"), F.lit(6), F.lit(0.5)).alias("k")).collect()
     assert [r["k"] for r in rows] == [True, False, True, False, True, False]
+
+
+def test_rides_are_joined_in_as_many_tasks_as_rows_fill(spark, monkeypatch):
+    n, calls, walks = make(1)
+    df = spark.createDataFrame(calls, CALL).cache()
+    tr = spark.createDataFrame([(a, b, s) for (a, b), s in walks.items()], "from_station int, to_station int, seconds int")
+    queries = spark.createDataFrame([(0, 0, 0, None, None, None, None), (1, 1, 1500, ["L0"], None, None, None)], R.QUERY)
+    asked, table = [], Scratch.table
+
+    def seen(self, t, name="t"):
+        if name == "reach":
+            asked.append(re.findall(r"hashpartitioning\(trip_id#\d+L?, (\d+)\)", t._jdf.queryExecution().executedPlan().toString()))
+        return table(self, t, name)
+
+    rows = lambda **how: sorted(map(tuple, R.one_to_all(df, tr, queries, 2, 3600, **how).collect()))
+    want = rows()
+    monkeypatch.setattr(Scratch, "table", seen)
+    # a row to a task: every boarding and place to get off counts, and both sides of the join have the same tasks
+    assert rows(at_once=1) == want != []
+    first, *rounds = asked
+    assert first == [] and rounds and all(len(set(r)) == 1 and int(r[0]) > 4 for r in rounds)  # the session's shuffle partitions
+
+
+def test_calls_are_derived_once(spark):
+    n, calls, walks = make(1)
+    read = spark.sparkContext.accumulator(0)
+
+    def derive(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(calls, CALL)
+    df = df.mapInArrow(derive, df.schema)
+    tr = spark.createDataFrame([(a, b, s) for (a, b), s in walks.items()], "from_station int, to_station int, seconds int")
+    R.one_to_all(df, tr, spark.createDataFrame([(0, 0, 0, None, None, None, None)], R.QUERY), 2, 3600).collect()
+    assert read.value == len(calls)
