@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linehaul.functions import scalars as S
+from linehaul.scratch import Scratch
 
 
 #: Queries up to this many are sent to every task that has candidates; more of them are dealt out in blocks.
@@ -157,62 +160,175 @@ def _codes(a: pa.Table, b: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]
     return codes[: len(a)], codes[len(a) :]
 
 
-def _best_of_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Of each item of the left block its nearest kin, or nearest other, and its farthest of the right block."""
-    names = ["anchor", "other", "near", "positive", "far", "negative"]
-    kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.int64()]
-    schema = pa.schema(list(zip(names, kinds, strict=True)))
-    if not len(left) or not len(right):
-        return schema.empty_table()
-    a, b = (t.sort_by("id") for t in (left, right))
-    mine, ids, width = a["id"].to_numpy(), b["id"].to_numpy(), _longest(a["unit"], b["unit"])
-    (x, m), (y, n) = (_matrix(t["unit"], width) for t in (a, b))
-    gap = np.clip(1 - x @ y.T, 0, 2)
-    if (m != m[0]).any() or (n != m[0]).any():
-        gap[m[:, None] != n[None, :]] = 1.0
-    kin = np.ones(gap.shape, bool)
-    for name, same in (("system", True), ("identity", True), ("snapshot", False)):
-        p, q = _codes(a, b, name)
-        kin &= (p[:, None] == q[None, :]) == same
-    self_ = mine[:, None] == ids[None, :]
-    some = np.flatnonzero((~self_).any(1))
-    kin &= ~self_
-    has = kin.any(1)
-    near = np.where(self_ | (has[:, None] & ~kin), np.inf, gap)
-    gap[self_] = -np.inf
-    x, m = x[some], m[some]
-
-    def first(reach: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
-        """Per anchor the least or largest of the exact values in reach, of equals the smallest id; summed place by place, so that equal vectors are equally far."""
-        i, at = np.nonzero(reach)
-        dot = np.zeros(len(i))
-        for k in range(width):
-            dot = dot + x[i, k] * y[at, k]
-        exact = np.clip(1 - dot, 0, 2)
-        exact[n[at] != m[i]] = 1.0
-        order = np.lexsort((at, sign * exact, i))
-        order = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
-        return exact[order], ids[at[order]]
+#: Rows whose products with a block are made at once, few enough to stay in a processor's cache.
+STRIP = 500
+
+
+def _blocks(block: int):
+    """A task's rows as Arrow tables of about ``block`` of them, each in one binary value, with what any pair of blocks needs of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if len(b)]
+        if not rows:
+            return
+        rows = pa.Table.from_batches(rows)
+        ends = np.linspace(0, len(rows), max(1, round(len(rows) / block)) + 1).astype(int)
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            t = rows.slice(lo, hi - lo).combine_chunks()
+            ids, group, snapshot = t["id"].to_numpy(), _groups(t, t)[0], _codes(t, t, "snapshot")[0]
+            kin = (group[:, None] == group[None, :]) & (snapshot[:, None] != snapshot[None, :]) & (ids[:, None] != ids[None, :])
+            x, m = _matrix(t["unit"], _longest(t["unit"]))
+            # of copies that are kin to the same items any anchor takes the smallest id, or if that is its own the next
+            alike = np.unique(np.column_stack([group, snapshot, m, (x + 0.0).view(np.int64)]), axis=0, return_inverse=True)[1].ravel()
+            order = np.lexsort((ids, alike))
+            a, i = alike[order], ids[order]
+            new = np.diff(a, prepend=-1) != 0
+            step = np.cumsum(new | (np.diff(i, prepend=i[0]) != 0))
+            few = np.zeros(len(t), bool)
+            few[order] = step - np.repeat(step[new], np.diff(np.append(np.flatnonzero(new), len(a)))) < 2
+            t = t.append_column("lone", pa.array(~kin.any(1))).append_column("few", pa.array(few))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema) as out:
+                out.write_table(t)
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    return run
+
+
+class _Block:
+    """The rows of a block, and of each of them the best found: nearest kin, nearest of all if it is lone, farthest, as (value, id)."""
+
+    def __init__(self, data: pa.Buffer, best: dict | None):
+        self.table = pa.ipc.open_stream(data).read_all()
+        self.ids = self.table["id"].to_numpy()
+        self.x, self.m = _matrix(self.table["unit"], _longest(self.table["unit"]))
+        self.rough = self.x.astype(np.float32)
+        self.lone, self.few = (self.table[c].to_numpy(zero_copy_only=False) for c in ("lone", "few"))
+        self.best = best or {k: (np.full(len(self.ids), np.inf), np.zeros(len(self.ids), np.int64)) for k in ("kin", "all", "far")} | {"ids": self.ids.copy()}
 
-    near_v, positive = first(near[some] <= near[some].min(1)[:, None] + BAND, 1)
-    far_v, negative = first(gap[some] >= gap[some].max(1)[:, None] - BAND, -1)
-    return pa.table([mine[some], (~has[some]).astype(np.int32), near_v, positive, far_v, negative], schema=schema)
+
+def _groups(a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of (system, identity) that are equal where both are."""
+    (p, q), (r, s) = _codes(a, b, "system"), _codes(a, b, "identity")
+    width = max(r.max(), s.max()) + 2
+    return (p + 1) * width + r + 1, (q + 1) * width + s + 1
+
+
+def _improve(kind: str, dots: np.ndarray, a: _Block, rows: np.ndarray, b: _Block, cols: np.ndarray, axis: int = 1, pairs: int = 1 << 19) -> None:
+    """The best of ``rows`` of ``a`` after ``cols`` of ``b``; ``dots`` are their products, with ``cols`` along ``axis``, infinite where a pair is left out.
+
+    The value is the distance, for the farthest its negative. Products are of single precision: what may be as good
+    as the best so far gets its exact value, summed place by place, so that equal vectors are equally far.
+    """
+    if not len(rows) or not len(cols):
+        return
+    sign, (value, found), width = -1 if kind == "far" else 1, a.best[kind], min(a.x.shape[1], b.x.shape[1])
+    error = (width + 8) * 2.0**-23  # twice what rounding of values and sums of products of units can come to
+    top = sign * (1 - (dots.max(axis) if sign > 0 else dots.min(axis)).astype(np.float64))
+    may = np.flatnonzero(np.isfinite(top) & (top - error <= value[rows]))
+    for lo in range(0, len(may), step := max(1, pairs // len(cols))):
+        some = may[lo : lo + step]
+        edge = (1 - sign * np.minimum(top[some] + 2 * error, value[rows[some]] + error)).astype(np.float32)
+        part, edge = (dots[some], edge[:, None]) if axis else (dots[:, some], edge)
+        at = divmod(np.flatnonzero(part >= edge if sign > 0 else part <= edge), part.shape[1])
+        i, j = rows[some][at[1 - axis]], cols[at[axis]]
+        exact = np.clip(1 - _place_by_place(a.x[i, :width], b.x[j, :width]), 0, 2)
+        exact[a.m[i] != b.m[j]] = 1.0
+        exact, ids = sign * exact, b.ids[j]
+        order = np.lexsort((ids, exact, i))
+        order = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+        i, exact, ids = i[order], exact[order], ids[order]
+        better = (exact < value[i]) | ((exact == value[i]) & (ids < found[i]))
+        value[i[better]], found[i[better]] = exact[better], ids[better]
+
+
+def _meet(a: _Block, b: _Block, strip: int = STRIP) -> None:
+    """All of two blocks, or of one, against each other, by one product for both."""
+    width, both = min(a.x.shape[1], b.x.shape[1]), a is not b
+    (ga, gb), (sa, sb) = _groups(a.table, b.table), _codes(a.table, b.table, "snapshot")
+    shared, twice, mixed = np.intersect1d(ga, gb), not both or np.isin(a.ids, b.ids).any(), (a.m != a.m[0]).any() or (b.m != a.m[0]).any()
+    every, right = np.arange(len(b.ids)), b.rough[:, :width].T
+    for lo in range(0, len(a.ids), strip):
+        rows = np.arange(lo, min(lo + strip, len(a.ids)))
+        dots = a.rough[rows, :width] @ right
+        if mixed:
+            dots[a.m[rows, None] != b.m[None, :]] = 0.0
+        for g in np.intersect1d(shared, ga[rows]) if len(shared) else ():
+            i, j = np.flatnonzero(ga[rows] == g), np.flatnonzero(gb == g)
+            some = dots[np.ix_(i, j)]
+            i += lo
+            some[(sa[i][:, None] == sb[j][None, :]) | (a.ids[i][:, None] == b.ids[j][None, :])] = -np.inf
+            few = b.few[j]
+            _improve("kin", some[:, few], a, i, b, j[few])
+            if both:
+                few = a.few[i]
+                _improve("kin", some[few], b, j, a, i[few], 0)
+        own = np.nonzero(a.ids[rows, None] == b.ids[None, :]) if twice else None
+        few, few_b = np.flatnonzero(a.few[rows]), np.flatnonzero(b.few)
+        for kind, out in (("far", np.inf), ("all", -np.inf)):
+            if twice:
+                dots[own] = out
+            alone = lambda x, r: r if kind == "far" else r[x.lone[r] & np.isinf(x.best["kin"][0][r])]
+            mine, theirs = alone(a, rows), alone(b, every)
+            _improve(kind, _some(_some(dots, mine - lo, 0), few_b, 1), a, mine, b, few_b)
+            if both:
+                _improve(kind, _some(_some(dots, theirs, 1), few, 0), b, theirs, a, few + lo, 0)
+
+
+def _some(dots: np.ndarray, at: np.ndarray, axis: int) -> np.ndarray:
+    return dots if len(at) == dots.shape[axis] else dots.take(at, axis)
+
+
+_BEST = "anchor long, other int, near double, positive long, far double, negative long"
+
+
+def _best_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each item of the blocks that a task pairs its nearest kin, or nearest other, and its farthest."""
+    best, left, number = {}, None, None
+    for batch in batches:
+        for a, b, rows_a, rows_b in zip(*(batch[c] for c in ("_a", "_b", "rows_a", "rows_b")), strict=True):
+            a, b = a.as_py(), b.as_py()
+            if number != a:
+                left, number = _Block(rows_a.as_buffer(), best.get(a)), a
+                best[a] = left.best
+            right = left if a == b else _Block(rows_b.as_buffer(), best.get(b))
+            best[b] = right.best
+            _meet(left, right)
+    for found in best.values():
+        some, has = np.isfinite(found["far"][0]), np.isfinite(found["kin"][0])
+        near, positive = (np.where(has, found["kin"][k], found["all"][k]) for k in (0, 1))
+        columns = [found["ids"], (~has).astype(np.int32), near, positive, -found["far"][0], found["far"][1]]
+        yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in columns], ["anchor", "other", "near", "positive", "far", "negative"])
+
+
+#: Bytes of vectors that a task of ``triplets`` has of each side.
+SIDE = 64 << 20
 
 
 def triplets(items: DataFrame, margin: float = 0.001, block: int = 2000) -> DataFrame:
     """Per anchor the nearest of its identity elsewhere, else the nearest other, and the farthest that is at least ``margin`` farther.
 
     ``items``: id, system, identity, snapshot, vector. All are compared with all, as the metric asks, in blocks of about
-    ``block`` items; a pair of blocks is a task, which returns a row for each anchor.
+    ``block`` items, ordered so that kin are in few pairs of blocks. Blocks are written once to the shared folder, where
+    every task reads a range of them for each side: no vector is shuffled for the blocks that it meets. A task meets each
+    pair of its blocks once, for the anchors of both, and returns a row for each anchor of its two sides.
     """
-    blocks = max(1, -(-items.count() // block))
-    picked = S.bounded_picks(F.col("vector"))
-    items = items.withColumn("picked", picked).withColumn("norm", S.norm(F.col("picked"))).withColumn("unit", F.transform("picked", lambda x: F.when(F.col("norm") == 0, 0.0).otherwise(x / F.col("norm"))))
-    items = items.select(F.col("id").cast("long").alias("id"), "system", "identity", "snapshot", "unit", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_block"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    a = items.select("*", every.alias("_with")).groupBy("_block", "_with")
-    b = items.withColumnRenamed("_block", "_with").select("*", every.alias("_block")).groupBy("_block", "_with")
-    found = a.cogroup(b).applyInArrow(_best_of_blocks, "anchor long, other int, near double, positive long, far double, negative long")
+    spark = items.sparkSession
+    items = items.where(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "system", "identity", "snapshot", "vector")
+    rows, width = items.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    blocks, width = max(1, -(-rows // block)), min(max(width or 0, 0), 512)  # picks are fewer than 512
+    order = ["system", "identity", "id"]
+    picked = F.col("picked")
+    unit = F.transform(picked, lambda x: F.when(F.col("norm") == 0, 0.0).otherwise(x / F.col("norm")))
+    # a block is a file, so that sides can be read in any number
+    dealt = items.repartitionByRange(blocks, *order).sortWithinPartitions(*order).withColumn("picked", S.bounded_picks(F.col("vector"))).withColumn("norm", S.norm(picked))
+    packed = dealt.select("id", "system", "identity", "snapshot", unit.alias("unit")).mapInArrow(_blocks(block), "rows binary")
+    packed = Scratch(spark, "triplets").table(packed.select("rows", F.monotonically_increasing_id().alias("_n")), "blocks")
+    sides = max(1, min(blocks, max(-(-rows * width * 8 // SIDE), math.isqrt(4 * spark.sparkContext.defaultParallelism - 1) + 1)))
+    a, b = (packed.select(F.col("_n").alias(f"_{x}"), F.col("rows").alias(f"rows_{x}")).coalesce(sides) for x in "ab")
+    # one of the two orders of a pair, by a hash, so that every task has half of its pairs
+    once = F.when(F.pmod(F.xxhash64(F.col("_a") + F.col("_b")), F.lit(2)) == 0, F.col("_a") <= F.col("_b")).otherwise(F.col("_a") >= F.col("_b"))
+    found = a.join(b.hint("shuffle_replicate_nl"), once).mapInArrow(_best_of_pairs, _BEST)
     best = found.groupBy("anchor").agg(F.min_by(F.struct("positive", "near"), F.struct("other", "near", "positive")).alias("p"), F.max_by(F.struct("negative", "far"), F.struct("far", -F.col("negative"))).alias("n"))
     return best.where(F.col("n.far") >= F.col("p.near") + margin).select("anchor", "p.positive", "n.negative", (F.col("n.far") - F.col("p.near")).alias("gap"))
 
