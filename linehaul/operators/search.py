@@ -202,7 +202,7 @@ class _Block:
         self.table = pa.ipc.open_stream(data).read_all()
         self.ids = self.table["id"].to_numpy()
         self.x, self.m = _matrix(self.table["unit"], _longest(self.table["unit"]))
-        self.rough = self.x.astype(np.float32)
+        self.rough, self.flat = self.x.astype(np.float32), ~self.x.any(1)
         self.lone, self.few = (self.table[c].to_numpy(zero_copy_only=False) for c in ("lone", "few"))
         self.best = best or {k: (np.full(len(self.ids), np.inf), np.zeros(len(self.ids), np.int64)) for k in ("kin", "all", "far")} | {"ids": self.ids.copy()}
 
@@ -224,8 +224,19 @@ def _improve(kind: str, dots: np.ndarray, a: _Block, rows: np.ndarray, b: _Block
         return
     sign, (value, found), width = -1 if kind == "far" else 1, a.best[kind], min(a.x.shape[1], b.x.shape[1])
     error = (width + 8) * 2.0**-23  # twice what rounding of values and sums of products of units can come to
+
+    def keep(i: np.ndarray, exact: np.ndarray, ids: np.ndarray) -> None:
+        better = (exact < value[i]) | ((exact == value[i]) & (ids < found[i]))
+        value[i[better]], found[i[better]] = exact[better], ids[better]
+
+    flat = a.flat[rows]
+    if flat.any():  # at 1 from all: the smallest id
+        part = dots[flat] if axis else dots[:, flat]
+        has, ids = np.isfinite(part), b.ids[cols] if axis else b.ids[cols, None]
+        ids, some = np.where(has, ids, np.iinfo(np.int64).max).min(axis), has.any(axis)
+        keep(rows[flat][some], np.full(some.sum(), float(sign)), ids[some])
     top = sign * (1 - (dots.max(axis) if sign > 0 else dots.min(axis)).astype(np.float64))
-    may = np.flatnonzero(np.isfinite(top) & (top - error <= value[rows]))
+    may = np.flatnonzero(np.isfinite(top) & (top - error <= value[rows]) & ~flat)
     for lo in range(0, len(may), step := max(1, pairs // len(cols))):
         some = may[lo : lo + step]
         edge = (1 - sign * np.minimum(top[some] + 2 * error, value[rows[some]] + error)).astype(np.float32)
@@ -237,9 +248,7 @@ def _improve(kind: str, dots: np.ndarray, a: _Block, rows: np.ndarray, b: _Block
         exact, ids = sign * exact, b.ids[j]
         order = np.lexsort((ids, exact, i))
         order = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
-        i, exact, ids = i[order], exact[order], ids[order]
-        better = (exact < value[i]) | ((exact == value[i]) & (ids < found[i]))
-        value[i[better]], found[i[better]] = exact[better], ids[better]
+        keep(i[order], exact[order], ids[order])
 
 
 def _meet(a: _Block, b: _Block, strip: int = STRIP) -> None:
