@@ -73,7 +73,8 @@ def test_triplets_equal_all_pairs(spark):
     # copies, near copies that single precision cannot tell apart, kin by the dozen and lone ones
     items = [(i, i % 2, i % 7 if i % 5 else i, draw.randrange(3), draw.choice(some) if i % 3 == 0 else [x + draw.uniform(0, 1e-8) for x in draw.choice(some)] if i % 3 == 1 else vector()) for i in range(90)]
     items += [(200, 0, 1, 0, [0.0] * 6), (201, 1, 2, 1, vector(4)), (202, 0, 2, 2, []), (203, 1, 3, 0, None), (204, 0, 1, 1, [None, 1.0, float("nan"), 2.0, float("inf"), 0.5]), (205, 1, 2, 2, [-x for x in some[0]]), (206, 0, 3, 1, vector(4))]
-    df = spark.createDataFrame(items, "id long, system int, identity int, snapshot int, vector array<double>")
+    # a row without an id meets none
+    df = spark.createDataFrame([*items, (None, 0, 1, 2, vector())], "id long, system int, identity int, snapshot int, vector array<double>")
     want = _all_pairs(items)
     for block in (7, 30, 1000):
         assert sorted(map(tuple, R.triplets(df, block=block).collect())) == want != []
